@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, private, secret_scan, urls
+from . import fingerprints, media, mixing, packing, private, quality, secret_scan, urls
 from .common import read
 
 
@@ -36,12 +36,17 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing": mixing.query,
+    "op2_packing": packing.query,
     "op4_url_filter": urls.query,
+    "op5_quality": quality.query,
     "op6_media": op6_media,
+    "op7_fingerprints": fingerprints.query,
     "op8_pii": op8_pii,
     "op10_secrets": op10_secrets,
 }
 
 ORACLES = {
+    "op1_mixing": mixing.ORACLE,
     "op4_url_filter": urls.ORACLE,
 }
