@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, media, mixing, packing, private, quality, secret_scan, urls
+from . import fingerprints, media, mixing, neardup, packing, private, quality, secret_scan, urls
 from .common import read
 
 
@@ -39,6 +39,7 @@ QUERIES = {
     "op1_mixing": mixing.query,
     "op2_packing": packing.query,
     "op4_url_filter": urls.query,
+    "op3_near_dedup": neardup.query,
     "op5_quality": quality.query,
     "op6_media": op6_media,
     "op7_fingerprints": fingerprints.query,
