@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, media, mixing, neardup, packing, private, quality, secret_scan, urls
+from . import fingerprints, media, mixing, neardup, packing, passages, private, quality, secret_scan, urls
 from .common import read
 
 
@@ -44,6 +44,7 @@ QUERIES = {
     "op6_media": op6_media,
     "op7_fingerprints": fingerprints.query,
     "op8_pii": op8_pii,
+    "op9_repeats": passages.query,
     "op10_secrets": op10_secrets,
 }
 
