@@ -48,21 +48,24 @@ def poisson_mix(docs: DataFrame, weights: DataFrame | None = None, total: float
     documents are expected (default: as many as there are). Returns the columns
     of `docs`, copy (1, 2, ...) and shuffle_key, by which all copies are shuffled.
     A null source is a source of its own; null ids share one draw; repeated rows
-    are each copied as often. Without documents the result is empty.
+    are each copied as often. Without documents the result is empty. Columns of
+    `docs` that are named copy or shuffle_key are replaced.
     """
-    sizes = docs.groupBy(F.col(by).alias("_source")).agg(F.count("*").alias("_n"))
+    docs = docs.drop("copy", "shuffle_key")
+    source, rate_, below, draw, copies_ = (f"__mix_{n}" for n in ("source", "rate", "below", "draw", "copies"))
+    sizes = docs.groupBy(F.col(by).alias(source)).agg(F.count("*").alias("n"))
     if weights is None:
-        sizes = sizes.withColumn("_weight", F.pow(F.col("_n").cast("double"), F.lit(alpha)))
+        sizes = sizes.withColumn("weight", F.pow(F.col("n").cast("double"), F.lit(alpha)))
     else:
-        given = weights.groupBy(F.col(by).alias("_given")).agg(F.sum("weight").cast("double").alias("_weight"))
-        sizes = sizes.join(given, F.col("_source").eqNullSafe(F.col("_given")), "left").drop("_given").fillna(0.0, ["_weight"])
-    kinds, n, mass = sizes.agg(F.count("*"), F.sum("_n"), F.sum("_weight")).first()
-    rate = F.lit(float(total if total is not None else n or 0)) * F.col("_weight") / F.lit(mass or 1.0) / F.col("_n")
-    rates = sizes.withColumn("_rate", rate).select("_source", _distribution(F.col("_rate")).alias("_below"))
+        given = weights.groupBy(F.col(by).alias("given")).agg(F.sum("weight").cast("double").alias("weight"))
+        sizes = sizes.join(given, F.col(source).eqNullSafe(F.col("given")), "left").drop("given").fillna(0.0, ["weight"])
+    kinds, n, mass = sizes.agg(F.count("*"), F.sum("n"), F.sum("weight")).first()
+    rate = F.lit(float(total if total is not None else n or 0)) * F.col("weight") / F.lit(mass or 1.0) / F.col("n")
+    rates = sizes.withColumn(rate_, rate).select(source, _distribution(F.col(rate_)).alias(below))
     side = F.broadcast(rates) if kinds <= BROADCAST_SOURCES else rates
-    drawn = docs.join(side, F.col(by).eqNullSafe(F.col("_source"))).withColumn("_u", uniform(seed, F.col(id_col)))
-    drawn = drawn.withColumn("_copies", F.size(F.filter("_below", lambda p: p <= F.col("_u"))))
-    copies = drawn.where("_copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies").cast("long"))).alias("copy"))
+    drawn = docs.join(side, F.col(by).eqNullSafe(F.col(source))).withColumn(draw, uniform(seed, F.col(id_col)))
+    drawn = drawn.withColumn(copies_, F.size(F.filter(below, lambda p: p <= F.col(draw))))
+    copies = drawn.where(F.col(copies_) > 0).select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies_).cast("long"))).alias("copy"))
     key = _number(F.concat_ws(":", F.lit(seed).cast("string"), F.lit("order"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("copy").cast("string")), 15)
     copies = copies.withColumn("shuffle_key", key)
     return copies.repartition("shuffle_key").sortWithinPartitions("shuffle_key")

@@ -269,8 +269,8 @@ def keep_one(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_co
 
     Rows with a null id stay. Of different rows with one id, any one stays.
     """
-    kept = near_duplicates(docs, percent, id_col, text_col).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct()
-    one = docs.join(kept, F.col(id_col) == F.col("_kept_id"), "left_semi").dropDuplicates([id_col])
+    kept = near_duplicates(docs, percent, id_col, text_col).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept_id")).distinct()
+    one = docs.join(kept, F.col(id_col) == F.col("__kept_id"), "left_semi").dropDuplicates([id_col])
     return one.unionByName(docs.where(F.col(id_col).isNull()))
 
 
