@@ -15,7 +15,7 @@ TRACKING = "^(utm_|gclid|fbclid|ref|source|src)"
 TWO_LABEL_SUFFIXES = ["co.in", "net.in", "org.in", "firm.in", "gen.in", "ind.in", "ac.in", "edu.in", "gov.in", "co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "com.br", "com.sg", "co.jp", "co.nz", "co.za", "com.mx", "com.tr", "com.hk"]
 
 #: Entities that are decoded natively; the ampersand comes last.
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&#x27;", "'"), ("&ndash;", "–"), ("&mdash;", "—"), ("&bull;", "•"), ("&amp;", "&")]
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&#x27;", "'"), ("&ndash;", "–"), ("&mdash;", "—"), ("&bull;", "•"), ("&amp;", "&")]
 
 
 def normalize_text(value: Column) -> Column:
