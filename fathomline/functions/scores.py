@@ -74,7 +74,7 @@ def class_name(ordinal: Column) -> Column:
 
 
 def requirement_status(score: Column) -> Column:
-    return F.when(score >= 0.85, "MET").when(score >= 0.5, "PARTIAL").when(score >= 0.15, "WEAK").otherwise("GAP")
+    return F.when(score >= 0.85, "MET").when(score >= 0.5, "PARTIAL").when(score > 0.15, "WEAK").otherwise("GAP")
 
 
 def percent(part: Column, whole: Column) -> Column:
