@@ -10,8 +10,14 @@ OPPORTUNITY = {"jd_fit": 0.30, "technical_value": 0.15, "freshness": 0.15, "comp
 #: Classes from the best to the worst, with the least score and the least fit of each.
 CLASSES = ["P0", "P1", "P2", "P3", "REJECT"]
 THRESHOLDS = {"P0": (80.0, 75.0), "P1": (68.0, 65.0), "P2": (55.0, 55.0), "P3": (40.0, 0.0)}
-PRIORITY = {"fit": 0.45, "company_target": 0.25, "freshness": 0.2, "career_value": 0.1}
+PRIORITY = {"fit": 0.45, "company_target": 0.25, "freshness": 0.15, "career_value": 0.15}
+#: Weights of the company target score, what a tier is worth, and the cap for one's own employer.
+TARGET = {"hiring_activity": 0.20, "role_relevance": 0.15, "engineering_quality": 0.10, "product_quality": 0.10, "career_growth": 0.10, "compensation_potential": 0.05, "india_remote_fit": 0.15, "technical_relevance": 0.15}
+TIERS = {"S": 100.0, "A": 85.0, "B": 70.0, "C": 55.0}
+TIER_UNKNOWN = 50.0
 EMPLOYER_CAP = 35.0
+#: Points of the frontier.
+FRONTIER = {"de_openings_5plus": 50, "de_openings_3plus": 35, "de_openings_1plus": 15, "hiring_post": 30, "hiring_campaign": 20, "india_presence": 15, "product_company": 10, "fresh_signal": 15, "seed": 25}
 NOISY_CAP, VERIFIED_FLOOR = 0.99, 0.95
 
 
