@@ -6,7 +6,10 @@ for each level, until its node is small; the members of small nodes are then
 compared exhaustively. Two sets of similarity s stay together for d levels of a
 tree with probability s^d, and the trees are repeated until a pair at the
 threshold shares a small node with the target recall. Sketches reject pairs
-that are far apart; all links are confirmed on the full sets.
+that are far apart; all links are confirmed on the full sets. Components grow in
+two rounds: first each member meets one other that it resembles, then only
+members of different components are compared, so a large group of near copies
+yields about as many pairs as it has members.
 """
 
 from __future__ import annotations
@@ -29,13 +32,20 @@ LEVELS = 8
 #: Levels at which nodes are looked at. Nodes above SMALL members branch on to the next one.
 DEPTHS = (2, 3, 4, 6, 8)
 SMALL = 1024
+#: Bytes of the finer sketch, which is made only of documents that the first one can't tell apart.
+FINE = 1024
 #: A pair is sent to the full sets unless its sketch is so many standard errors below the threshold.
 SIGMAS = 4.5
 
 _HASHES = TREES * LEVELS
-_RANDOM = np.random.Generator(np.random.PCG64(20_077))
-_A = _RANDOM.integers(0, 2**64, _HASHES, np.uint64, endpoint=False) | np.uint64(1)
-_B = _RANDOM.integers(0, 2**64, _HASHES, np.uint64, endpoint=False)
+
+
+def _functions(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    random = np.random.Generator(np.random.PCG64(seed))
+    return random.integers(0, 2**64, n, np.uint64) | np.uint64(1), random.integers(0, 2**64, n, np.uint64)
+
+
+_COARSE_HASHES, _FINE_HASHES = _functions(20_077, _HASHES), _functions(20_078, FINE)
 _M, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BLOCK = 2048
 
@@ -60,12 +70,13 @@ def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     return np.unique(out ^ (out >> np.uint64(31)))
 
 
-def minwise(values: np.ndarray) -> np.ndarray:
+def minwise(values: np.ndarray, functions: tuple[np.ndarray, np.ndarray] = _COARSE_HASHES) -> np.ndarray:
     """The minimum of each of the hash functions over a set, 32 bits each."""
-    least = np.full(_HASHES, 2**32 - 1, np.uint64)
+    factors, shifts = functions
+    least = np.full(len(factors), 2**32 - 1, np.uint64)
     for at in range(0, len(values), _BLOCK):
-        block = values[None, at : at + _BLOCK] * _A[:, None]
-        block += _B[:, None]
+        block = values[None, at : at + _BLOCK] * factors[:, None]
+        block += shifts[:, None]
         np.minimum(least, block.min(axis=1) >> np.uint64(32), out=least)
     return least.astype("<u4")
 
@@ -118,15 +129,13 @@ def small_nodes(sets: DataFrame, shelf: Shelf, small: int = SMALL) -> DataFrame:
     return out
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Whole nodes from rows sorted by node: their starts, reps, sketches and components."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Table]]:
+    """Whole nodes from rows sorted by node: where the nodes start, and their rows."""
     rest: pa.Table | None = None
 
-    def arrays(t: pa.Table):
-        node = t["node"].to_numpy()
-        starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
-        sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, _HASHES)
-        return node, np.r_[starts, len(node)], t["rep"].to_numpy(), sketch, t["component"].to_numpy()
+    def starts(table: pa.Table) -> np.ndarray:
+        node = table["node"].to_numpy()
+        return np.r_[np.flatnonzero(np.r_[True, node[1:] != node[:-1]]), len(node)]
 
     for batch in batches:
         table = pa.Table.from_batches([batch])
@@ -136,62 +145,105 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
         last = int(np.searchsorted(node, node[-1]))
         rest = table.slice(last)
         if last:
-            yield arrays(table.slice(0, last))[1:]
+            yield starts(table.slice(0, last)), table.slice(0, last)
     if rest is not None and rest.num_rows:
-        yield arrays(rest)[1:]
+        yield starts(rest), rest
+
+
+def _members(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """rep, sketch and component of the rows."""
+    sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(table.num_rows, -1)
+    return table["rep"].to_numpy(), sketch, table["component"].to_numpy()
+
+
+def _by_node(nodes: DataFrame, *more: str) -> DataFrame:
+    return nodes.select("node", "rep", "sketch", "component", *more).repartition("node").sortWithinPartitions("node", "rep")
 
 
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _pairs(nodes: DataFrame, compare) -> DataFrame:
-    """Distinct pairs (a < b) that `compare` makes of each node."""
+def _pair_batch(found: list[tuple[int, int]] | np.ndarray) -> pa.RecordBatch:
+    pairs = np.asarray(found, np.int64).reshape(-1, 2)
+    pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=_PAIRS)
 
-    def run(batches):
-        for starts, rep, sketch, component in _groups(batches):
-            sizes, out = np.diff(starts), []
-            two = starts[:-1][sizes == 2]  # most nodes have two members
-            if len(two):
-                near = ((sketch[two] == sketch[two + 1]).mean(axis=1) >= compare.cut) & (component[two] != component[two + 1])
-                out.append(np.stack([rep[two[near]], rep[two[near] + 1]], axis=1))
-            for at, n in zip(starts[:-1][sizes > 2], sizes[sizes > 2]):
-                out.extend(compare(rep[at : at + n], sketch[at : at + n], component[at : at + n]))
-            pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-            pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], schema=_PAIRS)
 
-    dealt = nodes.select("node", "rep", "sketch", "component").repartition("node").sortWithinPartitions("node", "rep")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+def _alike(sketch: np.ndarray, i: int, others: np.ndarray, cut: float) -> np.ndarray:
+    """Those of the others whose sketch is near that of i."""
+    return others[(sketch[others] == sketch[i]).mean(axis=1) >= cut]
 
 
-class Leaders:
-    """Links each member of a node to the first unlinked member that it resembles."""
+def _leader_pairs(nodes: DataFrame, cut: float) -> DataFrame:
+    """Pairs of the members of a node with the first unpaired member that they resemble."""
 
-    def __init__(self, cut: float):
-        self.cut = cut
+    def run(batches):
+        for starts, table in _groups(batches):
+            rep, sketch, _ = _members(table)
+            sizes = np.diff(starts)
+            two = starts[:-1][sizes == 2]  # most nodes have two members
+            two = two[(sketch[two] == sketch[two + 1]).mean(axis=1) >= cut]
+            found = [np.stack([rep[two], rep[two + 1]], axis=1)]
+            for at, n in zip(starts[:-1][sizes > 2], sizes[sizes > 2]):
+                left = np.arange(at, at + n)
+                while len(left) > 1:
+                    near = _alike(sketch, left[0], left[1:], cut)
+                    found.append(np.stack([np.full(len(near), rep[left[0]]), rep[near]], axis=1))
+                    left = np.setdiff1d(left[1:], near, assume_unique=True)
+            yield _pair_batch(np.concatenate(found))
 
-    def __call__(self, rep, sketch, component):
-        left = np.arange(len(rep))
-        while len(left) > 1:
-            lead, others = left[0], left[1:]
-            near = (sketch[others] == sketch[lead]).mean(axis=1) >= self.cut
-            if near.any():
-                yield np.stack([np.full(near.sum(), rep[lead]), rep[others[near]]], axis=1)
-            left = others[~near]
+    return _by_node(nodes).mapInArrow(run, "a long, b long").distinct()
 
 
-class Across:
-    """All pairs of a node that resemble each other and aren't yet in one component."""
+def _undecided(nodes: DataFrame, cut: float) -> DataFrame:
+    """The rows of nodes that resemble a member of another component in the same node."""
 
-    def __init__(self, cut: float):
-        self.cut = cut
+    def run(batches):
+        for starts, table in _groups(batches):
+            rep, sketch, component = _members(table)
+            keep = np.zeros(len(rep), bool)
+            for at, end in zip(starts[:-1], starts[1:]):
+                for i in range(at, end - 1):
+                    near = _alike(sketch, i, i + 1 + np.flatnonzero(component[i + 1 : end] != component[i]), cut)
+                    keep[near] = True
+                    keep[i] |= len(near) > 0
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep], pa.int64()) for x in (table["node"].to_numpy(), rep, component)], names=["node", "rep", "component"])
+
+    return _by_node(nodes).mapInArrow(run, "node long, rep long, component long")
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union of two sorted arrays of distinct values."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort()
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * shared >= percent * (len(both) - shared)
+
+
+def _links_across(nodes: DataFrame, cut: float, percent: int) -> DataFrame:
+    """Links between members of different components, compared on their full sets within the node.
+
+    A link joins its two components for the rest of the node, so a node gives
+    fewer links than it has members.
+    """
 
-    def __call__(self, rep, sketch, component):
-        for i in range(len(rep) - 1):
-            others = i + 1 + np.flatnonzero(component[i + 1 :] != component[i])
-            near = others[(sketch[others] == sketch[i]).mean(axis=1) >= self.cut]
-            if len(near):
-                yield np.stack([np.full(len(near), rep[i]), rep[near]], axis=1)
+    def run(batches):
+        for starts, table in _groups(batches):
+            rep, sketch, component = _members(table)
+            component, found = component.copy(), []
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["shingles"].combine_chunks()]
+            for at, end in zip(starts[:-1], starts[1:]):
+                for i in range(at, end - 1):
+                    for j in _alike(sketch, i, i + 1 + np.flatnonzero(component[i + 1 : end] != component[i]), cut):
+                        if component[i] != component[j] and _linked(sets[i], sets[j], percent):
+                            found.append((rep[i], rep[j]))
+                            mine = component[at:end]
+                            mine[mine == component[j]] = component[i]
+            yield _pair_batch(found)
+
+    return _by_node(nodes, "shingles").mapInArrow(run, "a long, b long").distinct()
 
 
 def _full_sets(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -201,6 +253,15 @@ def _full_sets(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) -
     return map_rows(rows, lambda batch: [{"rep": r["doc_id"], "shingles": shingles(r["data"]).tobytes()} for r in batch], "rep long, shingles binary", arrow)
 
 
+def _fine_sketches(sets: DataFrame) -> DataFrame:
+    arrow = pa.schema([("rep", pa.int64()), ("sketch", pa.binary())])
+
+    def rows(batch: list[dict]) -> list[dict]:
+        return [{"rep": r["rep"], "sketch": minwise(np.frombuffer(r["shingles"], np.uint64), _FINE_HASHES).astype(np.uint8).tobytes()} for r in batch]
+
+    return map_rows(sets, rows, "rep long, sketch binary", arrow, 64)
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets have 100 * intersection >= percent * union."""
     a = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x"))
@@ -208,14 +269,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch["x"], batch["y"]):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= percent * (len(both) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            sets = ((np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch["x"], batch["y"]))
+            yield batch.select(["a", "b"]).filter(pa.array([_linked(x, y, percent) for x, y in sets], pa.bool_()))
 
     return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
@@ -232,7 +287,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     """
     shelf = Shelf(docs.sparkSession, "neardup")
     share = percent / 100
-    cut = share - SIGMAS * math.sqrt(share * (1 - share) / _HASHES)
+    cut, fine_cut = (share - SIGMAS * math.sqrt(share * (1 - share) / n) for n in (_HASHES, FINE))
     prints = shelf.put("prints", set_prints(docs, id_col, text_col))
     known = prints.where("n_shingles > 0 and doc_id is not null")
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("tokens").alias("tokens"), F.min("sketch").alias("sketch"))
@@ -245,15 +300,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     shelf.drop(*(f"level-{d}" for d in DEPTHS))
     sets = shelf.put("sets", _full_sets(docs, nodes, id_col, text_col))
     lone = nodes.join(sketches, "rep").withColumn("component", F.col("rep"))
-    tried = shelf.put("tried", _pairs(lone, Leaders(cut)))
+    tried = shelf.put("tried", _leader_pairs(lone, cut))
     links = shelf.put("links", _confirmed(tried, sets, percent))
     first = shelf.put("first", components(links, shelf, "first-round"))
 
     placed = nodes.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("node", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = placed.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("node")
-    more = _pairs(placed.join(mixed, "node", "left_semi").join(sketches, "rep"), Across(cut)).join(tried, ["a", "b"], "left_anti")
-    more = shelf.put("more", _confirmed(more, sets, percent))
-    shelf.drop("sets", "nodes", "tried")
+    open_ = shelf.put("open", _undecided(placed.join(mixed, "node", "left_semi").join(sketches, "rep"), cut))
+    fine = shelf.put("fine", _fine_sketches(sets.join(open_.select("rep").distinct(), "rep", "left_semi")))
+    close = shelf.put("close", _undecided(open_.join(fine, "rep"), fine_cut))
+    more = shelf.put("more", _links_across(close.join(fine, "rep").join(sets, "rep"), fine_cut, percent))
     final = shelf.put("final", components(links.unionByName(more), shelf, "second-round"))
 
     same = known.select("digest", "doc_id").join(classes.select("digest", "rep"), "digest").select("doc_id", "rep").distinct()
@@ -261,7 +317,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     placed = same.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("doc_id").alias("_id"), F.coalesce("component", "rep").alias("_component"))
     out = prints.select("doc_id", "n_shingles").join(placed, F.col("doc_id") == F.col("_id"), "left")
     component = F.coalesce("_component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    out = shelf.put("out", out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")))
+    shelf.drop("prints", "classes", "nodes", "sets", "tried", "links", "first", "open", "fine", "close", "more", "final")
+    return out
 
 
 def keep_one(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
