@@ -22,56 +22,105 @@ TECHNOLOGIES = {
     "Terraform": ["terraform"],
 }
 
-#: Title patterns with relevance, the best of each family counts.
+#: Title patterns with relevance; the best of a family counts.
 DATA_TITLES = [
     (r"\bdata\s+engineer(?:ing)?\b", 0.95),
-    (r"\bdata\s+(?:platform|infra(?:structure)?)\b", 0.95),
     (r"\bbig\s+data\b", 0.9),
+    (r"\bdata\s+platform\b", 0.95),
+    (r"\bdata\s+infra(?:structure)?\b", 0.95),
     (r"\bdata\s+systems?\s+(?:engineer|developer)", 0.9),
-    (r"\bdata\s+pipelines?\b", 0.85),
     (r"\b(?:etl|elt)\b", 0.8),
-    (r"\bdata\s+(?:warehous(?:e|ing)|lake(?:house)?)\b", 0.8),
+    (r"\bdata\s+pipelines?\b", 0.85),
+    (r"\bdata\s+(?:warehouse|warehousing|lake|lakehouse)\b", 0.8),
     (r"\bstreaming\s+(?:data\s+)?(?:engineer|platform)", 0.8),
+    (r"\b(?:software|backend|back-end)\s+(?:development\s+)?engineer\b.{0,40}\bdata\b", 0.85),
+    (r"\bdata\b.{0,25}\b(?:software|backend)\s+engineer\b", 0.8),
 ]
 PLATFORM_TITLES = [
     (r"\bdistributed\s+systems?\b", 0.9),
     (r"\bplatform\s+engineer", 0.75),
     (r"\binfra(?:structure)?\s+(?:software\s+)?engineer", 0.75),
-    (r"\bdatabase\s+(?:engineer|reliability|administrator)", 0.5),
-    (r"\b(?:site\s+reliability|sre|devops)\b", 0.45),
+    (r"\b(?:software|backend)\s+engineer\b.{0,40}\b(?:infra(?:structure)?|platform)\b", 0.8),
+    (r"\bsite\s+reliability\b|\bsre\b", 0.45),
     (r"\bcloud\s+(?:platform\s+|infrastructure\s+)?engineer", 0.45),
+    (r"\bdevops\b", 0.45),
+    (r"\bdatabase\s+(?:engineer|reliability|administrator)", 0.5),
 ]
 ADJACENT_TITLES = [
+    (r"\bdata\s+analy(?:st|tics)\b", 0.15),
+    (r"\b(?:product|marketing|business|growth)\s+analy(?:st|tics)\b", 0.15),
+    (r"\bbusiness\s+(?:intelligence|analyst)\b|\bbi\s+(?:developer|analyst|engineer)\b", 0.2),
     (r"\banalytics\s+engineer", 0.55),
-    (r"\b(?:ml|machine\s+learning|ai)\s+engineer", 0.35),
     (r"\bdata\s+scien(?:ce|tist)\b", 0.3),
-    (r"\bdata\s+(?:governance|steward|privacy|protection)\b", 0.25),
-    (r"\bbusiness\s+(?:intelligence|analyst)\b|\bbi\s+(?:developer|analyst|engineer)\b", 0.2),
-    (r"\b(?:data|product|marketing|business|growth)\s+analy(?:st|tics)\b", 0.15),
+    (r"\b(?:ml|machine\s+learning|ai)\s+engineer", 0.35),
+    (r"\bdata\s+(?:governance|quality\s+analyst|steward|privacy|protection)\b", 0.25),
+]
+HARD_TITLES = [
+    (r"\bdata\s+cent(?:er|re)s?\b", 0.05),
+    (r"\bdata\s+entry\b", 0.02),
+    (r"\b(?:mechanical|electrical|civil|chemical|hardware|asic|fpga|rf|analog|layout|silicon)\s+(?:product\s+)?(?:design\s+)?engineer", 0.05),
 ]
-EXCLUDED = r"\b(?:sales|recruit(?:er|ing)|marketing|designer|counsel|attorney|accountant|nurse|driver|technician|mechanic|product\s+(?:manager|owner)|(?:program|project|delivery)\s+manager|scrum\s+master|business\s+analyst|data\s+entry|data\s+cent(?:er|re)s?)\b"
-SPECIALTIES = r"\b(?:security|network(?:ing)?|embedded|firmware|robotics?|graphics|gpu|mobile|android|ios|front[-\s]?end|games?|qa|sdet|salesforce|servicenow|sap)\b"
-ENGINEERING = r"\b(?:engineer|developer|architect|programmer)\b"
+EXCLUDED = r"\b(sales|account\s+(?:executive|manager)|recruit(?:er|ing)|talent\s+acquisition|marketing|copywriter|designer|counsel|attorney|lawyer|accountant|nurse|physician|driver|technician|mechanic|electrician|warehouse\s+associate|customer\s+(?:success|support)|support\s+specialist|pre-?sales|solutions?\s+consultant|product\s+(?:delivery\s+)?manager|product\s+owner|program\s+manager|project\s+manager|delivery\s+manager|scrum\s+master|business\s+analyst)\b"
+ENTERPRISE = r"\b(salesforce|servicenow|sap|dynamics\s*365|oracle\s+(?:apex|ebs|fusion)|workday\s+hcm|guidewire|pega|power\s*(?:platform|apps|automate)|sharepoint)\b"
+SPECIALTIES = r"\b(security|cyber\s*security|network(?:ing)?|embedded|firmware|robotics?|autonomous|graphics|gpu|kernel|compilers?|mobile|android|ios|front[-\s]?end|ui|ux|games?|gaming|audio|video|camera|perception|computer\s+vision|wireless|5g|telecom|voice|desktop|end[-\s]?user|endpoint|citrix|vmware|mainframe|cobol|qa|sdet|test|testing|verification|validation)\b"
+MASTER_DATA = r"\bmaster\s+data\b|\bsap\b"
+GENERIC = r"\b(?:software|backend|back-end|full[\s-]?stack|java|python|scala|golang|go)\s+(?:engineer|developer)\b|\bsde\b|\bswe\b|\bmember of technical staff\b"
+ENGINEERING = r"\b(engineer|developer|architect|programmer)\b"
 SIGNALS = {
     "Spark": r"\bpy?spark\b",
     "Kafka": r"\bkafka\b",
     "Airflow": r"\bairflow\b",
     "dbt": r"\bdbt\b",
     "Flink": r"\bflink\b",
+    "Beam": r"\bapache\s+beam\b",
     "Databricks": r"\bdatabricks\b",
     "Snowflake": r"\bsnowflake\b",
-    "ETL/ELT": r"\b(?:etl|elt)\b",
+    "BigQuery": r"\bbigquery\b",
+    "Redshift": r"\bredshift\b",
+    "Hadoop": r"\bhadoop\b|\bhdfs\b",
+    "Hive": r"\bhive\b",
+    "Presto/Trino": r"\bpresto\b|\btrino\b",
+    "table formats": r"\biceberg\b|\bdelta\s+lake\b|\bhudi\b",
+    "ETL/ELT": r"\betl\b|\belt\b",
     "data pipelines": r"\bdata\s+pipelines?\b",
     "data lake": r"\bdata\s+lakes?\b|\blakehouse\b",
     "data warehouse": r"\bdata\s+warehous(?:e|es|ing)\b",
-    "streaming": r"\bstream(?:ing)?\s+(?:data|processing)\b",
+    "data modeling": r"\bdata\s+model(?:l)?ing\b",
+    "streaming": r"\bstream(?:ing)?\s+(?:data|processing)\b|\breal[-\s]time\s+data\b",
+    "batch processing": r"\bbatch\s+processing\b",
     "CDC": r"\bchange\s+data\s+capture\b|\bcdc\b",
+    "columnar formats": r"\bparquet\b|\bavro\b",
+    "cloud data services": r"\b(?:aws\s+glue|emr|dataflow|dataproc|synapse|data\s+factory|kinesis)\b",
+    "data ingestion": r"\bdata\s+ingestion\b",
+    "data platform": r"\bdata\s+(?:platform|infrastructure)\b",
     "large-scale data": r"\b(?:petabyte|terabyte)s?\b",
 }
+CORE_SIGNALS = ["Spark", "Kafka", "Airflow", "dbt", "Flink", "Beam", "ETL/ELT", "data pipelines", "data lake", "data warehouse", "streaming", "CDC", "data ingestion", "data platform"]
+PLATFORM_SIGNALS = {
+    "Kubernetes": r"\bkubernetes\b|\bk8s\b",
+    "infrastructure as code": r"\bterraform\b|\binfrastructure\s+as\s+code\b",
+    "distributed systems": r"\bdistributed\s+systems?\b",
+    "microservices": r"\bmicroservices?\b",
+    "observability": r"\bobservability\b",
+    "service mesh": r"\bservice\s+mesh\b",
+    "fault tolerance": r"\bhigh\s+availability\b|\bfault[-\s]toleran",
+    "consensus": r"\bconsensus\b|\braft\b|\bpaxos\b",
+}
+ANALYST_WORDS = r"\b(dashboards?|tableau|power\s*bi|looker|excel|reporting|kpis?|stakeholders?|insights|a/b\s+test\w*|visuali[sz]ations?|storytelling|ad[-\s]hoc\s+analysis)\b"
+HARDWARE_WORDS = r"\b(interconnect|cables?|pcb|silicon|asic|racks?|cooling|hvac|electrical|mechanical|manufacturing|bill of materials|bom|plm|firmware|power\s+distribution|facilit(?:y|ies))\b"
 TARGET_CATEGORIES = ("data_engineering", "platform_infrastructure")
 
 #: Levels in titles, the first that fits.
-LEVELS = [("intern", r"\bintern(?:ship)?\b"), ("principal", r"\b(?:principal|distinguished|fellow)\b"), ("staff", r"\bstaff\b"), ("manager", r"\b(?:manager|director|head of|vp)\b"), ("senior", r"\b(?:senior|sr\.?|lead)\b"), ("junior", r"\b(?:junior|jr\.?|graduate|entry[- ]level|associate)\b")]
+LEVELS = [
+    ("intern", r"\b(intern(?:ship)?|trainee|apprentice)\b"),
+    ("executive", r"\b(director|head of|vice president|svp|evp|vp\b|chief|cto|cdo)\b"),
+    ("manager", r"\bmanager\b"),
+    ("principal", r"\b(principal|distinguished|fellow)\b"),
+    ("staff", r"\b(staff|lead|architect)\b"),
+    ("senior", r"\b(senior|sr\.?|iii\b|level\s*3)\b"),
+    ("mid", r"\b(ii\b|level\s*2|mid[- ]level)\b"),
+    ("junior", r"\b(junior|jr\.?|associate|entry[- ]level|graduate|new grad|i\b)\b"),
+]
 
 #: Factors of units in pay ranges.
 UNITS = {"k": 1e3, "lpa": 1e5, "lakh": 1e5, "lakhs": 1e5, "l": 1e5, "cr": 1e7, "m": 1e6}
@@ -105,34 +154,68 @@ def _best(patterns: list[tuple[str, float]], text: Column) -> Column:
     return reduce(F.greatest, [F.when(text.rlike(p), w).otherwise(0.0) for p, w in patterns])
 
 
+def _labels(patterns: dict[str, str], text: Column) -> Column:
+    return F.array_compact(F.array(*(F.when(text.rlike(p), F.lit(label)) for label, p in patterns.items())))
+
+
+def _bind(values: dict[str, Column], use) -> Column:
+    """`use` of a struct of the values, each of which is computed once however often it is used."""
+    one = F.array(F.struct(*(v.alias(n) for n, v in values.items())))
+    return F.get(F.transform(one, use), F.lit(0))
+
+
 def classify_role(title: Column, description: Column, company: Column) -> Column:
     """struct(category, relevance, signals), decided by the first rule that fits.
 
     The employer's own name is taken out of the description, so that it is no
     sign of a technology. Without a title the category is unclassified.
     """
-    low = F.lower(F.trim(F.coalesce(title, F.lit(""))))
-    body = F.lower(F.coalesce(description, F.lit("")))
     name = F.lower(F.trim(F.coalesce(company, F.lit(""))))
+    body = F.lower(F.coalesce(description, F.lit("")))
     body = F.when(F.char_length(name) >= 3, F.replace(body, name, F.lit(" "))).otherwise(body)
-    text = F.concat_ws("\n", low, body)
-    signals = F.array_compact(F.array(*(F.when(text.rlike(p), F.lit(label)) for label, p in SIGNALS.items())))
-    data, platform, adjacent = _best(DATA_TITLES, low), _best(PLATFORM_TITLES, low), _best(ADJACENT_TITLES, low)
-    many = F.size(signals)
-    lift = lambda base: F.least(F.lit(1.0), base + F.when(many >= 3, 0.05).otherwise(0.0))
+    return _bind({"title": F.lower(F.trim(F.coalesce(title, F.lit("")))), "body": body}, _features)
+
+
+def _features(t: Column) -> Column:
+    low, text = t["title"], F.concat_ws("\n", t["title"], t["body"])
+    # What stands before a comma, bar, bracket or dash names the role; a team's name after it does not.
+    first = F.get(F.split(low, r"\s*[,|(]\s*|\s+[-–—:]\s+", 2), F.lit(0))
+    kinds = lambda pattern: F.size(F.array_distinct(F.regexp_extract_all(t["body"], F.lit(pattern), F.lit(1))))
+    best = {n: _best(p, low) for n, p in (("data", DATA_TITLES), ("platform", PLATFORM_TITLES), ("adjacent", ADJACENT_TITLES), ("hard", HARD_TITLES))}
+    found = {n: low.rlike(p) for n, p in (("excluded", EXCLUDED), ("enterprise", ENTERPRISE), ("specialty", SPECIALTIES), ("master", MASTER_DATA), ("generic", GENERIC), ("engineering", ENGINEERING))}
+    other = {
+        "title": low,
+        "signals": _labels(SIGNALS, text),
+        "platform_signals": _labels(PLATFORM_SIGNALS, text),
+        "first_adjacent": (_best(ADJACENT_TITLES, first) > 0) & (_best(DATA_TITLES, first) == 0),
+        "off_topic": (F.char_length(t["body"]) >= 150) & ((kinds(HARDWARE_WORDS) >= 2) | (kinds(ANALYST_WORDS) >= 3)),
+    }
+    return _bind(best | found | other, _decide)
+
+
+def _decide(f: Column) -> Column:
+    many, data = F.size(f["signals"]), f["data"]
+    no_data, lift = data == 0, F.when(many >= 3, 0.05).otherwise(0.0)
+    core = F.arrays_overlap(f["signals"], F.array(*(F.lit(c) for c in CORE_SIGNALS)))
     rules = [
-        (low == "", "unclassified", F.lit(0.0)),
-        (low.rlike(EXCLUDED), "non_target", F.lit(0.02)),
-        (low.rlike(SPECIALTIES) & (data == 0), "other_engineering", F.lit(0.2)),
-        ((adjacent > 0) & (data == 0), "adjacent_data", F.when(many >= 4, F.least(F.lit(0.65), adjacent + 0.1)).otherwise(adjacent)),
-        (data > 0, "data_engineering", lift(data)),
-        (platform > 0, "platform_infrastructure", lift(platform)),
-        (low.rlike(ENGINEERING) & (many >= 4), "data_engineering", F.lit(0.6)),
-        (low.rlike(ENGINEERING), "other_engineering", F.lit(0.25)),
+        (f["title"] == "", "unclassified", F.lit(0.0)),
+        (f["excluded"], "non_target", F.lit(0.02)),
+        (no_data & f["enterprise"], "other_engineering", F.lit(0.2)),
+        (no_data & (f["hard"] > 0), "non_target", f["hard"]),
+        (no_data & f["specialty"], "other_engineering", F.lit(0.2)),
+        (~no_data & f["master"], "adjacent_data", F.lit(0.3)),
+        ((f["adjacent"] > 0) & (no_data | f["first_adjacent"]), "adjacent_data", F.when(many >= 4, F.least(F.lit(0.65), f["adjacent"] + 0.1)).otherwise(f["adjacent"])),
+        (~no_data & (many == 0) & f["off_topic"], "adjacent_data", F.lit(0.3)),
+        (~no_data, "data_engineering", F.least(F.lit(1.0), data + lift - F.when(f["hard"] > 0, 0.2).otherwise(0.0))),
+        (f["platform"] > 0, "platform_infrastructure", F.least(F.lit(1.0), f["platform"] + lift)),
+        (f["generic"] & (many >= 4) & core, "data_engineering", F.lit(0.6)),
+        (f["generic"] & (F.size(f["platform_signals"]) >= 3), "platform_infrastructure", F.lit(0.55)),
+        (f["generic"], "other_engineering", F.lit(0.25)),
+        (f["engineering"], "other_engineering", F.lit(0.2)),
         (F.lit(True), "non_target", F.lit(0.05)),
     ]
     pick = lambda k: F.coalesce(*(F.when(rule[0], F.lit(rule[1]) if k == 1 else rule[2]) for rule in rules))
-    return F.struct(pick(1).alias("category"), F.round(pick(2), 2).alias("relevance"), signals.alias("signals"))
+    return F.struct(pick(1).alias("category"), F.round(pick(2), 2).alias("relevance"), F.array_union(f["signals"], f["platform_signals"]).alias("signals"))
 
 
 def is_target(category: Column, relevance: Column) -> Column:

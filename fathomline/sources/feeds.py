@@ -10,7 +10,8 @@ from ..operators.companies import name_key
 from ..operators.ranked import top
 
 #: Labels of a dataset of startups that speak for data work.
-DATA_TAGS = ["data engineering", "data infrastructure", "infrastructure", "analytics", "developer tools", "big data", "databases", "b2b", "ai", "machine learning"]
+DATA_TAGS = ["data engineering", "databases", "analytics", "infrastructure", "developer tools", "fintech", "payments", "machine learning", "artificial intelligence", "ai", "b2b", "saas", "big data", "cloud computing", "open source", "security", "observability", "devops", "data visualization", "enterprise software", "banking and exchange", "insurance", "credit and lending", "enterprise"]
+DATA_TEXT = r"\b(data|analytics|database|warehouse|pipelines?|streaming|infrastructure|platform|api|payments?|lending|fintech|machine learning|ml|ai)\b"
 
 
 def hiring_threads(stories: DataFrame, now: Column, most_days: int = 45) -> DataFrame:
@@ -52,7 +53,7 @@ def startups(rows: DataFrame, known: DataFrame, regions: list[str], most: int) -
     """
     low = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.lower(x))
     labels = F.array_union(low(F.col("industries")), low(F.col("tags")))
-    rows = rows.withColumns({"company_key": name_key(F.col("name")), "tag_matches": F.size(F.array_intersect(labels, F.array(*(F.lit(t) for t in DATA_TAGS)))), "text_match": F.coalesce(F.lower("one_liner").rlike(r"\b(?:data|pipelines?|infrastructure|analytics|warehouse)\b"), F.lit(False))})
+    rows = rows.withColumns({"company_key": name_key(F.col("name")), "tag_matches": F.size(F.array_intersect(labels, F.array(*(F.lit(t) for t in DATA_TAGS)))), "text_match": F.coalesce(F.lower("one_liner").rlike(DATA_TEXT), F.lit(False))})
     team = F.coalesce("team_size", F.lit(0))
     fit = F.coalesce("is_hiring", F.lit(False)) & (F.coalesce("status", F.lit("Active")) == "Active") & F.arrays_overlap(low(F.col("regions")), F.array(*(F.lit(r.lower()) for r in regions)))
     wanted = rows.where(fit & ((F.col("tag_matches") > 0) | F.col("text_match")) & ((team == 0) | (team >= 15)) & (F.col("company_key") != "")).join(known.select("company_key"), "company_key", "left_anti")
