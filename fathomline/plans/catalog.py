@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import histories, listings, pages, scoring  # noqa: F401  they register their queries
+from . import histories, listings, pages, queues, scoring  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES  # noqa: F401
