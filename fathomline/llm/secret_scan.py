@@ -2,7 +2,8 @@
 
 One pass of an Aho-Corasick automaton over the text finds all keywords; each
 pattern is tried only where one of its keywords stands. Runs of hex digits have
-no keyword and are searched directly.
+no keyword and are searched directly. A private key is its whole block, with line
+ends as such or written as backslash and letter.
 """
 
 from __future__ import annotations
@@ -50,7 +51,12 @@ PATTERNS = {
     "access": re.compile(r"AKIA[A-Z0-9]+"),
     "github": re.compile(r"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])"),
     "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    "key": re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    "key": re.compile(
+        r"-----BEGIN ((?:[A-Z]+ )*PRIVATE KEY)-----(?:"
+        r"(?:[^-]++|-(?!----))*+-----END \1-----"  # up to the next row of dashes, if that is the END line
+        r"|(?:(?:\s|\\[rn])*+(?:Proc-Type|DEK-Info):[^\n\\]*+)*+"  # END is missing: head lines and base64 lines, the last one shorter
+        r"(?:(?:(?:\s|\\[rn])*+[A-Za-z0-9+/]{16,}+={0,2}+)++(?:(?:\r?\n|\\n)[ \t]*+[A-Za-z0-9+/]{1,15}+={0,2}+(?![^\s\\\"'`,]))?)?)"
+    ),
 }
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _LOWER = {c: c + 32 for c in range(65, 91)}
