@@ -104,6 +104,17 @@ def test_private_keys_are_found_and_redacted_whole(spark):
         secret_scan.find(text)
 
 
+def test_ibans_end_where_their_check_holds():
+    ibans = ["ES91 2100 0418 4502 0005 1332", "BE68 5390 0754 7034", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "GB29NWBK60161331926819"]
+    for iban in ibans:
+        for after in ("", " BIC", " KBC Bank", " BIC GEBABEBB", " CODE 1234 ABCD", "."):
+            text = f"pay to {iban}{after} today"
+            assert [(s[0], text[s[1] : s[2]]) for s in private.find(text) if s[0] == "iban"] == [("iban", iban)], text
+    text = "bank AB12 CDEF GHIJ BE68 5390 0754 7034 KBC"
+    assert [text[s[1] : s[2]] for s in private.find(text)] == [ibans[1]]
+    assert private.find("bank BE68 5390 0754 7035 KBC") == []
+
+
 def test_queries_count_and_join(spark, tmp_path, docs):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     row = queries.op8_pii(spark, str(tmp_path)).where("doc_id = 13").first()
