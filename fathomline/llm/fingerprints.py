@@ -18,7 +18,8 @@ SEEDS = 8
 LANES = SEEDS * 8
 MODULUS = 1 << 32
 #: A paragraph is a line. Its vector is the sum of the vectors of the line and of its phrases of up to four words.
-PHRASE = r"((?:[^ \n]* ){0,3}[^ \n]*(?:[ \n]|$))"
+#: A phrase ends with its line and doesn't hold the line's end, so it depends on the line alone.
+PHRASE = r"((?=[^\n])(?:[^ \n]* ){0,3}[^ \n]* ?)"
 
 #: Documents to a range of ids on average, and the most ranges that the driver plans for.
 PER_RANGE = 200

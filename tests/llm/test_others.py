@@ -138,6 +138,20 @@ def test_fingerprints_are_homomorphic(spark):
     assert all(r.l == r.x for r in again)
 
 
+def test_fingerprints_depend_on_paragraphs_alone(spark):
+    parts = ["a b", "c d e f g", "", "h  i ", "j"]
+    moved = [[*parts[1:], parts[0]], [parts[0], parts[3], parts[1], parts[4], parts[2]], [parts[4], *parts[:4]]]
+    rows = [("\n".join(parts), "\n".join(m)) for m in moved]
+    for r in spark.createDataFrame(rows, "a string, b string").select(fingerprints.fingerprint(F.col("a")).alias("a"), fingerprints.fingerprint(F.col("b")).alias("b")).collect():
+        assert r.a == r.b
+    rows = [("\n".join(parts[:k]), "\n".join(parts[k:]), "\n".join(parts)) for k in range(1, 5)]
+    got = spark.createDataFrame(rows, "a string, b string, c string").select(*(fingerprints.lanes(F.col(c)).alias(c) for c in "abc"))
+    for r in got.select("a", "c", fingerprints.combine(F.col("a"), F.col("b")).alias("sum"), fingerprints.combine(F.col("c"), F.col("b"), -1).alias("rest")).collect():
+        assert r.sum == r.c and r.rest == r.a
+    units = spark.createDataFrame([("a b\nc d\n\n1 2 3 4 5",)], "t string").select(fingerprints.units(F.col("t")).alias("u")).first().u
+    assert units == ["a b", "c d", "", "1 2 3 4 5", "a b", "c d", "1 2 3 4 ", "5"]
+
+
 def test_edited_texts_and_next_documents(spark, docs, tmp_path):
     docs.where("doc_id is not null").dropDuplicates(["doc_id"]).write.parquet(f"{tmp_path}/documents.parquet")
     rows = sorted(fingerprints.query(spark, str(tmp_path)).collect(), key=lambda r: -r.doc_id)
