@@ -5,7 +5,10 @@ document goes from node to node by the minwise token of its set, a fresh hash
 for each level, until its node is small; the members of small nodes are then
 compared exhaustively. Two sets of similarity s stay together for d levels of a
 tree with probability s^d, and the trees are repeated until a pair at the
-threshold shares a small node with the target recall. Sketches reject pairs
+threshold is missed by all of them with probability MISS at most: TREES trees are
+enough for documents whose nodes are all small at the first depth, and those that
+share a larger node there go through as many more as the last level needs.
+Sketches reject pairs
 that are far apart; all links are confirmed on the full sets. Components grow in
 two rounds: first each member meets one other that it resembles, then only
 members of different components are compared, so a large group of near copies
@@ -27,19 +30,34 @@ from .common import Shelf, map_rows, read, text_bytes
 from .components import components
 
 WORDS = 5
+#: Trees of every document.
 TREES = 16
 LEVELS = 8
+#: The most that the probability may be by which all trees, or one of the two sketches, lose a pair at the threshold.
+MISS = 1e-6
 #: Levels at which nodes are looked at. Nodes above SMALL members branch on to the next one.
 DEPTHS = (2, 3, 4, 6, 8)
 SMALL = 1024
 #: Bytes of the finer sketch, which is made only of documents that the first one can't tell apart.
 FINE = 1024
-#: A pair is sent to the full sets unless its sketch is so many standard errors below the threshold.
-SIGMAS = 4.5
 
 _HASHES = TREES * LEVELS
 
 
+def trees_for(percent: int, depth: int, miss: float = MISS) -> int:
+    """How many trees part a pair at `percent` above `depth` levels with probability `miss` at most."""
+    together = (percent / 100) ** depth
+    return 1 if together >= 1 else math.ceil(math.log(miss) / math.log1p(-together))
+
+
+def sketch_cut(percent: int, n: int) -> float:
+    """The share of `n` equal bytes that a pair at `percent` falls below with probability MISS at most."""
+    share, below, k = percent / 100, 0.0, 0
+    while k < n and (below := below + math.comb(n, k) * share**k * (1 - share) ** (n - k)) <= MISS:
+        k += 1
+    return k / n
+
+
 def _functions(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     random = np.random.Generator(np.random.PCG64(seed))
     return random.integers(0, 2**64, n, np.uint64) | np.uint64(1), random.integers(0, 2**64, n, np.uint64)
@@ -96,25 +114,43 @@ def set_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("data")), rows, "doc_id long, n_shingles long, digest binary, tokens binary, sketch binary", arrow)
 
 
-def _paths(rows: DataFrame, depth: int) -> DataFrame:
-    tokens = F.substr("tokens", F.col("tree") * (4 * LEVELS) + 1, F.lit(4 * depth))
+def _more_tokens(docs: DataFrame, needed: DataFrame, trees: int, id_col: str, text_col: str) -> DataFrame:
+    """rep and its tokens in `trees` trees after the first TREES."""
+    factors, shifts = _functions(20_079, trees * LEVELS)
+    parts = [(factors[at : at + FINE], shifts[at : at + FINE]) for at in range(0, len(factors), FINE)]
+
+    def rows(batch: list[dict]) -> list[dict]:
+        out = []
+        for r in batch:
+            values = shingles(r["data"])
+            out.append({"rep": r["doc_id"], "tokens": b"".join(minwise(values, part).tobytes() for part in parts)})
+        return out
+
+    arrow = pa.schema([("rep", pa.int64()), ("tokens", pa.binary())])
+    return map_rows(_texts(docs, needed, id_col, text_col), rows, "rep long, tokens binary", arrow, 64)
+
+
+def _paths(rows: DataFrame, depth: int, first: int) -> DataFrame:
+    tokens = F.substr("tokens", (F.col("tree") - first) * (4 * LEVELS) + 1, F.lit(4 * depth))
     return rows.withColumn("path", F.xxhash64("tree", tokens))
 
 
-def small_nodes(sets: DataFrame, shelf: Shelf, small: int = SMALL) -> DataFrame:
-    """(node, rep) of all nodes with 2 to `small` members, from every tree.
+def small_nodes(sets: DataFrame, shelf: Shelf, small: int = SMALL, first: int = 0, trees: int = TREES) -> tuple[DataFrame, DataFrame]:
+    """(node, rep) of all nodes with 2 to `small` members, from trees `first` on, and the reps of larger nodes at the first depth.
 
     A node that is still larger at the last level is divided into blocks, and
     each pair of blocks becomes a node, so none of its pairs is lost.
     """
-    rows = sets.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
-    done = []
+    rows = sets.withColumn("tree", F.explode(F.sequence(F.lit(first), F.lit(first + trees - 1))))
+    done, crowded = [], None
     for depth in DEPTHS:
-        rows = _paths(rows, depth).select("tree", "path", "rep")
+        rows = _paths(rows, depth, first).select("tree", "path", "rep")
         sizes = rows.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
-        level = shelf.put(f"level-{depth}", rows.join(sizes, "path"))
+        level = shelf.put(f"level-{first}-{depth}", rows.join(sizes, "path"))
         done.append(level.where(F.col("size") <= small).select(F.xxhash64(F.lit(depth), "path").alias("node"), "rep"))
         large = level.where(F.col("size") > small)
+        if crowded is None:
+            crowded = large.select("rep").distinct()
         if large.isEmpty():
             break
         rows = large.select("tree", "rep").join(sets, "rep")
@@ -126,7 +162,32 @@ def small_nodes(sets: DataFrame, shelf: Shelf, small: int = SMALL) -> DataFrame:
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out
+    return out, crowded
+
+
+def _all_nodes(docs: DataFrame, classes: DataFrame, shelf: Shelf, percent: int, small: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, rep) of the trees that `percent` needs for MISS.
+
+    A pair of which one document meets small nodes only at the first depth is
+    found by TREES trees unless they part it there in each. All other
+    documents go through the trees that the last level needs, in which pairs of
+    them stay together to the end, or to a small node before it.
+    """
+    drop = lambda first: shelf.drop(*(f"level-{first}-{d}" for d in DEPTHS))
+    nodes, crowded = small_nodes(classes.select("rep", "tokens"), shelf, small)
+    nodes = shelf.put("nodes", nodes)
+    trees = trees_for(percent, LEVELS) - TREES
+    if trees_for(percent, DEPTHS[0]) > TREES:
+        crowded = classes.select("rep")
+    if trees > 0 and not crowded.isEmpty():
+        tokens = shelf.put("more-tokens", _more_tokens(docs, crowded, trees, id_col, text_col))
+        drop(0)
+        nodes = nodes.unionByName(shelf.put("more-nodes", small_nodes(tokens, shelf, small, TREES, trees)[0]))
+        shelf.drop("more-tokens")
+        drop(TREES)
+    else:
+        drop(0)
+    return nodes
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Table]]:
@@ -246,11 +307,14 @@ def _links_across(nodes: DataFrame, cut: float, percent: int) -> DataFrame:
     return _by_node(nodes, "shingles").mapInArrow(run, "a long, b long").distinct()
 
 
-def _full_sets(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _texts(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("data"))
-    rows = rows.join(needed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").distinct()
+    return rows.join(needed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").distinct()
+
+
+def _full_sets(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) -> DataFrame:
     arrow = pa.schema([("rep", pa.int64()), ("shingles", pa.binary())])
-    return map_rows(rows, lambda batch: [{"rep": r["doc_id"], "shingles": shingles(r["data"]).tobytes()} for r in batch], "rep long, shingles binary", arrow)
+    return map_rows(_texts(docs, needed, id_col, text_col), lambda batch: [{"rep": r["doc_id"], "shingles": shingles(r["data"]).tobytes()} for r in batch], "rep long, shingles binary", arrow)
 
 
 def _fine_sketches(sets: DataFrame) -> DataFrame:
@@ -286,18 +350,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     ids have a null component and are kept. Other columns aren't returned.
     """
     shelf = Shelf(docs.sparkSession, "neardup")
-    share = percent / 100
-    cut, fine_cut = (share - SIGMAS * math.sqrt(share * (1 - share) / n) for n in (_HASHES, FINE))
+    cut, fine_cut = (sketch_cut(percent, n) for n in (_HASHES, FINE))
     prints = shelf.put("prints", set_prints(docs, id_col, text_col))
     known = prints.where("n_shingles > 0 and doc_id is not null")
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("tokens").alias("tokens"), F.min("sketch").alias("sketch"))
     classes = shelf.put("classes", classes)
-    nodes = small_nodes(classes.select("rep", "tokens"), shelf, small)
-    nodes = shelf.put("nodes", nodes)
+    nodes = _all_nodes(docs, classes, shelf, percent, small, id_col, text_col)
 
     # First one link for each member that resembles another, then what connects different components.
     sketches = classes.select("rep", "sketch")
-    shelf.drop(*(f"level-{d}" for d in DEPTHS))
     sets = shelf.put("sets", _full_sets(docs, nodes, id_col, text_col))
     lone = nodes.join(sketches, "rep").withColumn("component", F.col("rep"))
     tried = shelf.put("tried", _leader_pairs(lone, cut))
@@ -318,7 +379,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     out = prints.select("doc_id", "n_shingles").join(placed, F.col("doc_id") == F.col("_id"), "left")
     component = F.coalesce("_component", "doc_id")
     out = shelf.put("out", out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")))
-    shelf.drop("prints", "classes", "nodes", "sets", "tried", "links", "first", "open", "fine", "close", "more", "final")
+    shelf.drop("prints", "classes", "nodes", "more-nodes", "sets", "tried", "links", "first", "open", "fine", "close", "more", "final")
     return out
 
 

@@ -69,6 +69,32 @@ def test_nodes_above_the_limit_lose_nothing(spark):
     assert {r.component_id for r in out} == {0}
 
 
+def family(n=60, pairs=90):
+    """Texts at 0.77 to each other, and pairs of them at 0.80 that are linked with nothing else."""
+    block = lambda name, size: " ".join(f"{name}x{k}" for k in range(size))
+    shared = block("shared", 180)
+    rows = [f"{shared} {block(f'own{i}', 26)}" for i in range(n)]
+    for i in range(pairs):
+        rows += [f"{shared} {block(f'pair{i}', 4)} {block(f'side{i}and{side}', 22)}" for side in (0, 1)]
+    return list(enumerate(rows))
+
+
+def test_isolated_pairs_at_the_threshold_in_a_large_family(spark):
+    rows = family()
+    want = {i: i if i < 60 else i - i % 2 for i, _ in rows}
+    assert {i: c for i, (_, c) in brute(rows[50:80], 80).items()} == {i: want[i] for i in range(50, 80)}
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80, small=16).collect()
+    assert {r.doc_id: r.component_id for r in out} == want
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_trees_reach_the_target_at_every_depth(percent):
+    for depth in neardup.DEPTHS:
+        trees = neardup.trees_for(percent, depth)
+        assert (1 - (percent / 100) ** depth) ** trees <= neardup.MISS < (1 - (percent / 100) ** depth) ** (trees - 1)
+    assert neardup.trees_for(percent, neardup.DEPTHS[0]) <= neardup.TREES
+
+
 def test_odd_rows(docs):
     out = {}
     for r in neardup.near_duplicates(docs, 85).collect():
