@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 #: Word replacements in titles, in their order.
 TITLE_WORDS = [("sr", "senior"), ("sde", "software engineer"), ("big data", "data")]
@@ -14,9 +18,6 @@ TRACKING = "^(utm_|gclid|fbclid|ref|source|src)"
 #: Public suffixes of two labels.
 TWO_LABEL_SUFFIXES = ["co.in", "net.in", "org.in", "firm.in", "gen.in", "ind.in", "ac.in", "edu.in", "gov.in", "co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "com.br", "com.sg", "co.jp", "co.nz", "co.za", "com.mx", "com.tr", "com.hk"]
 
-#: Entities that are decoded natively; the ampersand comes last.
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&#x27;", "'"), ("&ndash;", "–"), ("&mdash;", "—"), ("&bull;", "•"), ("&amp;", "&")]
-
 
 def normalize_text(value: Column) -> Column:
     """Lower case, with a space for each run of anything but a-z and 0-9."""
@@ -36,20 +37,41 @@ def posting_key(company: Column, title: Column) -> Column:
     return F.struct(F.lower(F.coalesce(company.cast("string"), F.lit(""))).alias("company"), plain.alias("title"))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _unescape(values: pd.Series) -> pd.Series:
+    return values.map(lambda texts: [t and html.unescape(t) for t in texts], na_action="ignore")
+
+
+def unescape_each(values: Column) -> Column:
+    """The texts of an array with all named and numeric entities decoded; arrays without any don't go through Python."""
+    coded = F.exists(values, lambda v: F.coalesce(v.contains("&"), F.lit(False)))
+    return F.coalesce(_unescape(F.when(coded, values)), values)
+
+
 def unescape(value: Column) -> Column:
-    for entity, char in ENTITIES:
-        value = F.replace(value, F.lit(entity), F.lit(char))
-    return value
-
-
-def html_to_text(value: Column, limit: int = 20_000) -> Column:
-    """Visible text with a line for each block element; null gives an empty text."""
-    text = unescape(F.coalesce(value, F.lit("")))
-    text = F.regexp_replace(text, r"(?is)<(script|style|noscript|svg|template)[^>]*>.*?</\1>", " ")
-    text = F.regexp_replace(text, r"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|section|article)[^>]*>", "\n")
-    text = unescape(F.regexp_replace(text, "<[^>]+>", " "))
-    text = F.regexp_replace(F.regexp_replace(text, r"[ \t\r\f\x0B]+", " "), r"\s*\n\s*", "\n")
-    return F.substring(F.trim(F.regexp_replace(text, r"^\s+|\s+$", "")), 1, limit)
+    return F.get(unescape_each(F.array(value)), F.lit(0))
+
+
+def html_to_texts(values: Column, limit: int | None = 20_000) -> Column:
+    """html_to_text of each element of an array, which can't be called in a lambda."""
+
+    def visible(text: Column) -> Column:
+        text = F.regexp_replace(text, r"(?is)<(script|style|noscript|svg|template)[^>]*>.*?</\1>", " ")
+        text = F.regexp_replace(text, r"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|section|article)[^>]*>", "\n")
+        return F.regexp_replace(text, "<[^>]+>", " ")
+
+    def tidy(text: Column) -> Column:
+        text = F.regexp_replace(F.regexp_replace(text, r"[ \t\r\f\x0B]+", " "), r"\s*\n\s*", "\n")
+        text = F.trim(F.regexp_replace(text, r"^\s+|\s+$", ""))
+        return text if limit is None else F.substring(text, 1, limit)
+
+    decoded = unescape_each(F.transform(values, lambda v: F.coalesce(v, F.lit(""))))
+    return F.transform(unescape_each(F.transform(decoded, visible)), tidy)
+
+
+def html_to_text(value: Column, limit: int | None = 20_000) -> Column:
+    """Visible text with a line for each block element, its first `limit` characters if given; null gives an empty text."""
+    return F.get(html_to_texts(F.array(value), limit), F.lit(0))
 
 
 def page_title(html: Column) -> Column:

@@ -40,7 +40,7 @@ def page_titles(t: Tables) -> DataFrame:
 
 @query()
 def html_text(t: Tables) -> DataFrame:
-    visible = text.html_to_text(F.col("html"), 200_000)
+    visible = text.html_to_text(F.col("html"), None)
     return t.pages.select("page_id", F.char_length(visible).alias("n_chars"), F.sha2(visible, 256).alias("sha256"), text.looks_script_rendered(F.col("html")).alias("scripted"))
 
 

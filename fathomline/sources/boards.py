@@ -55,7 +55,8 @@ def greenhouse(landing: DataFrame) -> DataFrame:
 def lever(landing: DataFrame) -> DataFrame:
     rows = _items(landing, _LEVER, None)
     place = F.coalesce(_known(F.col("j.categories.location")), _known(F.array_join("j.categories.allLocations", ", ")), F.lit("Unknown"))
-    lists = F.array_join(F.transform("j.lists", lambda e: F.concat_ws("\n", F.coalesce(e["text"], F.lit("")), text.html_to_text(e["content"]))), " ")
+    heads = F.transform("j.lists", lambda e: F.coalesce(e["text"], F.lit("")))
+    lists = F.array_join(F.zip_with(heads, text.html_to_texts(F.col("j.lists.content")), lambda h, c: F.concat_ws("\n", h, c)), " ")
     parts = [F.coalesce(_known(F.col(f"j.{p}Plain")), _known(text.html_to_text(F.col(f"j.{p}")))) for p in ("description", "additional")]
     pay = F.col("j.salaryRange")
     salary = F.when(pay["min"].isNotNull() & pay["max"].isNotNull(), F.trim(F.concat_ws(" ", pay["currency"], F.concat_ws("-", pay["min"], pay["max"]), pay["interval"])))

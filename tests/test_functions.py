@@ -162,3 +162,20 @@ def test_scores(spark):
     assert one(spark, scores.weighted_mean({"a": F.col("v"), "b": F.lit(0.0)}, {"a": 1, "b": 3}), v=80.0) == 20.0
     assert one(spark, scores.percent(F.col("a"), F.col("b")), a=1, b=3) == 33.3 and one(spark, scores.percent(F.col("a"), F.col("b")), a=1, b=0) is None
     assert one(spark, scores.engineering_quality(F.col("a"), F.col("a"), F.col("a")), a=0) == 50
+
+
+def test_html_entities_and_long_pages(spark, tmp_path):
+    import hashlib
+    import html
+
+    from fathomline.plans import catalog
+
+    coded = "Caf&eacute; &uuml;ber &#8217;x&#x2019; &hearts; &copy2 &amp;lt; &nosuch; A&B"
+    assert one(spark, text.unescape(F.col("h")), h=coded) == html.unescape(coded)
+    assert one(spark, text.page_title(F.col("h")), h=f"<title>{coded}</title>") == html.unescape(coded)
+    assert one(spark, text.html_to_text(F.col("h")), h=None) == "" and one(spark, text.unescape(F.col("h")), h=None) is None
+    pages = [(1, "http://a.com/", "<p>" + "word " * 50_000 + "&eacute;</p>"), (2, "http://a.com/", None)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.n_chars, r.sha256) for r in catalog.QUERIES["html_text"](spark, str(tmp_path)).collect()}
+    whole = "word " * 50_000 + "é"
+    assert got == {1: (250_001, hashlib.sha256(whole.encode()).hexdigest()), 2: (0, hashlib.sha256(b"").hexdigest())}
