@@ -111,7 +111,7 @@ WITH w AS (SELECT p_partkey, p_size, unnest(string_split(p_name, ' ')) AS word F
 SELECT word, count(*) AS parts, sum(p_size)::BIGINT AS sizes FROM w GROUP BY word
 """)
 def multi_value_breakdown(t: Tables) -> DataFrame:
-    words = t.part.select("p_size", F.explode(F.slice(F.split("p_name", " "), 1, 5)).alias("word"))
+    words = t.part.select("p_size", F.explode(F.split("p_name", " ")).alias("word"))
     return words.groupBy("word").agg(F.count("*").alias("parts"), F.sum("p_size").alias("sizes"))
 
 

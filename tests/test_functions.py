@@ -179,3 +179,11 @@ def test_html_entities_and_long_pages(spark, tmp_path):
     got = {r.page_id: (r.n_chars, r.sha256) for r in catalog.QUERIES["html_text"](spark, str(tmp_path)).collect()}
     whole = "word " * 50_000 + "é"
     assert got == {1: (250_001, hashlib.sha256(whole.encode()).hexdigest()), 2: (0, hashlib.sha256(b"").hexdigest())}
+
+
+def test_breakdown_counts_all_words(spark, tmp_path):
+    from fathomline.plans import catalog
+
+    spark.createDataFrame([(1, "a b c d e f g", 2), (2, "g a", 3)], "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.word: (r.parts, r.sizes) for r in catalog.QUERIES["multi_value_breakdown"](spark, str(tmp_path)).collect()}
+    assert got == {**{w: (1, 2) for w in "bcdef"}, "a": (2, 5), "g": (2, 5)}
