@@ -32,12 +32,31 @@ def map_rows(df: DataFrame, rows: Callable[[list[dict]], list[dict]], schema: st
     return df.mapInArrow(run, schema)
 
 
+#: Keys that hold more than one in so many of all rows are heavy; there can't be more heavy keys than this.
+SHARE = 4096
+
+
+def join_by_share(rows: DataFrame, side: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """Inner join with a table of distinct keys, of which `weight` says how many of the `total` rows have each.
+
+    The rows of heavy keys stay where they are and meet a broadcast of at most
+    SHARE keys; only the others are shuffled, so no task gets more of one key
+    than a SHARE-th of all rows.
+    """
+    heavy = F.col(weight) * SHARE > total
+    hot = F.broadcast(side.where(heavy))
+    others = rows.join(hot.select(*keys), keys, "left_anti").join(side.where(~heavy), keys)
+    return rows.join(hot, keys).unionByName(others)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The folder in spark.checkpoint.dir; where that is unset, one of our own on a local master, and an error elsewhere."""
     sc = spark.sparkContext
     if folder := sc.getConf().get("spark.checkpoint.dir"):
         return folder
     if not (folder := sc.getCheckpointDir()):
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="fathomline-"))
         folder = sc.getCheckpointDir()
     return folder

@@ -1,33 +1,52 @@
 """Repeated passages, by sorting suffixes blockwise with ranks from a cover sample.
 
-The cover sample holds, of every window of LENGTH bytes, the place whose gram
-has the smallest hash. Like the places of a difference cover, it gives two equal
-windows a common offset at which both are sampled; as it follows the content,
-it takes one place in about 170 and keeps equal windows together. A block is
-what shares a sampled gram, and one block after another is sorted: suffixes that
-start before the sampled place are ordered by the bytes up to it, and ties among
-them by the precomputed rank of what follows it. Only blocks whose members
-differ need their bytes. Blocks too large for one task are decided by a hash of
-each window instead, which partial aggregation makes safe for any skew.
+A text is a sequence of items: its bytes, or its words, of which each stands as
+a 64-bit hash. The cover sample holds, of every window of the unit's length, the
+place whose gram has the smallest hash. Like the places of a difference cover, it
+gives two equal windows a common offset at which both are sampled; as it follows
+the content, it takes one place in about 170 bytes and keeps equal windows
+together. A block is what shares a sampled gram, and one block after another is
+sorted: suffixes that start before the sampled place are ordered by the items up
+to it, and ties among them by the precomputed rank of what follows it. Only
+blocks whose members differ need their items. Blocks too large for one task are
+decided by a hash of each window instead, which partial aggregation makes safe
+for any skew.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shelf, map_rows, read, text_bytes
+from .common import Shelf, join_by_share, map_rows, read, text_bytes
 
 LENGTH = 400
-GRAM = 64
-#: A sampled place is at most so many bytes behind the start of its window.
-REACH = LENGTH - GRAM
-#: Bytes of a text that are hashed at a time; longer texts go in overlapping pieces.
+#: A passage of so many words, upper and lower case alike, is repeated if another document has it too.
+PASSAGE_WORDS = 50
+
+
+class Unit(NamedTuple):
+    """Bytes to an item, items to a window, items to a gram (a power of 2)."""
+
+    item: int
+    length: int
+    gram: int
+
+    @property
+    def reach(self) -> int:
+        """A sampled place is at most so many items behind the start of its window."""
+        return self.length - self.gram
+
+
+#: The lowest bit of a gram's hash tells its unit.
+UNITS = (Unit(1, LENGTH, 64), Unit(8, PASSAGE_WORDS, 8))
+#: Items of a text that are hashed at a time; longer texts go in overlapping pieces.
 PIECE = 1 << 20
 #: Different members of a block that one task sorts at most.
 BLOCK = 4096
@@ -38,6 +57,11 @@ _TABLE = np.random.Generator(np.random.PCG64(400)).integers(0, 2**64, 256, np.ui
 _M, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
+def items(text: bytes, unit: int) -> bytes:
+    """The text itself, or the hashes of its words in lower case."""
+    return b"".join(map(xxhash.xxh64_digest, text.lower().split())) if unit else text
+
+
 def _smallest(values: np.ndarray, width: int) -> np.ndarray:
     """The minimum of each `width` neighbours."""
     done = 1
@@ -47,38 +71,41 @@ def _smallest(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - done)], values[width - done :]) if width > done else values
 
 
-def sample(pieces: list[bytes]) -> tuple[np.ndarray, ...]:
+def sample(pieces: list[bytes], unit: int = 0) -> tuple[np.ndarray, ...]:
     """For each run of windows with one sampled place: piece, place, first and last start of the run, gram's hash.
 
-    Places are counted from the start of the piece.
+    Places are counted in items from the start of the piece.
     """
-    buffer = np.frombuffer(b"".join(pieces), np.uint8)
-    if len(buffer) < LENGTH:
+    item, length, gram = UNITS[unit]
+    buffer = np.frombuffer(b"".join(pieces), "<u8" if unit else np.uint8)
+    if len(buffer) < length:
         return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
-    grams, width, factor = _TABLE[buffer], 1, _M
+    grams, width, factor = buffer if unit else _TABLE[buffer], 1, _M
     with np.errstate(over="ignore"):
-        while width < GRAM:
+        while width < gram:
             grams = grams[:-width] * factor + grams[width:]
             factor, width = factor * factor, width * 2
         grams ^= grams >> np.uint64(32)
         grams *= _MIX
     order = (grams & ~_LOW) | np.arange(len(grams), dtype=np.uint64)
-    place = (_smallest(order, REACH + 1) & _LOW).astype(np.int64)
-    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    place = (_smallest(order, UNITS[unit].reach + 1) & _LOW).astype(np.int64)
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // item
     begins = np.cumsum(sizes) - sizes
-    windows = np.maximum(sizes - LENGTH + 1, 0)
+    windows = np.maximum(sizes - length + 1, 0)
     piece = np.repeat(np.arange(len(pieces)), windows)
     starts = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows) + begins[piece]
     at = place[starts]
     new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (piece[1:] != piece[:-1])]) if len(at) else np.zeros(0, np.int64)
     last = np.r_[new[1:], len(at)] - 1
     piece, at = piece[new], at[new]
-    return piece, at - begins[piece], starts[new] - begins[piece], starts[last] - begins[piece], grams[at]
+    marked = (grams[at] & ~np.uint64(1)) | np.uint64(unit)
+    return piece, at - begins[piece], starts[new] - begins[piece], starts[last] - begins[piece], marked
 
 
-def _pieces(text: bytes) -> Iterator[tuple[int, bytes]]:
-    for at in range(0, max(1, len(text) - LENGTH + 1), PIECE):
-        yield at, text[at : at + PIECE + LENGTH - 1]
+def _pieces(data: bytes, unit: int = 0) -> Iterator[tuple[int, bytes]]:
+    item, length, _ = UNITS[unit]
+    for at in range(0, max(1, len(data) // item - length + 1), PIECE):
+        yield at, data[at * item : (at + PIECE + length - 1) * item]
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -87,84 +114,113 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(data).alias("key"), data.alias("data"))
 
 
+_PLACES = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("place", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("gram", pa.int64()), ("member", pa.int64())])
+
+
 def cover_sample(keyed: DataFrame) -> DataFrame:
-    """(doc, key, place, low, high, gram, member): the sampled places of all texts.
+    """(doc, key, place, low, high, gram, member): the sampled places of all texts in both units.
 
     low and high are the first and last start of the windows that the place
-    stands for, member is a hash of all bytes of these windows.
+    stands for, member is a hash of all items of these windows.
     """
 
-    def rows(batch: list[dict]) -> list[dict]:
-        out, held, size = [], [], 0
-
-        def flush():
-            parts = [p for _, _, p in held]
-            for i, place, low, high, gram in zip(*(x.tolist() for x in sample(parts))):
-                row, base, part = held[i]
-                member = xxhash.xxh64_intdigest(part[low : high + LENGTH], place - low)
-                out.append({"doc": row["doc"], "key": row["key"], "place": base + place, "low": base + low, "high": base + high, "gram": gram - 2**63, "member": member - 2**63})
-
-        for row in batch:
-            for base, part in _pieces(row["data"]):
-                if len(part) >= LENGTH:
-                    if size + len(part) > 2 * PIECE and held:
-                        flush()
-                        held, size = [], 0
-                    held.append((row, base, part))
-                    size += len(part)
-        flush()
-        return out
+    def places(held: list[tuple[int, int, int, bytes]], unit: int) -> pa.RecordBatch:
+        item, length, _ = UNITS[unit]
+        parts = [h[3] for h in held]
+        docs, keys, bases = (np.array([h[i] for h in held], np.int64) for i in range(3))
+        piece, place, low, high, gram = sample(parts, unit)
+        ends = zip(piece.tolist(), place.tolist(), low.tolist(), high.tolist())
+        members = np.fromiter((xxhash.xxh64_intdigest(parts[i][a * item : (b + length) * item], p - a) for i, p, a, b in ends), np.uint64, len(piece))
+        longs = [docs[piece], keys[piece], *((x + bases[piece]).astype(np.int32) for x in (place, low, high)), gram.view(np.int64), members.view(np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in longs], schema=_PLACES)
 
-    names = ["doc", "key", "place", "low", "high", "gram", "member"]
-    return map_rows(keyed.select("doc", "key", "data"), rows, ", ".join(f"{n} long" for n in names), pa.schema([(n, pa.int64()) for n in names]), 256)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for unit, (item, length, _) in enumerate(UNITS):
+                held, size = [], 0
+                for doc, key, text in zip(batch["doc"].to_pylist(), batch["key"].to_pylist(), batch["data"]):
+                    for base, part in _pieces(items(text.as_py(), unit), unit):
+                        if len(part) < length * item:
+                            continue
+                        if size + len(part) // item > 2 * PIECE and held:
+                            yield places(held, unit)
+                            held, size = [], 0
+                        held.append((doc, key, base, part))
+                        size += len(part) // item
+                if held:
+                    yield places(held, unit)
 
+    return keyed.select("doc", "key", "data").mapInArrow(run, "doc long, key long, place int, low int, high int, gram long, member long")
 
-def _member_bytes(keyed: DataFrame, members: DataFrame) -> DataFrame:
-    """The bytes of the windows of each member, from the one document that stands for it."""
-    wanted = members.groupBy("doc", "key").agg(F.collect_list(F.struct("gram", "member", "many", "place", "low", "high", "size")).alias("wanted"))
+
+_HEAD = ["gram", "member", "many", "settled", "least", "most"]
+_HEAD_SQL = "gram long, member long, many long, settled boolean, least long, most long"
+_HEAD_ARROW = [("gram", pa.int64()), ("member", pa.int64()), ("many", pa.int64()), ("settled", pa.bool_()), ("least", pa.int64()), ("most", pa.int64())]
+
+
+def _member_items(keyed: DataFrame, heads: DataFrame) -> DataFrame:
+    """The items of the windows of each member, from the one document that stands for it."""
+    wanted = heads.groupBy("doc", "key").agg(F.collect_list(F.struct(*_HEAD, "place", "low", "high", "size")).alias("wanted"))
 
     def rows(batch: list[dict]) -> list[dict]:
-        return [
-            {"gram": w["gram"], "member": w["member"], "many": w["many"], "size": w["size"], "before": w["place"] - w["low"], "after": w["place"] - w["high"], "data": r["data"][w["low"] : w["high"] + LENGTH]}
-            for r in batch
-            for w in r["wanted"]
-        ]
+        out = []
+        for r in batch:
+            data: dict[int, bytes] = {}
+            for w in r["wanted"]:
+                unit = w["gram"] & 1
+                if unit not in data:
+                    data[unit] = items(r["data"], unit)
+                item, length, _ = UNITS[unit]
+                out.append({**{n: w[n] for n in _HEAD}, "size": w["size"], "before": w["place"] - w["low"], "after": w["place"] - w["high"], "data": data[unit][w["low"] * item : (w["high"] + length) * item]})
+        return out
 
-    once = keyed.select("doc", "key", "data").join(wanted, ["doc", "key"]).select("data", "wanted")
-    arrow = pa.schema([("gram", pa.int64()), ("member", pa.int64()), ("many", pa.int64()), ("size", pa.int64()), ("before", pa.int64()), ("after", pa.int64()), ("data", pa.binary())])
-    return map_rows(once, rows, "gram long, member long, many long, size long, before long, after long, data binary", arrow, 64)
+    once = keyed.select("doc", "key", "data").join(wanted, ["doc", "key"]).dropDuplicates(["doc", "key"]).select("data", "wanted")
+    arrow = pa.schema([*_HEAD_ARROW, ("size", pa.int64()), ("before", pa.int64()), ("after", pa.int64()), ("data", pa.binary())])
+    return map_rows(once, rows, f"{_HEAD_SQL}, size long, before long, after long, data binary", arrow, 64)
 
 
-def _ranks(block: np.ndarray, texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of the texts within their blocks, and how many bytes each shares with the one before it, -1 for a new block."""
-    padded = [t.ljust(width, b"\0") for t in texts]
+def _ranks(block: np.ndarray, texts: list[bytes], width: int, item: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the texts within their blocks, and how many items each shares with the one before it, -1 for a new block."""
+    padded = [t.ljust(width * item, b"\0") for t in texts]
     order = np.array(sorted(range(len(texts)), key=lambda i: (block[i], padded[i])))
-    rows = np.frombuffer(b"".join(padded), np.uint8).reshape(-1, width)[order]
+    rows = np.frombuffer(b"".join(padded), np.uint8).reshape(-1, width * item)[order]
     differ = rows[1:] != rows[:-1]
-    shared = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+    shared = np.where(differ.any(axis=1), differ.argmax(axis=1) // item, width)
     shared[block[order[1:]] != block[order[:-1]]] = -1
     return order, np.r_[-1, shared]
 
 
-def repeated_offsets(block: np.ndarray, data: list[bytes], before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """Whether the window that starts r bytes before the sampled place is found in another member of the block.
+def _backwards(data: bytes, item: int) -> bytes:
+    return data[::-1] if item == 1 else np.frombuffer(data, "<u8")[::-1].tobytes()
+
 
-    A (members, REACH + 1) array; `before` and `after` are each member's largest and smallest r.
+def repeated_offsets(block: np.ndarray, data: list[bytes], before: np.ndarray, after: np.ndarray, unit: int, least: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether the window that starts r items before the sampled place is found in another member of the block.
+
+    A (members, reach + 1) array; `before` and `after` are each member's largest
+    and smallest r, `least` and `most` the smallest and largest of its documents.
+    A window of words must be found in another document.
     """
-    n = len(data)
-    left, left_shared = _ranks(block, [d[:b][::-1] for d, b in zip(data, before)], REACH)
-    right, right_shared = _ranks(block, [d[b:] for d, b in zip(data, before)], LENGTH)
-    out, a, b = np.zeros((n, REACH + 1), bool), np.empty(n, np.int64), np.empty(n, np.int64)
-    for r in range(REACH + 1):
+    item, length, _ = UNITS[unit]
+    n, reach = len(data), UNITS[unit].reach
+    left, left_shared = _ranks(block, [_backwards(d[: b * item], item) for d, b in zip(data, before)], reach, item)
+    right, right_shared = _ranks(block, [d[b * item :] for d, b in zip(data, before)], length, item)
+    out, a, b = np.zeros((n, reach + 1), bool), np.empty(n, np.int64), np.empty(n, np.int64)
+    for r in range(reach + 1):
         has = np.flatnonzero((after <= r) & (r <= before))
         if len(has) < 2:
             continue
-        a[left] = np.cumsum(left_shared < r)  # equal numbers: the same r bytes before the place
-        b[right] = np.cumsum(right_shared < LENGTH - r)  # and the same bytes from it on
+        a[left] = np.cumsum(left_shared < r)  # equal numbers: the same r items before the place
+        b[right] = np.cumsum(right_shared < length - r)  # and the same items from it on
         both = a[has] * (n + 1) + b[has]
         order = np.argsort(both, kind="stable")
         same = both[order[1:]] == both[order[:-1]]
-        out[has[order], r] = np.r_[False, same] | np.r_[same, False]
+        if unit:
+            starts = np.flatnonzero(np.r_[True, ~same])
+            wide = np.minimum.reduceat(least[has[order]], starts) < np.maximum.reduceat(most[has[order]], starts)
+            out[has[order], r] = np.repeat(wide, np.diff(np.r_[starts, len(order)]))
+        else:
+            out[has[order], r] = np.r_[False, same] | np.r_[same, False]
     return out
 
 
@@ -174,23 +230,27 @@ def _intervals(flags: np.ndarray) -> list[dict]:
 
 
 _SPANS = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-_FOUND = pa.schema([("gram", pa.int64()), ("member", pa.int64()), ("offsets", _SPANS)])
-_FOUND_SQL = "gram long, member long, offsets array<struct<a:long,b:long>>"
+_FOUND = pa.schema([("gram", pa.int64()), ("member", pa.int64()), ("many", pa.int64()), ("offsets", _SPANS)])
+_FOUND_SQL = "gram long, member long, many long, offsets array<struct<a:long,b:long>>"
 
 
 def _sort_blocks(members: DataFrame) -> DataFrame:
-    """(gram, member, offsets): repeated offsets of members that are found once, a block at a time."""
+    """(gram, member, many, offsets): repeated offsets of members that aren't settled, a block at a time."""
 
     def solve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        if not rows.num_rows:
-            return
-        gram, many = rows["gram"].to_numpy(), rows["many"].to_numpy()
-        block = np.cumsum(np.r_[0, gram[1:] != gram[:-1]])
-        flags = repeated_offsets(block, rows["data"].to_pylist(), rows["before"].to_numpy(), rows["after"].to_numpy())
-        members = rows["member"].to_pylist()
-        out = [{"gram": int(gram[i]), "member": members[i], "offsets": _intervals(flags[i])} for i in np.flatnonzero(flags.any(axis=1) & (many == 1))]
-        if out:
-            yield pa.RecordBatch.from_pylist(out, schema=_FOUND)
+        gram = rows["gram"].to_numpy()
+        block = np.cumsum(np.r_[0, gram[1:] != gram[:-1]]) if len(gram) else gram
+        for unit in range(len(UNITS)):
+            mine = np.flatnonzero(gram & 1 == unit)
+            if not len(mine):
+                continue
+            part = rows.take(pa.array(mine))
+            numbers = {c: part[c].to_numpy() for c in ("before", "after", "least", "most")}
+            flags = repeated_offsets(block[mine], part["data"].to_pylist(), unit=unit, **numbers)
+            open_ = np.flatnonzero(flags.any(axis=1) & ~part["settled"].to_numpy())
+            heads = part.select(["gram", "member", "many"]).take(pa.array(open_)).to_pylist()
+            if heads:
+                yield pa.RecordBatch.from_pylist([h | {"offsets": _intervals(flags[i])} for h, i in zip(heads, open_)], schema=_FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -209,54 +269,60 @@ def _sort_blocks(members: DataFrame) -> DataFrame:
 
 
 def _hash_windows(members: DataFrame) -> DataFrame:
-    """The same for blocks of any size, by grouping the windows' hashes."""
+    """The same for blocks of any size, by grouping the windows' hashes. Windows of settled members are repeated as such."""
 
     def rows(batch: list[dict]) -> list[dict]:
         out = []
         for w in batch:
-            if w["many"] == 1:
-                for r in range(w["after"], w["before"] + 1):
-                    at = w["before"] - r
-                    out.append({"window": xxhash.xxh128_digest(w["data"][at : at + LENGTH]), "gram": w["gram"], "member": w["member"], "r": r})
-            else:  # found elsewhere as a whole: its windows count twice
-                for r in range(w["after"], w["before"] + 1):
-                    at = w["before"] - r
-                    out.append({"window": xxhash.xxh128_digest(w["data"][at : at + LENGTH]), "gram": None, "member": None, "r": r})
+            item, length, _ = UNITS[w["gram"] & 1]
+            for r in range(w["after"], w["before"] + 1):
+                at = (w["before"] - r) * item
+                out.append({**{n: w[n] for n in _HEAD}, "window": xxhash.xxh128_digest(w["data"][at : at + length * item], w["gram"] & 1), "r": r})
         return out
 
-    arrow = pa.schema([("window", pa.binary()), ("gram", pa.int64()), ("member", pa.int64()), ("r", pa.int64())])
-    windows = map_rows(members, rows, "window binary, gram long, member long, r long", arrow, 64)
-    repeated = windows.groupBy("window").agg(F.count("*").alias("n"), F.count_if(F.col("gram").isNull()).alias("whole")).where("n > 1 or whole > 0").select("window")
-    found = windows.where("gram is not null").join(repeated, "window").groupBy("gram", "member").agg(F.collect_list("r").alias("rs"))
-    return found.select("gram", "member", F.transform("rs", lambda r: F.struct(r.alias("a"), r.alias("b"))).alias("offsets"))
+    arrow = pa.schema([*_HEAD_ARROW, ("window", pa.binary()), ("r", pa.int64())])
+    windows = map_rows(members, rows, f"{_HEAD_SQL}, window binary, r long", arrow, 64)
+    each = windows.groupBy("window").agg(F.count("*").alias("n"), F.bool_or("settled").alias("any"), F.min("least").alias("least"), F.max("most").alias("most"), F.max(F.col("gram").bitwiseAND(F.lit(1))).alias("unit"))
+    repeated = each.where(F.col("any") | F.when(F.col("unit") == 0, F.col("n") > 1).otherwise(F.col("least") < F.col("most"))).select("window")
+    found = windows.where("not settled").select("gram", "member", "many", "window", "r").join(repeated, "window").groupBy("gram", "member", "many").agg(F.collect_set("r").alias("rs"))
+    return found.select("gram", "member", "many", F.transform("rs", lambda r: F.struct(r.alias("a"), r.alias("b"))).alias("offsets"))
 
 
 def repeated_spans(keyed: DataFrame, shelf: Shelf) -> DataFrame:
-    """(doc, key, spans): for each text with repeated windows, the byte ranges that they cover, unmerged."""
+    """(doc, key, spans, passages): for each text with repeated windows, the ranges of bytes and of words that they cover, unmerged."""
+    owner = F.xxhash64("doc", "key")
+    of_words = F.col("gram").bitwiseAND(F.lit(1)) == 1
     places = shelf.put("places", cover_sample(keyed))
-    blocks = places.groupBy("gram").agg(F.count("*").alias("n"), F.min("member").alias("least"), F.max("member").alias("most")).where("n > 1")
-    shared = shelf.put("shared", places.join(blocks.select("gram", (F.col("least") < F.col("most")).alias("mixed")), "gram"))
+    total = places.count()
+    blocks = places.groupBy("gram").agg(F.count("*").alias("n"), F.min("member").alias("first"), F.max("member").alias("last"), F.min(owner).alias("least"), F.max(owner).alias("most"))
+    blocks = blocks.where((F.col("n") > 1) & (~of_words | (F.col("least") < F.col("most")))).select("gram", "n", (F.col("first") < F.col("last")).alias("mixed"))
+    shared = shelf.put("shared", join_by_share(places, blocks, ["gram"], "n", total).drop("n"))
     shelf.drop("places")
 
     mixed = shared.where("mixed")
-    members = mixed.groupBy("gram", "member").agg(F.count("*").alias("many"), F.min(F.struct("doc", "key", "place", "low", "high")).alias("at")).select("gram", "member", "many", "at.*")
-    sizes = members.groupBy("gram").agg(F.count("*").alias("size"))
-    members = shelf.put("members", _member_bytes(keyed, members.join(sizes, "gram")))
+    heads = mixed.groupBy("gram", "member").agg(F.count("*").alias("many"), F.min(owner).alias("least"), F.max(owner).alias("most"), F.min(F.struct("doc", "key", "place", "low", "high")).alias("at"))
+    settled = F.when(of_words, F.col("least") < F.col("most")).otherwise(F.col("many") > 1)
+    heads = shelf.put("heads", heads.select("gram", "member", "many", "least", "most", settled.alias("settled"), "at.*"))
+    sizes = heads.groupBy("gram").agg(F.count("*").alias("size"))
+    members = shelf.put("members", _member_items(keyed, join_by_share(heads, sizes, ["gram"], "size", heads.count())))
     once = _sort_blocks(members.where(F.col("size") <= BLOCK).drop("size"))
     large = members.where(F.col("size") > BLOCK)
     if not large.isEmpty():
         once = once.unionByName(_hash_windows(large.drop("size")))
     found = shelf.put("found", once)
-
-    # Members that are found more than once are repeated as a whole; so are blocks of equal members.
-    whole = shelf.put("whole", members.where("many > 1").select("gram", "member").distinct())
     shelf.drop("members")
-    span = lambda a, b: F.struct(a.cast("int").alias("a"), (b + LENGTH).cast("int").alias("b"))
-    all_of = span(F.col("low"), F.col("high"))
-    spans = shared.where("not mixed").select("doc", "key", F.array(all_of).alias("s"))
-    spans = spans.unionByName(mixed.join(whole, ["gram", "member"]).select("doc", "key", F.array(all_of).alias("s")))
-    some = mixed.join(found, ["gram", "member"]).select("doc", "key", F.transform("offsets", lambda o: span(F.col("place") - o["b"], F.col("place") - o["a"])).alias("s"))
-    return spans.unionByName(some).groupBy("doc", "key").agg(F.flatten(F.collect_list("s")).alias("spans"))
+
+    # Settled members are repeated as a whole; so are blocks of equal members.
+    length = F.when(of_words, PASSAGE_WORDS).otherwise(LENGTH)
+    span = lambda a, b: F.struct(a.cast("int").alias("a"), (b + length).cast("int").alias("b"))
+    all_of = F.array(span(F.col("low"), F.col("high")))
+    verdicts = heads.where("settled").select("gram", "member", "many", F.lit(None).cast("array<struct<a:long,b:long>>").alias("offsets")).unionByName(found)
+    judged = join_by_share(mixed, verdicts, ["gram", "member"], "many", shared.count())
+    some = F.transform("offsets", lambda o: span(F.col("place") - o["b"], F.col("place") - o["a"]))
+    spans = shared.where("not mixed").select("doc", "key", of_words.alias("words"), all_of.alias("s"))
+    spans = spans.unionByName(judged.select("doc", "key", of_words.alias("words"), F.coalesce(some, all_of).alias("s")))
+    one = lambda words: F.flatten(F.collect_set(F.when(F.col("words") == words, F.col("s"))))
+    return spans.groupBy("doc", "key").agg(one(False).alias("spans"), one(True).alias("passages"))
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -271,17 +337,20 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of `docs`: doc_id, n_bytes, removed (ranges of bytes), kept (the other bytes).
+    """Per row of `docs`: doc_id, n_bytes, removed (ranges of bytes), kept (the other bytes), passages (ranges of words).
 
     A byte goes if a string of LENGTH bytes that covers it also starts anywhere
-    else, in the same text or another, all occurrences alike. Null and short texts
-    keep everything. Rows that are repeated with their id are repeats of each
-    other. A removed range may end inside a character, so kept is binary.
+    else, in the same text or another, all occurrences alike. passages are the
+    runs of words, counted from 0, that are covered by PASSAGE_WORDS words which
+    another document has too; they are reported and not removed. Null and short
+    texts keep everything. Rows that are repeated with their id are repeats of
+    each other, and one document. A removed range may end inside a character, so
+    kept is binary. Other columns aren't returned.
     """
     shelf = Shelf(docs.sparkSession, "passages")
     keyed = _keyed(docs, id_col, text_col)
     spans = shelf.put("spans", repeated_spans(keyed, shelf))
-    shelf.drop("shared", "found", "whole")
+    shelf.drop("shared", "found", "heads")
 
     def rows(batch: list[dict]) -> list[dict]:
         out = []
@@ -291,14 +360,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 parts.append(r["data"][at:a])
                 at = b
             kept = b"".join([*parts, r["data"][at:]])
-            out.append({"doc_id": r["doc_id"], "n_bytes": len(r["data"]), "removed": [{"a": a, "b": b} for a, b in removed], "kept": kept})
+            ranges = lambda spans: [{"a": a, "b": b} for a, b in spans]
+            out.append({"doc_id": r["doc_id"], "n_bytes": len(r["data"]), "removed": ranges(removed), "kept": kept, "passages": ranges(merged(r["passages"] or []))})
         return out
 
-    arrow = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("removed", _SPANS), ("kept", pa.binary())])
-    return map_rows(keyed.join(spans, ["doc", "key"], "left").select("doc_id", "data", "spans"), rows, "doc_id long, n_bytes long, removed array<struct<a:long,b:long>>, kept binary", arrow, 64)
+    arrow = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("removed", _SPANS), ("kept", pa.binary()), ("passages", _SPANS)])
+    ranges = "array<struct<a:long,b:long>>"
+    return map_rows(keyed.join(spans, ["doc", "key"], "left").select("doc_id", "data", "spans", "passages"), rows, f"doc_id long, n_bytes long, removed {ranges}, kept binary, passages {ranges}", arrow, 64)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is removed of each document, and how many of its words are in passages that another document has.
+
+    Null texts count as empty; remove_repeats says what holds for other odd rows.
+    """
     out = remove_repeats(read(spark, sf_dir, "documents"))
-    total: Column = F.aggregate("removed", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])
-    return out.select("doc_id", "n_bytes", total.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    total = lambda spans: F.aggregate(spans, F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])
+    return out.select("doc_id", "n_bytes", total("removed").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), total("passages").alias("n_passage_words"))

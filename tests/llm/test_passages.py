@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from fathomline.llm import passages
+from fathomline.llm import common, passages
 
 
 def brute(texts):
@@ -35,21 +35,46 @@ def corpus(seed):
             parts += [prose(rnd.randrange(0, 60)), rnd.choice([*passages_, "", ""])]
         texts.append("".join(parts))
     exact = passages_[0].encode()[:400].decode(errors="ignore")
-    return [*texts, texts[0], texts[1] + "x", "z" * 399, "z" * 399, "q" * 400, "q" * 401, "ab" * 500, exact + "!" * 30, "", None]
+    short = " ".join(rnd.choice("abcdefghijkl") + str(rnd.randrange(9)) for _ in range(51))
+    own = " ".join(f"own{i}" for i in range(60))
+    fifty = [f"{prose(9)} {short} {prose(5)}", f"{short.upper()} {prose(7)}", f"z {short.rsplit(' ', 1)[0]}", f"y {short.rsplit(' ', 2)[0]}", f"{own} {own}"]
+    return [*texts, *fifty, texts[0], texts[1] + "x", "z" * 399, "z" * 399, "q" * 400, "q" * 401, "ab" * 500, exact + "!" * 30, "", None]
+
+
+def brute_words(texts, n=50):
+    """How many words of each text are in runs of n words that another row has."""
+    words = [t.lower().split() for t in texts]
+    has = collections.defaultdict(set)
+    for i, w in enumerate(words):
+        for at in range(len(w) - n + 1):
+            has[tuple(w[at : at + n])].add(i)
+    out = []
+    for w in words:
+        shared = set()
+        for at in range(len(w) - n + 1):
+            if len(has[tuple(w[at : at + n])]) > 1:
+                shared |= set(range(at, at + n))
+        out.append(len(shared))
+    return out
 
 
 def result(df):
-    return {r.doc_id: (r.n_bytes, sum(x.b - x.a for x in r.removed), len(r.removed), hashlib.sha256(r.kept).hexdigest()) for r in passages.remove_repeats(df).collect()}
+    size = lambda spans: sum(x.b - x.a for x in spans)
+    return {r.doc_id: (r.n_bytes, size(r.removed), len(r.removed), hashlib.sha256(r.kept).hexdigest(), size(r.passages)) for r in passages.remove_repeats(df).collect()}
 
 
 @pytest.mark.parametrize("block", [4096, 1])
-def test_against_all_strings(spark, monkeypatch, block):
+@pytest.mark.parametrize("share", [4096, 20])
+def test_against_all_strings(spark, monkeypatch, block, share):
+    monkeypatch.setattr(common, "SHARE", share)  # with few keys that may be heavy, most are joined by a shuffle
     monkeypatch.setattr(passages, "BLOCK", block)  # 1: every block with differing members goes the way of large ones
     texts = corpus(block)
-    want = brute([(t or "").encode() for t in texts])
+    data = [(t or "").encode() for t in texts]
+    want = [(*w, n) for w, n in zip(brute(data), brute_words(data))]
     got = result(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4))
     assert [got[i] for i in range(len(texts))] == want
     assert sum(w[1] for w in want) > 5000
+    assert [w[4] for w in want[30:35]] == [51, 51, 50, 0, 0]  # the last repeats only itself
 
 
 def test_texts_longer_than_a_piece(monkeypatch):
@@ -71,3 +96,11 @@ def test_odd_rows_and_empty_table(docs, nothing):
     assert by[6].kept == b""  # a phrase over and over is all repeats
     assert len(by[12].kept) == len("Grüße aus Köln – 日本語 😀 café".encode())
     assert passages.remove_repeats(nothing).count() == 0
+
+
+def test_rows_repeated_with_their_id_are_solved_once(spark):
+    text = " ".join(f"w{i}" for i in range(400))
+    rows = [(7, text)] * 40 + [(None, text)] * 3 + [(8, text[:900] + "!"), (9, text[:600] + "?")]
+    out = passages.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == len(rows) and all(len(r.removed) == 1 and len(r.passages) == 1 for r in out)
+    assert {len(r.kept) for r in out if r.doc_id == 7} == {0}
