@@ -31,23 +31,21 @@ def units(text: Column) -> Column:
     return F.concat(F.split(text, "\n", -1), F.regexp_extract_all(text, F.lit(PHRASE), F.lit(1)))
 
 
-def lanes(text: Column) -> Column:
-    """The sums of the lanes, as an array of numbers from -2^31 to 2^31 - 1.
+def lane_sums(rows: DataFrame, keys: list[str], text_col: str) -> DataFrame:
+    """The keys and lanes: for each key the sums of its texts' vectors, as an array of numbers from -2^31 to 2^31 - 1.
 
     A lane adds bytes shifted to -128..127, so that the lanes of unrelated
-    documents are not alike.
+    documents are not alike. Rows of one key add up to the multiset of all their
+    paragraphs. Null texts count as empty. Units are rows of a task that are
+    summed before anything is shuffled; where the rows already lie by one of the
+    keys, nothing is.
     """
-    hashes = F.transform(units(text), lambda u: F.array(*(F.xxhash64(F.lit(seed), u) for seed in range(SEEDS))))
-
-    def byte(h: Column, i: Column) -> Column:
-        return F.call_function("shiftright", F.get(h, F.floor(i / 8).cast("int")), (i % 8) * 8).bitwiseAND(F.lit(255)) - 128
-
-    def sums(hs: Column) -> Column:
-        total = lambda i: F.aggregate(hs, F.lit(0).cast("long"), lambda s, h: s + byte(h, i))
-        return F.transform(F.sequence(F.lit(0), F.lit(LANES - 1)), lambda i: signed(total(i)))
-
-    # The array of one element binds the hashes, so that they are made once and not for each lane.
-    return F.get(F.transform(F.array(hashes), sums), F.lit(0))
+    unit, hashes = "__fp_unit", [f"__fp_hash{seed}" for seed in range(SEEDS)]
+    each = rows.select(*keys, F.explode(units(F.coalesce(F.col(text_col), F.lit("")))).alias(unit))
+    each = each.select(*keys, *(F.xxhash64(F.lit(seed), unit).alias(name) for seed, name in enumerate(hashes)))
+    byte = lambda i: F.shiftright(hashes[i // 8], i % 8 * 8).bitwiseAND(F.lit(255)) - 128
+    sums = each.groupBy(*keys).agg(*(F.sum(byte(i)).alias(f"__fp_lane{i}") for i in range(LANES)))
+    return sums.select(*keys, F.array(*(signed(F.col(f"__fp_lane{i}")) for i in range(LANES))).alias("lanes"))
 
 
 def signed(value: Column) -> Column:
@@ -64,10 +62,6 @@ def from_text(print_: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(LANES - 1)), lambda i: signed(F.conv(F.substr(print_, i * 8 + 1, F.lit(8)), 16, 10).cast("long")))
 
 
-def fingerprint(text: Column) -> Column:
-    return as_text(lanes(text))
-
-
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
     """The lanes of two multisets together (sign 1), or of `a` without what `b` holds (sign -1)."""
     return F.zip_with(a, b, lambda x, y: signed(x + y * sign))
@@ -94,13 +88,17 @@ def _range_of(id_: Column, bounds: list[int]) -> Column:
     return F.least(group * step + F.when(group < len(groups), inside).otherwise(0), F.lit(len(bounds) - 1))
 
 
-def with_next(docs: DataFrame, id_col: str, columns: dict[str, Column]) -> DataFrame:
-    """Adds next_<name> for each of `columns`: its value in the row with the next smaller id, after the last the first.
+#: Columns that with_next uses; those of `docs` with these names are replaced.
+RANGE, GUEST, PLACE = "__fp_range", "__fp_guest", "__fp_place"
+
+
+def _dealt(docs: DataFrame, id_col: str) -> DataFrame:
+    """`docs` with RANGE, GUEST and PLACE: ranges of descending ids, each followed by the first row of the next one as a guest.
 
-    Rows are dealt by ranges of ids, with the first row of each range also at
-    the end of the range before it, so no window spans the table. Rows with one
-    id are ordered by a hash of the columns; null ids come last.
+    So no window spans the table. Rows with one id are ordered by a hash of the
+    columns; null ids come last.
     """
+    docs = docs.drop(RANGE, GUEST, PLACE)
     key = F.coalesce(F.col(id_col), F.lit(-(2**63)).cast("long"))
     n, top = docs.agg(F.count("*"), F.max(key)).first()
     if not n:
@@ -110,28 +108,49 @@ def with_next(docs: DataFrame, id_col: str, columns: dict[str, Column]) -> DataF
         found = docs.agg(F.percentile_approx(key, [(i + 1) / count for i in range(count)], 10 * count)).first()[0]
         bounds = sorted({*found, top})  # ids of the table, of which the last is the largest
     m = len(bounds)
-    own = docs.withColumn("_key", key).withColumn("_range", _range_of(F.col("_key"), bounds))
-    first = F.array_contains(F.array(*(F.lit(b).cast("long") for b in bounds)), F.col("_key")) if m <= 256 else F.col("_key").isin(bounds)
-    places = F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("guest")))
-    guest = F.array(F.struct(F.pmod(F.col("_range") + 1, F.lit(m)).alias("r"), F.lit(1).alias("guest")))
-    dealt = own.withColumn("_place", F.explode(F.when(first, F.concat(places, guest)).otherwise(places)))
-    dealt = dealt.withColumns({"_range": F.col("_place.r"), "_guest": F.col("_place.guest")}).drop("_place")
-    dealt = dealt.repartition("_range").withColumns({f"_{k}": v for k, v in columns.items()})
-    by = Window.partitionBy("_range").orderBy("_guest", F.col("_key").desc(), F.xxhash64(*docs.columns))
-    out = dealt.withColumns({f"next_{k}": F.lead(f"_{k}").over(by) for k in columns})
-    return out.where("_guest = 0").withColumnsRenamed({f"_{k}": k for k in columns}).drop("_key", "_range", "_guest")
+    own = docs.withColumn(RANGE, _range_of(key, bounds))
+    first = F.array_contains(F.array(*(F.lit(b).cast("long") for b in bounds)), key) if m <= 256 else key.isin(bounds)
+    places = F.array(F.struct(F.col(RANGE).alias("r"), F.lit(0).alias("guest")))
+    guest = F.array(F.struct(F.pmod(F.col(RANGE) + 1, F.lit(m)).alias("r"), F.lit(1).alias("guest")))
+    dealt = own.withColumn(PLACE, F.explode(F.when(first, F.concat(places, guest)).otherwise(places)))
+    dealt = dealt.withColumns({RANGE: F.col(f"{PLACE}.r"), GUEST: F.col(f"{PLACE}.guest")}).repartition(RANGE)
+    by = Window.partitionBy(RANGE).orderBy(GUEST, key.desc(), F.xxhash64(*docs.columns))
+    return dealt.withColumn(PLACE, F.row_number().over(by))
+
+
+def with_next(docs: DataFrame, id_col: str, columns: dict[str, Column]) -> DataFrame:
+    """Adds next_<name> for each of `columns`: its value in the row with the next smaller id, after the last the first.
+
+    Rows with one id are ordered by a hash of the columns; null ids come last.
+    Columns of `docs` with the new names are replaced.
+    """
+    by = Window.partitionBy(RANGE).orderBy(PLACE)
+    out = _dealt(docs, id_col).withColumns({f"next_{k}": F.lead(v).over(by) for k, v in columns.items()})
+    return out.where(F.col(GUEST) == 0).drop(RANGE, GUEST, PLACE)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of all documents, of their edited texts, and how far these and the next documents' agree."""
+    """Fingerprints of all documents, of their edited texts, and how far these and the next documents' agree.
+
+    Null texts count as empty. Repeated rows follow each other, null ids come
+    last, and other columns are left aside. The texts are shuffled once: all
+    later steps keep to the ranges of ids, by which the rows then lie.
+    """
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(docs, "doc_id", {"whole": F.col("text"), "lanes": lanes(F.col("text"))})
+    rows = _dealt(docs, "doc_id").withColumn("after", F.lead("text").over(Window.partitionBy(RANGE).orderBy(PLACE)))
     n = F.char_length("text").cast("long")
-    rows = rows.withColumns({"n_chars": n, "_cut": F.floor(n / 3).cast("int")})
-    edited = F.concat(F.substr("text", F.lit(1), F.col("n_chars").cast("int") - F.col("_cut")), F.substr("next_whole", F.lit(1), F.col("_cut")))
-    rows = rows.select("doc_id", "n_chars", edited.alias("_edited"), "lanes", "next_lanes")
-    rows = rows.select("doc_id", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), "lanes", lanes(F.col("_edited")).alias("edited_lanes"), "next_lanes")
-    return rows.select(
+    rows = rows.withColumns({"n_chars": n, "cut": F.floor(n / 3).cast("int")})
+    edited = F.concat(F.substr("text", F.lit(1), F.col("n_chars").cast("int") - F.col("cut")), F.substr("after", F.lit(1), F.col("cut")))
+    keys = [RANGE, PLACE, GUEST, "doc_id", "n_chars"]
+    rows = rows.select(*keys, "text", edited.alias("edited"))
+    both = F.array(*(F.struct(F.lit(k).alias("version"), F.col(c).alias("text")) for k, c in enumerate(("text", "edited"))))
+    rows = rows.select(*keys, F.sha2("edited", 256).alias("edited_sha256"), F.explode(both).alias("v"))
+    keys += ["edited_sha256", "version"]
+    sums = lane_sums(rows.select(*keys[:-1], "v.version", "v.text"), keys, "text")
+    # A text, its edited text, the next text: three rows that follow each other.
+    order = Window.partitionBy(RANGE).orderBy(PLACE, "version")
+    sums = sums.withColumns({"edited_lanes": F.lead("lanes", 1).over(order), "next_lanes": F.lead("lanes", 2).over(order)})
+    return sums.where((F.col("version") == 0) & (F.col(GUEST) == 0)).select(
         "doc_id", "n_chars", "edited_sha256",
         as_text(F.col("lanes")).alias("fingerprint"),
         as_text(F.col("edited_lanes")).alias("edited_fingerprint"),

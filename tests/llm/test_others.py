@@ -125,29 +125,49 @@ def test_quality_odd_rows(docs, nothing, spark):
 # Fingerprints
 
 
+def lanes_of(spark, texts):
+    """The lanes of each text, by the operator."""
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {r.i: r.lanes for r in fingerprints.lane_sums(df, ["i"], "text").collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def plain_lanes(spark, text):
+    """The lanes by adding up the bytes of each unit's hashes one by one."""
+    units = []
+    for line in (text or "").split("\n"):
+        words = line.split(" ")
+        units += [line, *(u for k in range(0, len(words), 4) if (u := " ".join(words[k : k + 4]) + (" " if k + 4 < len(words) else "")))]
+    hashes = spark.createDataFrame([(u,) for u in units], "u string").select(*(F.xxhash64(F.lit(s), "u") for s in range(8))).collect()
+    return [(sum((r[i // 8] >> i % 8 * 8 & 255) - 128 for r in hashes) + 2**31) % 2**32 - 2**31 for i in range(64)]
+
+
+def test_fingerprints_against_plain_sums(spark):
+    texts = ["a b c\nd e f\ng h", "one line only", "", None, "1 2 3 4 5 6 7 8 9\n\n\n x  y ", "Grüße\naus Köln 😀"]
+    assert lanes_of(spark, texts) == [plain_lanes(spark, t) for t in texts]
+
+
 def test_fingerprints_are_homomorphic(spark):
-    texts = [("a b c\nd e f\ng h",), ("d e f\na b c\ng h",), ("a b c\nd e f",), ("",), ("one line only",)]
-    df = spark.createDataFrame(texts, "text string").select(fingerprints.lanes(F.col("text")).alias("l"), fingerprints.fingerprint(F.col("text")).alias("f"))
-    rows = df.collect()
-    assert all(len(r.f) == 512 for r in rows) and len({r.f for r in rows}) >= 4
-    both = spark.createDataFrame([(rows[0].l, rows[4].l)], "a array<bigint>, b array<bigint>")
-    plus = fingerprints.combine(F.col("a"), F.col("b"))
-    back = both.select(fingerprints.combine(plus, F.col("b"), -1).alias("x")).first().x
-    assert back == rows[0].l
-    again = df.select("l", fingerprints.from_text(F.col("f")).alias("x")).collect()
-    assert all(r.l == r.x for r in again)
+    texts = ["a b c\nd e f\ng h", "d e f\na b c\ng h", "a b c\nd e f", "", "one line only"]
+    lanes = lanes_of(spark, texts)
+    assert lanes[0] == lanes[1] and len({tuple(x) for x in lanes}) == 4
+    both = spark.createDataFrame([(lanes[0], lanes[4])], "a array<bigint>, b array<bigint>")
+    back = both.select(fingerprints.combine(fingerprints.combine(F.col("a"), F.col("b")), F.col("b"), -1).alias("x"), fingerprints.from_text(fingerprints.as_text(F.col("a"))).alias("y")).first()
+    assert back.x == lanes[0] and back.y == lanes[0]
+    together = spark.createDataFrame([(1, t) for t in ("a b c", "d e f", "g h")], "i int, text string")
+    assert fingerprints.lane_sums(together, ["i"], "text").first().lanes == lanes[0]
 
 
 def test_fingerprints_depend_on_paragraphs_alone(spark):
     parts = ["a b", "c d e f g", "", "h  i ", "j"]
-    moved = [[*parts[1:], parts[0]], [parts[0], parts[3], parts[1], parts[4], parts[2]], [parts[4], *parts[:4]]]
-    rows = [("\n".join(parts), "\n".join(m)) for m in moved]
-    for r in spark.createDataFrame(rows, "a string, b string").select(fingerprints.fingerprint(F.col("a")).alias("a"), fingerprints.fingerprint(F.col("b")).alias("b")).collect():
-        assert r.a == r.b
-    rows = [("\n".join(parts[:k]), "\n".join(parts[k:]), "\n".join(parts)) for k in range(1, 5)]
-    got = spark.createDataFrame(rows, "a string, b string, c string").select(*(fingerprints.lanes(F.col(c)).alias(c) for c in "abc"))
-    for r in got.select("a", "c", fingerprints.combine(F.col("a"), F.col("b")).alias("sum"), fingerprints.combine(F.col("c"), F.col("b"), -1).alias("rest")).collect():
-        assert r.sum == r.c and r.rest == r.a
+    moved = [parts, [*parts[1:], parts[0]], [parts[0], parts[3], parts[1], parts[4], parts[2]], [parts[4], *parts[:4]]]
+    assert len({tuple(x) for x in lanes_of(spark, ["\n".join(m) for m in moved])}) == 1
+    whole = lanes_of(spark, ["\n".join(parts)])[0]
+    for k in range(1, 5):
+        a, b = lanes_of(spark, ["\n".join(parts[:k]), "\n".join(parts[k:])])
+        df = spark.createDataFrame([(a, b, whole)], "a array<bigint>, b array<bigint>, c array<bigint>")
+        r = df.select(fingerprints.combine(F.col("a"), F.col("b")).alias("sum"), fingerprints.combine(F.col("c"), F.col("b"), -1).alias("rest")).first()
+        assert r.sum == whole and r.rest == a
     units = spark.createDataFrame([("a b\nc d\n\n1 2 3 4 5",)], "t string").select(fingerprints.units(F.col("t")).alias("u")).first().u
     assert units == ["a b", "c d", "", "1 2 3 4 5", "a b", "c d", "1 2 3 4 ", "5"]
 
@@ -176,6 +196,13 @@ def test_next_over_many_ranges(spark, monkeypatch):
     assert got == dict(zip(down, down[1:] + down[:1]))
 
 
+def test_next_replaces_clashing_columns(spark):
+    rows = [(i, f"t{i}", 1, "x", 2) for i in (3, 1, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __fp_range int, next_text string, __fp_place int")
+    got = {r.doc_id: r.next_text for r in fingerprints.with_next(df, "doc_id", {"text": F.col("text")}).collect()}
+    assert got == {3: "t2", 2: "t1", 1: "t3"}
+
+
 def test_fingerprints_odd_tables(spark, nothing, docs, tmp_path):
     nothing.write.parquet(f"{tmp_path}/a/documents.parquet")
     assert fingerprints.query(spark, f"{tmp_path}/a").count() == 0
