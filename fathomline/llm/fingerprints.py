@@ -21,6 +21,9 @@ MODULUS = 1 << 32
 #: A phrase ends with its line and doesn't hold the line's end, so it depends on the line alone.
 PHRASE = r"((?=[^\n])(?:[^ \n]* ){0,3}[^ \n]* ?)"
 
+#: Units of a text that are summed together: 255 * 2^PART_BITS fits a field eight times.
+PART_BITS = 19
+
 #: Documents to a range of ids on average, and the most ranges that the driver plans for.
 PER_RANGE = 200
 MOST_RANGES = 20_000
@@ -38,14 +41,20 @@ def lane_sums(rows: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     documents are not alike. Rows of one key add up to the multiset of all their
     paragraphs. Null texts count as empty. Units are rows of a task that are
     summed before anything is shuffled; where the rows already lie by one of the
-    keys, nothing is.
+    keys, nothing is. Two lanes share a sum, in fields of 32 bits; no field runs
+    over, as a text's units go into sums of 2^PART_BITS at most, and a key must not
+    have more than 8 texts that are so long.
     """
-    unit, hashes = "__fp_unit", [f"__fp_hash{seed}" for seed in range(SEEDS)]
-    each = rows.select(*keys, F.explode(units(F.coalesce(F.col(text_col), F.lit("")))).alias(unit))
-    each = each.select(*keys, *(F.xxhash64(F.lit(seed), unit).alias(name) for seed, name in enumerate(hashes)))
-    byte = lambda i: F.shiftright(hashes[i // 8], i % 8 * 8).bitwiseAND(F.lit(255)) - 128
-    sums = each.groupBy(*keys).agg(*(F.sum(byte(i)).alias(f"__fp_lane{i}") for i in range(LANES)))
-    return sums.select(*keys, F.array(*(signed(F.col(f"__fp_lane{i}")) for i in range(LANES))).alias("lanes"))
+    unit, part, n, hashes = "__fp_unit", "__fp_part", "__fp_n", [f"__fp_hash{seed}" for seed in range(SEEDS)]
+    each = rows.select(*keys, F.posexplode(units(F.coalesce(F.col(text_col), F.lit("")))).alias(part, unit))
+    each = each.select(*keys, F.shiftright(part, PART_BITS).alias(part), *(F.xxhash64(F.lit(seed), unit).alias(name) for seed, name in enumerate(hashes)))
+    packed = lambda i: F.sum(F.shiftright(hashes[i // 4], i % 4 * 8).bitwiseAND(F.lit(0xFF000000FF)))
+    sums = each.groupBy(*keys, part).agg(F.count("*").alias(n), *(packed(i).alias(f"__fp_sum{i}") for i in range(LANES // 2)))
+    field = lambda i: F.shiftright(f"__fp_sum{i // 8 * 4 + i % 4}", i % 8 // 4 * 32).bitwiseAND(F.lit(MODULUS - 1))
+    sums = sums.select(*keys, F.array(*(signed(field(i) - 128 * F.col(n)) for i in range(LANES))).alias("lanes"))
+    parts = sums.groupBy(*keys).agg(F.collect_list("lanes").alias("lanes"))
+    added = F.reduce(F.slice("lanes", 2, F.size("lanes")), F.get("lanes", F.lit(0)), lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+    return parts.select(*keys, F.when(F.size("lanes") == 1, F.get("lanes", F.lit(0))).otherwise(F.transform(added, signed)).alias("lanes"))
 
 
 def signed(value: Column) -> Column:
