@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shelf
+from .common import Shelf, join_by_share
 
 
-def _stars(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star step over edges (u, v) with u > v.
+def _stars(edges: DataFrame, n: int) -> DataFrame:
+    """One large-star and one small-star step over n edges (u, v) with u > v.
 
-    Each step joins a node's smallest neighbour back to its edges, so a node
-    with very many neighbours is a skewed join and not one task's group.
+    Each step joins a node's smallest neighbour back to its edges; those of nodes
+    with very many neighbours stay where they are.
     """
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-    least = large.groupBy("u").agg(F.min("v").alias("m"))
-    small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    large = join_by_share(both, least, ["u"], "n", 2 * n).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    small = join_by_share(large, least, ["u"], "n", 2 * n).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
     return small.where("u <> v").distinct()
 
 
@@ -34,7 +34,7 @@ def components(links: DataFrame, shelf: Shelf, name: str) -> DataFrame:
     now = look(edges)
     while now != state and now[0]:
         state, step = now, step + 1
-        edges = shelf.put(f"{name}-{step}", _stars(edges))
+        edges = shelf.put(f"{name}-{step}", _stars(edges, now[0]))
         shelf.drop(f"{name}-{step - 1}")
         now = look(edges)
     members = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

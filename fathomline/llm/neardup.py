@@ -12,7 +12,9 @@ Sketches reject pairs
 that are far apart; all links are confirmed on the full sets. Components grow in
 two rounds: first each member meets one other that it resembles, then only
 members of different components are compared, so a large group of near copies
-yields about as many pairs as it has members.
+yields about as many pairs as it has members. A node that no level makes small is
+cut into blocks; each member meets its own block and the node's first member, and
+only members outside that one's component then meet the other blocks.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shelf, map_rows, read, text_bytes
+from .common import Shelf, join_by_share, map_rows, read, text_bytes
 from .components import components
 
 WORDS = 5
@@ -41,6 +43,9 @@ SMALL = 1024
 #: Bytes of the finer sketch, which is made only of documents that the first one can't tell apart.
 FINE = 1024
 
+#: Rows of one leader that meet its set in one task.
+SALT = 1024
+
 _HASHES = TREES * LEVELS
 
 
@@ -135,38 +140,39 @@ def _paths(rows: DataFrame, depth: int, first: int) -> DataFrame:
     return rows.withColumn("path", F.xxhash64("tree", tokens))
 
 
-def small_nodes(sets: DataFrame, shelf: Shelf, small: int = SMALL, first: int = 0, trees: int = TREES) -> tuple[DataFrame, DataFrame]:
-    """(node, rep) of all nodes with 2 to `small` members, from trees `first` on, and the reps of larger nodes at the first depth.
+def _block(of: str, n: Column) -> Column:
+    """One of n blocks of a node's members."""
+    return F.pmod(F.xxhash64("rep", of), n).cast("int")
+
 
-    A node that is still larger at the last level is divided into blocks, and
-    each pair of blocks becomes a node, so none of its pairs is lost.
+def small_nodes(sets: DataFrame, shelf: Shelf, small: int = SMALL, first: int = 0, trees: int = TREES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(node, rep) of all nodes with 2 to `small` members, from trees `first` on, the reps of larger nodes at the first
+    depth, and (path, rep) of nodes that are still larger at the last level, which are also cut into blocks as nodes.
     """
     rows = sets.withColumn("tree", F.explode(F.sequence(F.lit(first), F.lit(first + trees - 1))))
-    done, crowded = [], None
+    done, crowded, total = [], None, sets.count() * trees
     for depth in DEPTHS:
         rows = _paths(rows, depth, first).select("tree", "path", "rep")
         sizes = rows.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
-        level = shelf.put(f"level-{first}-{depth}", rows.join(sizes, "path"))
+        level = shelf.put(f"level-{first}-{depth}", join_by_share(rows, sizes, ["path"], "size", total))
         done.append(level.where(F.col("size") <= small).select(F.xxhash64(F.lit(depth), "path").alias("node"), "rep"))
         large = level.where(F.col("size") > small)
         if crowded is None:
             crowded = large.select("rep").distinct()
-        if large.isEmpty():
+        if not (total := large.count()):
             break
         rows = large.select("tree", "rep").join(sets, "rep")
     else:
-        half = small // 2
-        cut = large.withColumn("n", F.ceil(F.col("size") / half).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep", "path"), F.col("n")).cast("int"))
-        cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).where("other <> block")
-        done.append(cut.select(F.xxhash64(F.lit(-1), "path", F.least("block", "other"), F.greatest("block", "other")).alias("node"), "rep"))
+        block = _block("path", F.ceil(F.col("size") / (small // 2)).cast("int"))
+        done.append(large.select(F.xxhash64(F.lit(-1), "path", block).alias("node"), "rep"))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out, crowded
+    return out, crowded, large.select("path", "rep")
 
 
-def _all_nodes(docs: DataFrame, classes: DataFrame, shelf: Shelf, percent: int, small: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, rep) of the trees that `percent` needs for MISS.
+def _all_nodes(docs: DataFrame, classes: DataFrame, shelf: Shelf, percent: int, small: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(node, rep) and the crowds (path, rep), which no level makes small, of the trees that `percent` needs for MISS.
 
     A pair of which one document meets small nodes only at the first depth is
     found by TREES trees unless they part it there in each. All other
@@ -174,20 +180,57 @@ def _all_nodes(docs: DataFrame, classes: DataFrame, shelf: Shelf, percent: int,
     them stay together to the end, or to a small node before it.
     """
     drop = lambda first: shelf.drop(*(f"level-{first}-{d}" for d in DEPTHS))
-    nodes, crowded = small_nodes(classes.select("rep", "tokens"), shelf, small)
-    nodes = shelf.put("nodes", nodes)
+    nodes, crowded, crowds = small_nodes(classes.select("rep", "tokens"), shelf, small)
+    nodes, crowds = shelf.put("nodes", nodes), shelf.put("crowds", crowds)
     trees = trees_for(percent, LEVELS) - TREES
     if trees_for(percent, DEPTHS[0]) > TREES:
         crowded = classes.select("rep")
     if trees > 0 and not crowded.isEmpty():
         tokens = shelf.put("more-tokens", _more_tokens(docs, crowded, trees, id_col, text_col))
         drop(0)
-        nodes = nodes.unionByName(shelf.put("more-nodes", small_nodes(tokens, shelf, small, TREES, trees)[0]))
+        more, _, large = small_nodes(tokens, shelf, small, TREES, trees)
+        nodes = nodes.unionByName(shelf.put("more-nodes", more))
+        crowds = crowds.unionByName(shelf.put("more-crowds", large))
         shelf.drop("more-tokens")
         drop(TREES)
     else:
         drop(0)
-    return nodes
+    return nodes, crowds
+
+
+def _crowd_leaders(crowds: DataFrame, sketches: DataFrame, cut: float) -> DataFrame:
+    """Pairs of the members of a crowd with its first member, where they resemble it."""
+
+    def run(batches):
+        for batch in batches:
+            mine, lead = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sketch", "lead_sketch"))
+            near = (mine == lead).mean(axis=1) >= cut if batch.num_rows else np.zeros(0, bool)
+            yield _pair_batch(np.stack([batch["lead"].to_numpy()[near], batch["rep"].to_numpy()[near]], axis=1))
+
+    leads = crowds.groupBy("path").agg(F.min("rep").alias("lead"), F.count("*").alias("size"))
+    leads = leads.join(sketches.select(F.col("rep").alias("lead"), F.col("sketch").alias("lead_sketch")), "lead")
+    rows = join_by_share(crowds, leads, ["path"], "size", crowds.count()).join(sketches, "rep")
+    return rows.select("lead", "rep", "lead_sketch", "sketch").mapInArrow(run, "a long, b long").distinct()
+
+
+def crowd_nodes(crowds: DataFrame, component: DataFrame, small: int) -> DataFrame:
+    """(node, rep) in which the members of a crowd outside its first member's component meet all its other blocks.
+
+    `component` has rep and component; reps without one are their own. A crowd
+    that is one component gives no node, so a group of near copies costs nothing
+    beyond its own blocks and its leader.
+    """
+    half = small // 2
+    rows = crowds.join(component, "rep", "left").select("path", "rep", F.coalesce("component", "rep").alias("component"))
+    leads = rows.groupBy("path").agg(F.min(F.struct("rep", "component"))["component"].alias("main"), F.count("*").alias("size"))
+    rows = join_by_share(rows, leads, ["path"], "size", crowds.count()).withColumn("stranger", F.col("component") != F.col("main"))
+    strange = rows.groupBy("path").agg(F.count_if("stranger").alias("k")).where("k > 0")
+    sizes = leads.join(strange, "path").select("path", F.col("size").alias("n"), F.ceil(F.col("k") / half).cast("int").alias("out"), F.ceil((F.col("size") - F.col("k")) / half).cast("int").alias("in"))
+    rows = join_by_share(rows.select("path", "rep", "stranger"), sizes, ["path"], "n", crowds.count())
+    block = F.when(F.col("stranger"), _block("path", F.col("out"))).otherwise(F.col("out") + _block("path", F.col("in")))
+    last = F.when(F.col("stranger"), F.col("out") + F.col("in")).otherwise(F.col("out")) - 1
+    pairs = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), last))).where("other <> block")
+    return pairs.select(F.xxhash64(F.lit(-2), "path", F.least("block", "other"), F.greatest("block", "other")).alias("node"), "rep")
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Table]]:
@@ -327,8 +370,11 @@ def _fine_sketches(sets: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= percent * union."""
-    a = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x"))
+    """The pairs whose full sets have 100 * intersection >= percent * union. The set of a leader of many pairs is sent to several tasks."""
+    sizes = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    slices = F.ceil(F.col("n") / SALT).cast("int")
+    pairs = join_by_share(pairs, sizes, ["a"], "n", pairs.count()).withColumn("slice", F.pmod(F.xxhash64("b"), slices).cast("int"))
+    a = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")).join(sizes, "a").select("a", "x", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"))
     b = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
 
     def run(batches):
@@ -336,7 +382,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             sets = ((np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch["x"], batch["y"]))
             yield batch.select(["a", "b"]).filter(pa.array([_linked(x, y, percent) for x, y in sets], pa.bool_()))
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    return pairs.select("a", "b", "slice").join(a, ["a", "slice"]).join(b, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL) -> DataFrame:
@@ -355,17 +401,22 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     known = prints.where("n_shingles > 0 and doc_id is not null")
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("tokens").alias("tokens"), F.min("sketch").alias("sketch"))
     classes = shelf.put("classes", classes)
-    nodes = _all_nodes(docs, classes, shelf, percent, small, id_col, text_col)
+    nodes, crowds = _all_nodes(docs, classes, shelf, percent, small, id_col, text_col)
+    crowd = not crowds.isEmpty()
 
     # First one link for each member that resembles another, then what connects different components.
     sketches = classes.select("rep", "sketch")
     sets = shelf.put("sets", _full_sets(docs, nodes, id_col, text_col))
     lone = nodes.join(sketches, "rep").withColumn("component", F.col("rep"))
-    tried = shelf.put("tried", _leader_pairs(lone, cut))
+    pairs = _leader_pairs(lone, cut)
+    tried = shelf.put("tried", pairs.unionByName(_crowd_leaders(crowds, sketches, cut)).distinct() if crowd else pairs)
     links = shelf.put("links", _confirmed(tried, sets, percent))
     first = shelf.put("first", components(links, shelf, "first-round"))
 
-    placed = nodes.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("node", "rep", F.coalesce("component", "rep").alias("component"))
+    of = first.withColumnRenamed("node", "rep")
+    if crowd:
+        nodes = nodes.unionByName(shelf.put("crowd-nodes", crowd_nodes(crowds, of, small)))
+    placed = nodes.join(of, "rep", "left").select("node", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = placed.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("node")
     open_ = shelf.put("open", _undecided(placed.join(mixed, "node", "left_semi").join(sketches, "rep"), cut))
     fine = shelf.put("fine", _fine_sketches(sets.join(open_.select("rep").distinct(), "rep", "left_semi")))
@@ -379,7 +430,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     out = prints.select("doc_id", "n_shingles").join(placed, F.col("doc_id") == F.col("_id"), "left")
     component = F.coalesce("_component", "doc_id")
     out = shelf.put("out", out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")))
-    shelf.drop("prints", "classes", "nodes", "more-nodes", "sets", "tried", "links", "first", "open", "fine", "close", "more", "final")
+    shelf.drop("prints", "classes", "nodes", "more-nodes", "crowds", "more-crowds", "crowd-nodes", "sets", "tried", "links", "first", "open", "fine", "close", "more", "final")
     return out
 
 
@@ -394,4 +445,5 @@ def keep_one(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_co
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents at 85 per cent; near_duplicates says what holds for odd rows."""
     return near_duplicates(read(spark, sf_dir, "documents"), 85)

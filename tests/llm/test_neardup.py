@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from fathomline.llm import neardup
 from fathomline.llm.common import Shelf
@@ -69,6 +70,36 @@ def test_nodes_above_the_limit_lose_nothing(spark):
     assert {r.component_id for r in out} == {0}
 
 
+def test_a_crowd_of_one_component_costs_rows_in_proportion(spark):
+    def rows(n, strangers):
+        crowd = spark.range(n).select(F.lit(1).cast("long").alias("path"), F.col("id").alias("rep"))
+        of = spark.range(strangers, n).select(F.col("id").alias("rep"), F.lit(strangers).cast("long").alias("component"))
+        of = of.unionByName(spark.range(min(1, strangers)).select(F.col("id").alias("rep"), F.lit(strangers).cast("long").alias("component")))
+        return neardup.crowd_nodes(crowd, of, 64)
+
+    assert rows(50_000, 0).count() == 0
+    found = rows(3000, 21)  # the first of all is in the component, the next 20 are not
+    assert found.count() <= 3000 + 21 * (2 + 3000 // 32)
+    seen = {}
+    for r in found.collect():
+        seen.setdefault(r.node, set()).add(r.rep)
+    assert max(map(len, seen.values())) <= 3 * 64  # hashed blocks vary in size
+    met = {(a, b) for reps in seen.values() for a in reps if 0 < a < 21 for b in reps}
+    assert all((a, b) in met for a in range(1, 21) for b in [0, *range(21, 3000)])
+
+
+def test_strangers_in_a_crowd_are_found(spark):
+    base = [f"c{k}" for k in range(900)]
+    rows = []
+    for i in range(60):  # near copies of each other
+        rows.append((i, " ".join([*base[:-2], f"a{i}", f"b{i}"])))
+    for i in range(60, 70):  # pairs at the end of a chain that leaves the group
+        at = (i - 59) * 40
+        rows.append((i, " ".join([*base[:-at], *(f"d{i // 2}x{k}" for k in range(at))])))
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85, small=8).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute(rows, 85)
+
+
 def family(n=60, pairs=90):
     """Texts at 0.77 to each other, and pairs of them at 0.80 that are linked with nothing else."""
     block = lambda name, size: " ".join(f"{name}x{k}" for k in range(size))
