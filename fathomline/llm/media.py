@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import map_rows, text_bytes
 
@@ -55,10 +56,16 @@ def _netpbm(data: bytes) -> np.ndarray:
     channels = 3 if kind in (3, 6) else 1
     count = width * height * channels
     at = head.end() + 1
+    if not 0 < top < 65536:
+        raise ValueError("bad maximum")
+    if count > 8 * len(data):  # even packed bits hold no more
+        raise ValueError("short image")
     if kind == 1:
         values = np.frombuffer(re.sub(rb"#[^\r\n]*|[^01]", b"", data[head.end() :]), np.uint8)[:count] - 48
     elif kind in (2, 3):
         values = np.array(re.sub(rb"#[^\r\n]*", b"", data[head.end() :]).split()[:count], np.int64)
+        if values.size and values.min() < 0:
+            raise ValueError("bad sample")
     elif kind == 4:
         stride = (width + 7) // 8
         packed = np.frombuffer(data, np.uint8, stride * height, at).reshape(height, stride)
@@ -69,6 +76,8 @@ def _netpbm(data: bytes) -> np.ndarray:
         raise ValueError("short image")
     if kind in (1, 4):
         values = (1 - values) * 255  # 1 is black
+    elif values.max() > top:
+        raise ValueError("sample above the maximum")
     elif top != 255:
         values = (values.astype(np.int64) * 255 + top // 2) // top
     shape = (height, width, 3) if channels == 3 else (height, width)
@@ -80,6 +89,8 @@ def _bmp(data: bytes) -> np.ndarray:
     width, height, _, bits, packed = struct.unpack_from("<iiHHI", data, 18)
     if packed or bits not in (1, 4, 8, 24, 32) or width <= 0 or not height:
         raise ValueError("this kind of BMP isn't read")
+    if start < 14 + head or width * abs(height) > 8 * len(data):
+        raise ValueError("short image")
     stride, down = (width * bits + 31) // 32 * 4, height < 0
     rows = np.frombuffer(data, np.uint8, stride * abs(height), start).reshape(abs(height), stride)
     if bits >= 24:
@@ -101,7 +112,7 @@ def decode(data: bytes) -> np.ndarray:
             return _bmp(data)
         if re.match(rb"P[1-6]", data):
             return _netpbm(data)
-    except (struct.error, IndexError) as error:
+    except (struct.error, IndexError, OverflowError) as error:
         raise ValueError(str(error)) from error
     raise ValueError("neither Netpbm nor BMP")
 
@@ -148,7 +159,10 @@ def npy(image: np.ndarray) -> bytes:
 def image_tiles(df: DataFrame, id_col: str, media_col: str, tile: int = 32) -> DataFrame:
     """Decode a binary column; per row: id, height, width, channels, tile (NPY bytes), dhash, error.
 
-    Null, empty and unreadable data give an error text and nulls elsewhere.
+    Null, empty and unreadable data give an error text and nulls elsewhere: headers
+    that promise more than the data hold, maxima of 0 or above 65535, samples
+    outside 0 to the maximum. Ids of any simple type stay as they are; repeated
+    rows give repeated results, and other columns aren't returned.
     """
 
     def rows(batch: list[dict]) -> list[dict]:
@@ -161,9 +175,9 @@ def image_tiles(df: DataFrame, id_col: str, media_col: str, tile: int = 32) -> D
                 out.append({"id": row["id"], "error": str(error)})
         return out
 
-    kind = df.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, height int, width int, channels int, tile binary, dhash string, error string"
-    arrow = pa.schema([("id", pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()), *((n, pa.int32()) for n in ("height", "width", "channels")), ("tile", pa.binary()), ("dhash", pa.string()), ("error", pa.string())])
+    kind = df.schema[id_col].dataType
+    schema = f"id {kind.simpleString()}, height int, width int, channels int, tile binary, dhash string, error string"
+    arrow = pa.schema([("id", to_arrow_type(kind)), *((n, pa.int32()) for n in ("height", "width", "channels")), ("tile", pa.binary()), ("dhash", pa.string()), ("error", pa.string())])
     return map_rows(df.select(F.col(id_col).alias("id"), F.col(media_col).alias("data")), rows, schema, arrow, 64)
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import join_by_share, read
 
 #: Up to so many sources are broadcast with their distributions; more are joined by a shuffle.
 BROADCAST_SOURCES = 10_000
@@ -62,8 +62,13 @@ def poisson_mix(docs: DataFrame, weights: DataFrame | None = None, total: float
     kinds, n, mass = sizes.agg(F.count("*"), F.sum("n"), F.sum("weight")).first()
     rate = F.lit(float(total if total is not None else n or 0)) * F.col("weight") / F.lit(mass or 1.0) / F.col("n")
     rates = sizes.withColumn(rate_, rate).select(source, _distribution(F.col(rate_)).alias(below))
-    side = F.broadcast(rates) if kinds <= BROADCAST_SOURCES else rates
-    drawn = docs.join(side, F.col(by).eqNullSafe(F.col(source))).withColumn(draw, uniform(seed, F.col(id_col)))
+    if kinds <= BROADCAST_SOURCES:
+        drawn = docs.join(F.broadcast(rates), F.col(by).eqNullSafe(F.col(source)))
+    else:  # most sources are shuffled, the largest aren't
+        tag = lambda c: F.when(F.col(c).isNull(), "").otherwise(F.concat(F.lit("="), F.col(c).cast("string")))
+        tagged = sizes.select(tag(source).alias(source), "n", _distribution(rate).alias(below))
+        drawn = join_by_share(docs.withColumn(source, tag(by)), tagged, [source], "n", n)
+    drawn = drawn.withColumn(draw, uniform(seed, F.col(id_col)))
     drawn = drawn.withColumn(copies_, F.size(F.filter(below, lambda p: p <= F.col(draw))))
     copies = drawn.where(F.col(copies_) > 0).select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies_).cast("long"))).alias("copy"))
     key = _number(F.concat_ws(":", F.lit(seed).cast("string"), F.lit("order"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("copy").cast("string")), 15)
@@ -72,6 +77,7 @@ def poisson_mix(docs: DataFrame, weights: DataFrame | None = None, total: float
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of all documents by the default weights of their sources; poisson_mix says what holds for odd rows."""
     return poisson_mix(read(spark, sf_dir, "documents"))
 
 

@@ -97,35 +97,38 @@ def harmonic_pack(pieces: DataFrame, workers: int, capacity: int = CAPACITY) ->
     """Adds sequence_id and offset to rows with doc_id, start, length (1 to capacity).
 
     Sequences hold at most `capacity` ids and have no gaps. Ties, repeated rows
-    and null ids are packed like any other row.
+    and null ids are packed like any other row. Other columns stay; those named
+    sequence_id, offset or __pack_* are replaced. Rows repeated with their doc_id,
+    start and length share a worker.
     """
+    pieces = pieces.drop("sequence_id", "offset", *(c for c in pieces.columns if c.startswith("__pack_")))
     keyed = pieces.withColumns({
-        "_class": F.floor(F.lit(capacity) / F.col("length")).cast("long"),
-        "_worker": F.pmod(F.xxhash64("doc_id", "start", "length"), F.lit(workers)),
+        "__pack_class": F.floor(F.lit(capacity) / F.col("length")).cast("long"),
+        "__pack_worker": F.pmod(F.xxhash64("doc_id", "start", "length"), F.lit(workers)),
     })
-    share = Window.partitionBy("_worker", "_class")
+    share = Window.partitionBy("__pack_worker", "__pack_class")
     order = ["doc_id", "start", *(c for c in ("ids_crc32",) if c in pieces.columns)]
     numbered = keyed.withColumns({
-        "_bin": F.floor((F.row_number().over(share.orderBy(*order)) - 1) / F.col("_class")),
-        "_of": F.count(F.lit(1)).over(share),
+        "__pack_bin": F.floor((F.row_number().over(share.orderBy(*order)) - 1) / F.col("__pack_class")),
+        "__pack_of": F.count(F.lit(1)).over(share),
     })
-    whole = (F.col("_bin") + 1) * F.col("_class") <= F.col("_of")
-    number = lambda kind, k: F.shiftleft(F.col("_worker"), 40) + F.shiftleft(kind, 28) + k
-    within = Window.partitionBy("_worker", "_class", "_bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    whole = (F.col("__pack_bin") + 1) * F.col("__pack_class") <= F.col("__pack_of")
+    number = lambda kind, k: F.shiftleft(F.col("__pack_worker"), 40) + F.shiftleft(kind, 28) + k
+    within = Window.partitionBy("__pack_worker", "__pack_class", "__pack_bin").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     full = numbered.where(whole).withColumns({
-        "sequence_id": number(F.col("_class"), F.col("_bin")),
+        "sequence_id": number(F.col("__pack_class"), F.col("__pack_bin")),
         "offset": F.coalesce(F.sum("length").over(within), F.lit(0)).cast("long"),
     })
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["_class", *order], kind="stable")
+        group = group.sort_values(["__pack_class", *order], kind="stable")
         placed = _first_fit(group["length"].tolist(), capacity)
-        return group.assign(_bin=[k for k, _ in placed], offset=[o for _, o in placed])
+        return group.assign(__pack_bin=[k for k, _ in placed], offset=[o for _, o in placed])
 
     # Less than j pieces of each class j of a worker: a number that does not grow with the input.
     rest = numbered.where(~whole)
-    rest = rest.groupBy("_worker").applyInPandas(fit, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rest.schema.fields)}, offset long")
-    rest = rest.withColumn("sequence_id", number(F.lit(0).cast("long"), F.col("_bin")))
+    rest = rest.groupBy("__pack_worker").applyInPandas(fit, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rest.schema.fields)}, offset long")
+    rest = rest.withColumn("sequence_id", number(F.lit(0).cast("long"), F.col("__pack_bin")))
     columns = [*pieces.columns, "sequence_id", "offset"]
     return full.select(columns).unionByName(rest.select(columns))
 
@@ -145,4 +148,5 @@ def production(docs: DataFrame, with_ids: bool) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in their sequences. Null texts count as empty, with the closing id alone."""
     return production(read(spark, sf_dir, "documents"), with_ids=False)

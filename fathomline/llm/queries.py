@@ -10,10 +10,12 @@ from .common import read
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.text_media(read(spark, sf_dir, "documents")).drop("tile")
+    """Each whole text stored as an image and read back: sizes, hashes, a difference hash and the NPY tile. Null texts count as empty."""
+    return media.text_media(read(spark, sf_dir, "documents"))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the base kinds, a digest of their spans, and all spans of each document. Null texts count as empty; each row gives one."""
     found = private.personal_spans(read(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin(*private.BASE_KINDS))
     return found.select(
@@ -25,6 +27,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the base kinds, a digest of their spans, and all spans of each document. Null texts count as empty; each row gives one."""
     found = secret_scan.secret_spans(read(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin(*secret_scan.BASE_KINDS))
     return found.select(

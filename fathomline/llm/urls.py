@@ -87,6 +87,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """The verdict on each page's URL by RULES; judge_urls says what holds for null and odd URLs."""
     rules = spark.createDataFrame(RULES, "verdict string, host string, path string")
     return judge_urls(read(spark, sf_dir, "pages"), rules).drop("url")
 

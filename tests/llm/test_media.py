@@ -53,6 +53,19 @@ def test_text_media(docs, nothing):
     assert media.text_media(nothing).count() == 0
 
 
+HOSTILE = [
+    b"P5 99999999999 99999999999 255\n\0", b"P5 99999999999999999999 1 255\n\0", b"P2 1 1 255 99999999999999999999", b"P2 2 1 255 -5 300", b"P2 1 1 100 101",
+    b"P5 1 1 0\n\0", b"P5 1 1 70000\n\0\0", b"P2 1 1 255 x", b"P4 100000 100000\n\0", b"BM" + b"\xff" * 60, media.encode_bmp(np.zeros((2, 2, 3), np.uint8))[:60],
+]
+
+
+def test_hostile_images_are_errors_of_their_row(spark):
+    rows = media.image_tiles(spark.createDataFrame([(str(i), d, "x") for i, d in enumerate(HOSTILE)], "id string, media binary, tile string"), "id", "media").collect()
+    assert len(rows) == len(HOSTILE) and all(r.error and r.tile is None and r.height is None for r in rows)
+    dated = spark.sql("SELECT DATE'2024-01-01' AS id, CAST(NULL AS BINARY) AS media")
+    assert str(media.image_tiles(dated, "id", "media").first().id) == "2024-01-01"
+
+
 def test_image_tiles(spark):
     image = np.random.default_rng(3).integers(0, 256, (50, 60, 3), np.uint8)
     data = [(1, media.encode_bmp(image)), (2, media.encode_ppm(image)), (3, b"?"), (4, None), (5, b"")]

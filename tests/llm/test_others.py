@@ -30,6 +30,12 @@ def test_poisson_draws_invert_the_distribution(spark):
     assert abs(share - 0.75) < 0.02 and abs(sum(got.values()) - 6000) < 300
 
 
+def test_many_sources_give_the_same_copies(spark, docs, monkeypatch):
+    few = sorted(map(str, mixing.poisson_mix(docs, total=400).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(map(str, mixing.poisson_mix(docs, total=400).collect())) == few
+
+
 def test_large_rates_keep_their_mean(spark):
     rows = spark.range(200).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"))
     n = mixing.poisson_mix(rows, total=200 * 900.0).count()
