@@ -140,6 +140,13 @@ def _paths(rows: DataFrame, depth: int, first: int) -> DataFrame:
     return rows.withColumn("path", F.xxhash64("tree", tokens))
 
 
+def _with_rep(rows: DataFrame, side: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows, of which a rep has one for each tree at most, joined with what `side` says of the rep: once for each rep."""
+    mine = [c for c in rows.columns if c != "rep"]
+    lists = rows.groupBy("rep").agg(F.collect_list(F.struct(*mine)).alias("_rows")).join(side, "rep", how)
+    return lists.withColumn("_row", F.explode("_rows")).select("rep", *(f"_row.{c}" for c in mine), *(c for c in side.columns if c != "rep"))
+
+
 def _block(of: str, n: Column) -> Column:
     """One of n blocks of a node's members."""
     return F.pmod(F.xxhash64("rep", of), n).cast("int")
@@ -161,7 +168,7 @@ def small_nodes(sets: DataFrame, shelf: Shelf, small: int = SMALL, first: int =
             crowded = large.select("rep").distinct()
         if not (total := large.count()):
             break
-        rows = large.select("tree", "rep").join(sets, "rep")
+        rows = _with_rep(large.select("tree", "rep"), sets)
     else:
         block = _block("path", F.ceil(F.col("size") / (small // 2)).cast("int"))
         done.append(large.select(F.xxhash64(F.lit(-1), "path", block).alias("node"), "rep"))
@@ -209,7 +216,8 @@ def _crowd_leaders(crowds: DataFrame, sketches: DataFrame, cut: float) -> DataFr
 
     leads = crowds.groupBy("path").agg(F.min("rep").alias("lead"), F.count("*").alias("size"))
     leads = leads.join(sketches.select(F.col("rep").alias("lead"), F.col("sketch").alias("lead_sketch")), "lead")
-    rows = join_by_share(crowds, leads, ["path"], "size", crowds.count()).join(sketches, "rep")
+    rows = _with_rep(join_by_share(crowds, leads.select("path", "lead", "size"), ["path"], "size", crowds.count()).select("rep", "path", "lead"), sketches)
+    rows = join_by_share(rows, leads.select("path", "lead_sketch", "size"), ["path"], "size", crowds.count())
     return rows.select("lead", "rep", "lead_sketch", "sketch").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -221,7 +229,7 @@ def crowd_nodes(crowds: DataFrame, component: DataFrame, small: int) -> DataFram
     beyond its own blocks and its leader.
     """
     half = small // 2
-    rows = crowds.join(component, "rep", "left").select("path", "rep", F.coalesce("component", "rep").alias("component"))
+    rows = _with_rep(crowds, component, "left").select("path", "rep", F.coalesce("component", "rep").alias("component"))
     leads = rows.groupBy("path").agg(F.min(F.struct("rep", "component"))["component"].alias("main"), F.count("*").alias("size"))
     rows = join_by_share(rows, leads, ["path"], "size", crowds.count()).withColumn("stranger", F.col("component") != F.col("main"))
     strange = rows.groupBy("path").agg(F.count_if("stranger").alias("k")).where("k > 0")
@@ -407,7 +415,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     # First one link for each member that resembles another, then what connects different components.
     sketches = classes.select("rep", "sketch")
     sets = shelf.put("sets", _full_sets(docs, nodes, id_col, text_col))
-    lone = nodes.join(sketches, "rep").withColumn("component", F.col("rep"))
+    lone = _with_rep(nodes, sketches).withColumn("component", F.col("rep"))
     pairs = _leader_pairs(lone, cut)
     tried = shelf.put("tried", pairs.unionByName(_crowd_leaders(crowds, sketches, cut)).distinct() if crowd else pairs)
     links = shelf.put("links", _confirmed(tried, sets, percent))
@@ -416,12 +424,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     of = first.withColumnRenamed("node", "rep")
     if crowd:
         nodes = nodes.unionByName(shelf.put("crowd-nodes", crowd_nodes(crowds, of, small)))
-    placed = nodes.join(of, "rep", "left").select("node", "rep", F.coalesce("component", "rep").alias("component"))
+    placed = _with_rep(nodes, of, "left").select("node", "rep", F.coalesce("component", "rep").alias("component"))
     mixed = placed.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("node")
-    open_ = shelf.put("open", _undecided(placed.join(mixed, "node", "left_semi").join(sketches, "rep"), cut))
+    open_ = shelf.put("open", _undecided(_with_rep(placed.join(mixed, "node", "left_semi"), sketches), cut))
     fine = shelf.put("fine", _fine_sketches(sets.join(open_.select("rep").distinct(), "rep", "left_semi")))
-    close = shelf.put("close", _undecided(open_.join(fine, "rep"), fine_cut))
-    more = shelf.put("more", _links_across(close.join(fine, "rep").join(sets, "rep"), fine_cut, percent))
+    close = shelf.put("close", _undecided(_with_rep(open_, fine), fine_cut))
+    more = shelf.put("more", _links_across(_with_rep(close, fine.join(sets, "rep")), fine_cut, percent))
     final = shelf.put("final", components(links.unionByName(more), shelf, "second-round"))
 
     same = known.select("digest", "doc_id").join(classes.select("digest", "rep"), "digest").select("doc_id", "rep").distinct()
