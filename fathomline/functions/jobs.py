@@ -172,7 +172,8 @@ def classify_role(title: Column, description: Column, company: Column) -> Column
     """
     name = F.lower(F.trim(F.coalesce(company, F.lit(""))))
     body = F.lower(F.coalesce(description, F.lit("")))
-    body = F.when(F.char_length(name) >= 3, F.replace(body, name, F.lit(" "))).otherwise(body)
+    whole = F.concat(F.lit(r"\b"), F.regexp_replace(name, r"([^a-z0-9 ])", r"\\$1"), F.lit(r"\b"))  # not inside longer words
+    body = F.when(F.char_length(name) >= 3, F.regexp_replace(body, whole, F.lit(" "))).otherwise(body)
     return _bind({"title": F.lower(F.trim(F.coalesce(title, F.lit("")))), "body": body}, _features)
 
 
@@ -269,3 +270,28 @@ def platform_of(url: Column) -> Column:
     keys = {name: F.coalesce(*(at(p) for p in patterns)) for name, patterns in known.items()}
     platform = F.coalesce(*(F.when(k.isNotNull(), F.lit(name)) for name, k in keys.items()))
     return F.struct(platform.alias("platform"), F.coalesce(*keys.values()).alias("key"))
+
+
+def level_of(years: Column, title: Column) -> Column:
+    """1 to 5 by title and years; a title raises the level of the years by one step at most. Null if neither says anything."""
+    low = F.lower(title)
+    by_title = F.when(low.rlike(r"\b(?:principal|distinguished)\b"), 5).when(low.rlike(r"\b(?:staff|lead|architect)\b"), 4).when(low.rlike(r"\b(?:senior|sr\.?)\b"), 3).when(low.rlike(r"\b(?:junior|jr\.?|intern|trainee)\b"), 1)
+    by_years = F.when(years < 2, 1).when(years < 5, 2).when(years < 8, 3).when(years < 12, 4).when(years >= 12, 5)
+    return F.when(by_title.isNull(), by_years).when(by_years.isNull(), by_title).otherwise(F.least(by_title, by_years + 1))
+
+
+def role_phrase(text: Column) -> Column:
+    """The first role that a text names, such as senior data engineer; null without one."""
+    pattern = r"(?i)\b((?:(?:senior|sr\.?|staff|lead|principal|junior) )?(?:data|analytics|platform|software|machine learning|big data) (?:engineer|developer|architect)s?)\b"
+    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+
+
+def title_parts(title: Column) -> Column:
+    """struct(company, role, location) of a result's title: "X hiring Y in Z", "Y at X - Z" or "Y - X - Z"; missing parts are null."""
+    part = lambda pattern, k: F.nullif(F.trim(F.regexp_extract(title, pattern, k)), F.lit(""))
+    hiring, at = r"(?i)^(.+?) (?:is )?hiring (.+?)(?: in (.+))?$", r"(?i)^(.+?) at ([^-|]+?)(?:\s+[-|]\s+(.+))?$"
+    plain = r"^(.+?)\s+[-|]\s+(.+?)(?:\s+[-|]\s+(.+))?$"
+    first, second = title.rlike(hiring), title.rlike(at)
+    company = F.when(first, part(hiring, 1)).when(second, part(at, 2)).otherwise(part(plain, 2))
+    role = F.when(first, part(hiring, 2)).when(second, part(at, 1)).otherwise(F.coalesce(part(plain, 1), F.nullif(F.trim(title), F.lit(""))))
+    return F.struct(company.alias("company"), role.alias("role"), F.when(first, part(hiring, 3)).when(second, part(at, 3)).otherwise(part(plain, 3)).alias("location"))

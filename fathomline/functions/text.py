@@ -16,7 +16,10 @@ TITLE_WORDS = [("sr", "senior"), ("sde", "software engineer"), ("big data", "dat
 TRACKING = "^(utm_|gclid|fbclid|ref|source|src)"
 
 #: Public suffixes of two labels.
-TWO_LABEL_SUFFIXES = ["co.in", "net.in", "org.in", "firm.in", "gen.in", "ind.in", "ac.in", "edu.in", "gov.in", "co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "com.br", "com.sg", "co.jp", "co.nz", "co.za", "com.mx", "com.tr", "com.hk"]
+TWO_LABEL_SUFFIXES = [
+    "co.in", "net.in", "org.in", "firm.in", "gen.in", "ind.in", "ac.in", "edu.in", "gov.in", "co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "com.sg", "com.my",
+    "co.jp", "co.kr", "com.br", "com.cn", "com.hk", "com.tw", "co.nz", "co.za", "com.mx", "com.ar", "com.tr", "com.sa", "co.id", "com.ph", "com.vn", "com.pk", "com.bd", "co.il",
+]
 
 
 def normalize_text(value: Column) -> Column:
@@ -52,7 +55,7 @@ def unescape(value: Column) -> Column:
     return F.get(unescape_each(F.array(value)), F.lit(0))
 
 
-def html_to_texts(values: Column, limit: int | None = 20_000) -> Column:
+def html_to_texts(values: Column, limit: int | None = None) -> Column:
     """html_to_text of each element of an array, which can't be called in a lambda."""
 
     def visible(text: Column) -> Column:
@@ -69,7 +72,7 @@ def html_to_texts(values: Column, limit: int | None = 20_000) -> Column:
     return F.transform(unescape_each(F.transform(decoded, visible)), tidy)
 
 
-def html_to_text(value: Column, limit: int | None = 20_000) -> Column:
+def html_to_text(value: Column, limit: int | None = None) -> Column:
     """Visible text with a line for each block element, its first `limit` characters if given; null gives an empty text."""
     return F.get(html_to_texts(F.array(value), limit), F.lit(0))
 
@@ -134,3 +137,55 @@ def metrics(text: Column) -> Column:
 def bounded_id(value: Column, most: int = 200) -> Column:
     """The value itself, or its start and a hash if it is too long."""
     return F.when(F.char_length(value) <= most, value).otherwise(F.concat(F.substring(value, 1, most - 41), F.lit("-"), F.sha1(value)))
+
+
+def iso_z(at: Column) -> Column:
+    """A moment as ISO text in UTC with a Z; null stays null."""
+    return F.date_format(at.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def posted_text(at: Column, precision: Column) -> Column:
+    """A posting's time as precisely as it is known: a date, a time without zone, or a moment."""
+    local = F.date_format(at.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss")
+    return F.when(precision == "date", F.date_format(at.cast("timestamp"), "yyyy-MM-dd")).when(precision == "local_datetime", local).otherwise(iso_z(at))
+
+
+def display_name(name: Column) -> Column:
+    """A company's name without a note on its accelerator, marks at its ends and, for a single word, a domain's ending; 200 letters at most."""
+    text = F.regexp_replace(name, r"(?i)\((?:yc|y combinator)[^)]*\)", " ")
+    text = F.regexp_replace(F.regexp_replace(text, r"\s+", " "), "^[ \\-|,.:;–—]+|[ \\-|,.:;–—]+$", "")
+    return F.substring(F.when(F.contains(text, F.lit(" ")), text).otherwise(F.regexp_replace(text, r"(?i)\.(?:com|in|io|ai|co|net|org|app|dev|tech|jobs)$", "")), 1, 200)
+
+
+def plausible_name(normal: Column) -> Column:
+    """Whether a normalised name may be a company's: 2 to 80 letters, 6 words at most, no number alone, no talk of jobs or roles."""
+    jobs = r"\b(?:jobs?|vacanc\w*|openings?|hiring|salary|salaries|interview|careers? at|apply now)\b"
+    roles = r"\b(?:data|software|platform|infrastructure|systems?|backend)\s+(?:engineer|developer)"
+    fits = (F.char_length(normal) >= 2) & (F.char_length(normal) <= 80) & (F.size(F.split(normal, " ")) <= 6)
+    return F.coalesce(fits & ~normal.rlike(r"^[\d\s]+$") & ~normal.rlike(jobs) & ~normal.rlike(roles), F.lit(False))
+
+
+def career_root(url: Column) -> Column:
+    """Scheme and host of a URL with the first part of its path, where that names careers or jobs."""
+    root = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1)
+    part = F.regexp_extract(url, r"(?i)^[a-z][a-z0-9+.-]*://[^/?#]+(/(?:careers?|jobs?|join-us|work-with-us|openings))(?:[/?#]|$)", 1)
+    return F.nullif(F.concat(root, part), F.lit(""))
+
+
+def tenant_name(tenant: Column) -> Column:
+    """A tenant's name in words: camel case and dashes parted, each word with a capital."""
+    return F.initcap(F.trim(F.regexp_replace(F.regexp_replace(tenant, "([a-z])([A-Z])", "$1 $2"), "[-_]+", " ")))
+
+
+def link_priority(url: Column, label: Column) -> Column:
+    """How likely a link of a careers page leads to a posting or a list of them; higher is likelier."""
+    both = F.lower(F.concat_ws(" ", url, label))
+    job = both.rlike(r"\b(?:engineer|developer|analyst|scientist|architect)\b")
+    listing = both.rlike(r"\b(?:jobs?|careers?|openings?|positions?|vacanc\w*)\b")
+    away = both.rlike(r"\b(?:login|sign ?in|privacy|cookies?|terms|blog|press)\b")
+    return F.when(away, 0).otherwise(F.when(job, 3).otherwise(0) + F.when(listing, 2).otherwise(0) + F.when(both.rlike(r"\bdata\b"), 1).otherwise(0))
+
+
+def in_domains(host: Column, domains: list[str]) -> Column:
+    """Whether a host, or its registrable domain, is one of a list such as job boards or applicant systems."""
+    return F.coalesce(host.isin(*domains) | registrable_domain(host).isin(*domains), F.lit(False))

@@ -77,3 +77,93 @@ def rotated_product(left: DataFrame, right: DataFrame, order: list[str], offset:
     numbered = both.withColumns({"_i": F.row_number().over(Window.orderBy(*order)) - 1, "_n": F.count("*").over(Window.partitionBy())})
     turned = numbered.withColumn("slot", F.pmod(F.col("_i") - offset, F.col("_n")))
     return turned.where(F.col("slot") < size).drop("_i", "_n")
+
+
+def board_matches(boards: DataFrame, companies: DataFrame) -> DataFrame:
+    """(board_id, company_id) where a board's identifier is a company's key, holds it (4 letters at least), or the title names it.
+
+    `boards` has board_id, key, title; `companies` company_id, name_key, name, both
+    normalised. A key meets the board's substrings of its own length, and a name
+    the title's runs of words, so no pair is formed that isn't a match.
+    """
+    keys = companies.where(F.char_length("name_key") > 0).select("company_id", "name_key", F.trim("name").alias("name"))
+    n = F.char_length("key")
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, n), lambda j: F.substr("key", i, j - i + 1))))
+    whole = boards.where("key <> ''").select("board_id", F.explode(F.array_distinct(F.filter(parts, lambda p: (F.char_length(p) >= 4) | (p == F.col("key"))))).alias("name_key"))
+    words = F.split(F.trim("title"), " +")
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(6), F.size(words) - i + 1)), lambda k: F.array_join(F.slice(words, i, k), " "))))
+    named = boards.where("title <> ''").select("board_id", F.explode(F.array_distinct(runs)).alias("name"))
+    by_key = whole.join(keys, "name_key").select("board_id", "company_id")
+    by_name = named.join(keys.where("name <> ''"), "name").select("board_id", "company_id")
+    return by_key.unionByName(by_name).distinct()
+
+
+def overlapping(left: DataFrame, left_id: str, right: DataFrame, right_id: str, aliases: str = "aliases") -> DataFrame:
+    """Pairs of rows that share an alias, each once, by an equi-join of the exploded aliases."""
+    a = left.select(left_id, F.explode(F.array_distinct(aliases)).alias("_alias"))
+    b = right.select(right_id, F.explode(F.array_distinct(aliases)).alias("_alias"))
+    return a.join(b, "_alias").select(left_id, right_id).distinct()
+
+
+def word_prefixes(left: DataFrame, left_id: str, left_name: str, right: DataFrame, right_id: str, right_name: str, least: int = 3) -> DataFrame:
+    """Pairs of names of which one's words begin the other's; names with fewer than `least` letters match nothing."""
+
+    def heads(df: DataFrame, key: str, name: str, whole: str) -> DataFrame:
+        words = F.split(F.trim(name), " +")
+        every = F.transform(F.sequence(F.lit(1), F.size(words)), lambda k: F.array_join(F.slice(words, 1, k), " "))
+        return df.where(F.char_length(F.regexp_replace(name, " ", "")) >= least).select(key, F.array_join(words, " ").alias(whole), F.explode(every).alias("_head"))
+
+    a, b = heads(left, left_id, left_name, "_a"), heads(right, right_id, right_name, "_b")
+    return a.join(b, "_head").where((F.col("_head") == F.col("_a")) | (F.col("_head") == F.col("_b"))).select(left_id, right_id).distinct()
+
+
+def by_level(column: Column, order: list[str]) -> Column:
+    """The place of a value in an order of levels, for sorting; others come last."""
+    out = F.lit(len(order))
+    for i, level in reversed(list(enumerate(order))):
+        out = F.when(column == level, i).otherwise(out)
+    return out
+
+
+def searched(needle: str, *columns: Column) -> Column:
+    """Whether the text of all columns together holds a needle, upper and lower case alike; null columns are passed over."""
+    return F.contains(F.lower(F.concat_ws(" ", *columns)), F.lit(needle.lower()))
+
+
+def in_place(column: Column, flag: Column, wanted: str, home: str = "india") -> Column:
+    """Whether a place holds the wanted text; the home country is also known by its flag."""
+    held = F.contains(F.lower(column), F.lit(wanted.lower()))
+    return (F.coalesce(flag, F.lit(False)) | F.coalesce(held, F.lit(False))) if wanted.lower() == home else held
+
+
+def check_weights(weights: dict[str, float], known: list[str]) -> dict[str, float]:
+    """The weights, if all are known and none is negative; ValueError otherwise."""
+    if bad := [k for k, v in weights.items() if k not in known or v < 0]:
+        raise ValueError(f"unknown or negative weights: {bad}")
+    return weights
+
+
+def check_descending(values: dict[str, float]) -> dict[str, float]:
+    """Thresholds, if each is above the next; ValueError otherwise."""
+    numbers = list(values.values())
+    if any(a <= b for a, b in zip(numbers, numbers[1:])):
+        raise ValueError(f"thresholds must descend: {values}")
+    return values
+
+
+def merged_settings(defaults: dict, stored: dict) -> dict:
+    """Defaults with what is stored laid over them, section by section; values of another kind than the default's are passed over."""
+    out = dict(defaults)
+    for name, value in stored.items():
+        if isinstance(defaults.get(name), dict) and isinstance(value, dict):
+            out[name] = merged_settings(defaults[name], value)
+        elif name in defaults and (isinstance(value, type(defaults[name])) or isinstance(defaults[name], float) and isinstance(value, int)):
+            out[name] = value
+    return out
+
+
+def cached(entries: DataFrame, now: Column, ttl_seconds: float) -> DataFrame:
+    """Entries of a cache (key, value, fetched_at) that are fresh enough, the newest of each key."""
+    age = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("fetched_at").cast("timestamp"))) / 1e6
+    fresh = entries.where(age <= ttl_seconds)
+    return fresh.groupBy("key").agg(F.max(F.struct("fetched_at", "value"))["value"].alias("value"), F.max("fetched_at").alias("fetched_at"))

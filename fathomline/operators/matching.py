@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scores import one_decimal, weighted_mean
+
 #: What a level of evidence counts, and the share that passes to the family's other members.
 LEVELS = {"STRONG": 1.0, "MODERATE": 0.8, "RUSTY": 0.6, "PROJECT": 0.5, "LISTED": 0.4}
 TRANSFER_LEVELS = ["STRONG", "MODERATE", "RUSTY"]
@@ -113,3 +115,31 @@ def seniority_fit(years: Column, low: Column, high: Column, level: Column, wante
     worst = F.least(by_years, by_level)  # least passes over nulls
     names, values = F.array(*(F.lit(n) for n, _ in VERDICTS)), F.array(*(F.lit(v) for _, v in VERDICTS))
     return F.struct(F.coalesce(F.get(names, worst), F.lit("UNKNOWN")).alias("status"), F.coalesce(F.get(values, worst), F.lit(70.0)).alias("score"))
+
+
+def composed_fit(parts: dict[str, Column], weights: dict[str, float]) -> Column:
+    """Weighted mean of the components at hand, to one decimal; weights of components that aren't don't count."""
+    return one_decimal(weighted_mean(parts, weights))
+
+
+def explanation(skills: Column, seniority: Column, location: Column, fit: Column, most: int = 12) -> Column:
+    """Lines that say why a fit is as it is: what matches, what is missing, and where seniority or place stand against it.
+
+    `skills` is array<struct(name, status, importance)>; alternatives are no gaps.
+    """
+    names = lambda keep: F.array_join(F.transform(F.slice(F.filter(skills, keep), 1, most), lambda s: s["name"]), ", ")
+    strong, gaps = names(lambda s: s["status"].isin("STRONG", "MODERATE")), names(lambda s: (s["status"] == "GAP") & (s["importance"] != "alternative"))
+    return F.array_compact(F.array(
+        F.concat(F.lit("Fit "), F.format_number(fit, 1)),
+        F.when(strong != "", F.concat(F.lit("Matches: "), strong)),
+        F.when(gaps != "", F.concat(F.lit("Missing: "), gaps)),
+        F.when(seniority.isin("UNDERQUALIFIED", "STRETCH", "OVERQUALIFIED"), F.concat(F.lit("Seniority: "), F.lower(seniority))),
+        F.when(location.isin("MISMATCH", "RELOCATION"), F.concat(F.lit("Location: "), F.lower(location))),
+    ))
+
+
+def strategy(skills: Column, most: int = 8) -> Column:
+    """struct(emphasise, concerns): the strongest skills that are asked for, and the required ones that are missing, by weight."""
+    ordered = F.array_sort(F.transform(skills, lambda s: F.struct((-s["weight"]).alias("w"), s["name"].alias("name"), s["status"].alias("status"), s["importance"].alias("importance"))))
+    pick = lambda keep: F.slice(F.transform(F.filter(ordered, keep), lambda s: s["name"]), 1, most)
+    return F.struct(pick(lambda s: s["status"].isin("STRONG", "MODERATE")).alias("emphasise"), pick(lambda s: (s["status"] == "GAP") & (s["importance"] == "required")).alias("concerns"))

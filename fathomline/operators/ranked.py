@@ -104,7 +104,7 @@ def union_length(df: DataFrame, keys: list[str], start: str, end: str) -> DataFr
 def closure(edges: DataFrame, source: str, target: str, rounds: int = 16) -> DataFrame:
     """All (source, target) pairs reachable over a small table of implications, such as a taxonomy.
 
-    Each round doubles the paths' length; `rounds` doublings reach any path of a table with fewer than 2^rounds nodes.
+    Each round is checkpointed, so spark.checkpoint.dir must be set. Each round doubles the paths' length; `rounds` doublings reach any path of a table with fewer than 2^rounds nodes.
     """
     pairs = edges.select(F.col(source).alias("source"), F.col(target).alias("target")).where("source <> target").distinct()
     size = pairs.count()

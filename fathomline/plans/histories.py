@@ -12,12 +12,12 @@ from .registry import Tables, query, ts
 STAGES = {"applied": ["click", "purchase", "signup"], "responded": ["purchase", "signup"], "interviewed": ["signup"], "offered": ["purchase"]}
 _REACHED = """
 WITH r AS (SELECT user_id, bool_or(event_type IN ('click', 'purchase', 'signup')) AS applied, bool_or(event_type IN ('purchase', 'signup')) AS responded, bool_or(event_type = 'signup') AS interviewed, bool_or(event_type = 'purchase') AS offered
-  FROM events WHERE value > 60 GROUP BY user_id)
+  FROM events GROUP BY user_id)
 """
 
 
 def _reached(t: Tables) -> DataFrame:
-    return funnel.reached(t.events.where("value > 60"), "user_id", "event_type", STAGES)
+    return funnel.reached(t.events, "user_id", "event_type", STAGES)
 
 
 @query(_REACHED + """

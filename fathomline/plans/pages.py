@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -11,7 +11,8 @@ from ..sources import boards
 from .registry import Tables, query
 
 _HOST = "regexp_replace(regexp_replace(lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', '')), ':[0-9]*$', ''), '[.]+$', '')"
-_TWO = ", ".join(f"'{s}'" for s in text.TWO_LABEL_SUFFIXES)
+_TWO = """'co.in', 'net.in', 'org.in', 'firm.in', 'gen.in', 'ind.in', 'ac.in', 'edu.in', 'gov.in', 'co.uk', 'org.uk', 'ac.uk', 'gov.uk', 'com.au', 'net.au', 'org.au', 'com.sg', 'com.my',
+  'co.jp', 'co.kr', 'com.br', 'com.cn', 'com.hk', 'com.tw', 'co.nz', 'co.za', 'com.mx', 'com.ar', 'com.tr', 'com.sa', 'co.id', 'com.ph', 'com.vn', 'com.pk', 'com.bd', 'co.il'"""
 
 
 @query("""
@@ -55,8 +56,9 @@ SELECT doc_id, h AS description_hash, min(doc_id) OVER (PARTITION BY h) AS first
 """)
 def exact_dedup(t: Tables) -> DataFrame:
     rows = t.documents.select("doc_id", text.description_hash(F.col("text")).alias("description_hash"))
-    first = rows.groupBy("description_hash").agg(F.min("doc_id").alias("first_id"))
-    return rows.join(first, "description_hash").select("doc_id", "description_hash", "first_id")
+    # Each text is hashed once, and only ids and hashes are shuffled.
+    first = F.min("doc_id").over(Window.partitionBy("description_hash"))
+    return rows.select("doc_id", "description_hash", first.alias("first_id"))
 
 
 @query("""
