@@ -135,11 +135,6 @@ def _more_tokens(docs: DataFrame, needed: DataFrame, trees: int, id_col: str, te
     return map_rows(_texts(docs, needed, id_col, text_col), rows, "rep long, tokens binary", arrow, 64)
 
 
-def _paths(rows: DataFrame, depth: int, first: int) -> DataFrame:
-    tokens = F.substr("tokens", (F.col("tree") - first) * (4 * LEVELS) + 1, F.lit(4 * depth))
-    return rows.withColumn("path", F.xxhash64("tree", tokens))
-
-
 def _with_rep(rows: DataFrame, side: DataFrame, how: str = "inner") -> DataFrame:
     """Rows, of which a rep has one for each tree at most, joined with what `side` says of the rep: once for each rep."""
     mine = [c for c in rows.columns if c != "rep"]
@@ -157,9 +152,11 @@ def small_nodes(sets: DataFrame, shelf: Shelf, small: int = SMALL, first: int =
     depth, and (path, rep) of nodes that are still larger at the last level, which are also cut into blocks as nodes.
     """
     rows = sets.withColumn("tree", F.explode(F.sequence(F.lit(first), F.lit(first + trees - 1))))
+    own = F.substr("tokens", (F.col("tree") - first) * (4 * LEVELS) + 1, F.lit(4 * LEVELS))  # those of one tree, which rows keep from level to level
+    rows = rows.select("tree", "rep", own.alias("tokens"))
     done, crowded, total = [], None, sets.count() * trees
     for depth in DEPTHS:
-        rows = _paths(rows, depth, first).select("tree", "path", "rep")
+        rows = rows.withColumn("path", F.xxhash64("tree", F.substr("tokens", F.lit(1), F.lit(4 * depth))))
         sizes = rows.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
         level = shelf.put(f"level-{first}-{depth}", join_by_share(rows, sizes, ["path"], "size", total))
         done.append(level.where(F.col("size") <= small).select(F.xxhash64(F.lit(depth), "path").alias("node"), "rep"))
@@ -168,7 +165,7 @@ def small_nodes(sets: DataFrame, shelf: Shelf, small: int = SMALL, first: int =
             crowded = large.select("rep").distinct()
         if not (total := large.count()):
             break
-        rows = _with_rep(large.select("tree", "rep"), sets)
+        rows = large.select("tree", "rep", "tokens")
     else:
         block = _block("path", F.ceil(F.col("size") / (small // 2)).cast("int"))
         done.append(large.select(F.xxhash64(F.lit(-1), "path", block).alias("node"), "rep"))
