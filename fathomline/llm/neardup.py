@@ -12,7 +12,8 @@ Sketches reject pairs
 that are far apart; all links are confirmed on the full sets. Components grow in
 two rounds: first each member meets one other that it resembles, then only
 members of different components are compared, so a large group of near copies
-yields about as many pairs as it has members. A node that no level makes small is
+yields about as many pairs as it has members. The other trees come between the two
+rounds and leave out nodes of one component. A node that no level makes small is
 cut into blocks; each member meets its own block and the node's first member, and
 only members outside that one's component then meet the other blocks.
 """
@@ -150,14 +151,18 @@ def _block(of: str, n: Column) -> Column:
 def small_nodes(sets: DataFrame, shelf: Shelf, small: int = SMALL, first: int = 0, trees: int = TREES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(node, rep) of all nodes with 2 to `small` members, from trees `first` on, the reps of larger nodes at the first
     depth, and (path, rep) of nodes that are still larger at the last level, which are also cut into blocks as nodes.
+
+    `sets` has rep, component and tokens. A path whose members are all of one
+    component has nothing left to decide and ends there.
     """
     rows = sets.withColumn("tree", F.explode(F.sequence(F.lit(first), F.lit(first + trees - 1))))
     own = F.substr("tokens", (F.col("tree") - first) * (4 * LEVELS) + 1, F.lit(4 * LEVELS))  # those of one tree, which rows keep from level to level
-    rows = rows.select("tree", "rep", own.alias("tokens"))
+    rows = rows.select("tree", "rep", "component", own.alias("tokens"))
     done, crowded, total = [], None, sets.count() * trees
     for depth in DEPTHS:
         rows = rows.withColumn("path", F.xxhash64("tree", F.substr("tokens", F.lit(1), F.lit(4 * depth))))
-        sizes = rows.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
+        sizes = rows.groupBy("path").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
+        sizes = sizes.where("low < high").select("path", "size")
         level = shelf.put(f"level-{first}-{depth}", join_by_share(rows, sizes, ["path"], "size", total))
         done.append(level.where(F.col("size") <= small).select(F.xxhash64(F.lit(depth), "path").alias("node"), "rep"))
         large = level.where(F.col("size") > small)
@@ -165,7 +170,7 @@ def small_nodes(sets: DataFrame, shelf: Shelf, small: int = SMALL, first: int =
             crowded = large.select("rep").distinct()
         if not (total := large.count()):
             break
-        rows = large.select("tree", "rep", "tokens")
+        rows = large.select("tree", "rep", "component", "tokens")
     else:
         block = _block("path", F.ceil(F.col("size") / (small // 2)).cast("int"))
         done.append(large.select(F.xxhash64(F.lit(-1), "path", block).alias("node"), "rep"))
@@ -175,31 +180,37 @@ def small_nodes(sets: DataFrame, shelf: Shelf, small: int = SMALL, first: int =
     return out, crowded, large.select("path", "rep")
 
 
-def _all_nodes(docs: DataFrame, classes: DataFrame, shelf: Shelf, percent: int, small: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(node, rep) and the crowds (path, rep), which no level makes small, of the trees that `percent` needs for MISS.
+def _drop_levels(shelf: Shelf, first: int) -> None:
+    shelf.drop(*(f"level-{first}-{depth}" for depth in DEPTHS))
+
+
+def _first_nodes(classes: DataFrame, shelf: Shelf, percent: int, small: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(node, rep) and the crowds (path, rep) of the first trees, and the reps that go through more trees."""
+    nodes, crowded, crowds = small_nodes(classes.select("rep", F.col("rep").alias("component"), "tokens"), shelf, small)
+    if trees_for(percent, DEPTHS[0]) > TREES:
+        crowded = classes.select("rep")
+    out = shelf.put("nodes", nodes), shelf.put("crowds", crowds), shelf.put("crowded", crowded)
+    _drop_levels(shelf, 0)
+    return out
+
+
+def _more_nodes(docs: DataFrame, crowded: DataFrame, component: DataFrame, shelf: Shelf, trees: int, small: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(node, rep) and the crowds (path, rep) of `trees` trees after the first ones.
 
     A pair of which one document meets small nodes only at the first depth is
     found by TREES trees unless they part it there in each. All other
     documents go through the trees that the last level needs, in which pairs of
-    them stay together to the end, or to a small node before it.
+    them stay together to the end, or to a small node before it. Paths within
+    one `component` (rep, component; a rep without one is its own) end early, so
+    a group of near copies that the first trees linked isn't carried through the others.
     """
-    drop = lambda first: shelf.drop(*(f"level-{first}-{d}" for d in DEPTHS))
-    nodes, crowded, crowds = small_nodes(classes.select("rep", "tokens"), shelf, small)
-    nodes, crowds = shelf.put("nodes", nodes), shelf.put("crowds", crowds)
-    trees = trees_for(percent, LEVELS) - TREES
-    if trees_for(percent, DEPTHS[0]) > TREES:
-        crowded = classes.select("rep")
-    if trees > 0 and not crowded.isEmpty():
-        tokens = shelf.put("more-tokens", _more_tokens(docs, crowded, trees, id_col, text_col))
-        drop(0)
-        more, _, large = small_nodes(tokens, shelf, small, TREES, trees)
-        nodes = nodes.unionByName(shelf.put("more-nodes", more))
-        crowds = crowds.unionByName(shelf.put("more-crowds", large))
-        shelf.drop("more-tokens")
-        drop(TREES)
-    else:
-        drop(0)
-    return nodes, crowds
+    tokens = _more_tokens(docs, crowded, trees, id_col, text_col).join(component, "rep", "left")
+    tokens = shelf.put("more-tokens", tokens.select("rep", F.coalesce("component", "rep").alias("component"), "tokens"))
+    nodes, _, crowds = small_nodes(tokens, shelf, small, TREES, trees)
+    out = shelf.put("more-nodes", nodes), shelf.put("more-crowds", crowds)
+    shelf.drop("more-tokens")
+    _drop_levels(shelf, TREES)
+    return out
 
 
 def _crowd_leaders(crowds: DataFrame, sketches: DataFrame, cut: float) -> DataFrame:
@@ -406,12 +417,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     known = prints.where("n_shingles > 0 and doc_id is not null")
     classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("tokens").alias("tokens"), F.min("sketch").alias("sketch"))
     classes = shelf.put("classes", classes)
-    nodes, crowds = _all_nodes(docs, classes, shelf, percent, small, id_col, text_col)
+    nodes, crowds, crowded = _first_nodes(classes, shelf, percent, small)
     crowd = not crowds.isEmpty()
 
     # First one link for each member that resembles another, then what connects different components.
     sketches = classes.select("rep", "sketch")
-    sets = shelf.put("sets", _full_sets(docs, nodes, id_col, text_col))
+    sets = shelf.put("sets", _full_sets(docs, nodes.select("rep").unionByName(crowded), id_col, text_col))
     lone = _with_rep(nodes, sketches).withColumn("component", F.col("rep"))
     pairs = _leader_pairs(lone, cut)
     tried = shelf.put("tried", pairs.unionByName(_crowd_leaders(crowds, sketches, cut)).distinct() if crowd else pairs)
@@ -419,6 +430,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     first = shelf.put("first", components(links, shelf, "first-round"))
 
     of = first.withColumnRenamed("node", "rep")
+    trees = trees_for(percent, LEVELS) - TREES
+    if trees > 0 and not crowded.isEmpty():
+        more_nodes, more_crowds = _more_nodes(docs, crowded, of, shelf, trees, small, id_col, text_col)
+        nodes, crowds = nodes.unionByName(more_nodes), crowds.unionByName(more_crowds)
+        crowd = crowd or not more_crowds.isEmpty()
     if crowd:
         nodes = nodes.unionByName(shelf.put("crowd-nodes", crowd_nodes(crowds, of, small)))
     placed = _with_rep(nodes, of, "left").select("node", "rep", F.coalesce("component", "rep").alias("component"))
@@ -435,7 +451,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     out = prints.select("doc_id", "n_shingles").join(placed, F.col("doc_id") == F.col("_id"), "left")
     component = F.coalesce("_component", "doc_id")
     out = shelf.put("out", out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")))
-    shelf.drop("prints", "classes", "nodes", "more-nodes", "crowds", "more-crowds", "crowd-nodes", "sets", "tried", "links", "first", "open", "fine", "close", "more", "final")
+    shelf.drop("prints", "classes", "nodes", "more-nodes", "crowds", "crowded", "more-crowds", "crowd-nodes", "sets", "tried", "links", "first", "open", "fine", "close", "more", "final")
     return out
 
 
