@@ -40,6 +40,8 @@ LEVELS = 8
 MISS = 1e-6
 #: Levels at which nodes are looked at. Nodes above SMALL members branch on to the next one.
 DEPTHS = (2, 3, 4, 6, 8)
+#: The same for the further trees. Their number is that of the last level, so nodes that are small before it add nothing to the recall that MISS states.
+MORE_DEPTHS = (6, 8)
 SMALL = 1024
 #: Bytes of the finer sketch, which is made only of documents that the first one can't tell apart.
 FINE = 1024
@@ -148,7 +150,7 @@ def _block(of: str, n: Column) -> Column:
     return F.pmod(F.xxhash64("rep", of), n).cast("int")
 
 
-def small_nodes(sets: DataFrame, shelf: Shelf, small: int = SMALL, first: int = 0, trees: int = TREES) -> tuple[DataFrame, DataFrame, DataFrame]:
+def small_nodes(sets: DataFrame, shelf: Shelf, small: int = SMALL, first: int = 0, trees: int = TREES, depths: tuple[int, ...] = DEPTHS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(node, rep) of all nodes with 2 to `small` members, from trees `first` on, the reps of larger nodes at the first
     depth, and (path, rep) of nodes that are still larger at the last level, which are also cut into blocks as nodes.
 
@@ -159,7 +161,7 @@ def small_nodes(sets: DataFrame, shelf: Shelf, small: int = SMALL, first: int =
     own = F.substr("tokens", (F.col("tree") - first) * (4 * LEVELS) + 1, F.lit(4 * LEVELS))  # those of one tree, which rows keep from level to level
     rows = rows.select("tree", "rep", "component", own.alias("tokens"))
     done, crowded, total = [], None, sets.count() * trees
-    for depth in DEPTHS:
+    for depth in depths:
         rows = rows.withColumn("path", F.xxhash64("tree", F.substr("tokens", F.lit(1), F.lit(4 * depth))))
         sizes = rows.groupBy("path").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
         sizes = sizes.where("low < high").select("path", "size")
@@ -206,7 +208,7 @@ def _more_nodes(docs: DataFrame, crowded: DataFrame, component: DataFrame, shelf
     """
     tokens = _more_tokens(docs, crowded, trees, id_col, text_col).join(component, "rep", "left")
     tokens = shelf.put("more-tokens", tokens.select("rep", F.coalesce("component", "rep").alias("component"), "tokens"))
-    nodes, _, crowds = small_nodes(tokens, shelf, small, TREES, trees)
+    nodes, _, crowds = small_nodes(tokens, shelf, small, TREES, trees, MORE_DEPTHS)
     out = shelf.put("more-nodes", nodes), shelf.put("more-crowds", crowds)
     shelf.drop("more-tokens")
     _drop_levels(shelf, TREES)
