@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,17 +103,47 @@ def union_length(df: DataFrame, keys: list[str], start: str, end: str) -> DataFr
     return islands.groupBy(*keys).agg(F.sum(F.col("_to") - F.col("_from")).alias("covered"), F.count("*").alias("islands"))
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df`, computed and kept in the folder of spark.checkpoint.dir. Without one a local session takes a temporary folder; any other fails."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
+def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, component) of every node that has an edge; a component is its smallest node, of any type that has an order.
+
+    Each round takes the smallest label among a node's neighbours and then that
+    label's own label, so paths shorten fast. Loops and repeated edges have no effect
+    beyond naming their nodes; edges with a null end are left out.
+    """
+    ends = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).dropna()
+    both = checkpointed(ends.unionByName(ends.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct())
+    labels = checkpointed(both.groupBy("node").agg(F.min(F.least("node", "other")).alias("component")))
+    while True:
+        heard = both.join(labels.select(F.col("node").alias("other"), F.col("component").alias("_theirs")), "other").groupBy("node").agg(F.min("_theirs").alias("_least"))
+        nearer = labels.join(heard, "node").select("node", "component", F.least("component", "_least").alias("_label"))
+        onward = labels.select(F.col("node").alias("_label"), F.col("component").alias("_next"))
+        step = checkpointed(nearer.join(onward, "_label").select("node", F.least("_label", "_next").alias("_new"), "component"))
+        labels = step.select("node", F.col("_new").alias("component"))
+        if step.where("_new <> component").isEmpty():
+            return labels
+
+
 def closure(edges: DataFrame, source: str, target: str, rounds: int = 16) -> DataFrame:
     """All (source, target) pairs reachable over a small table of implications, such as a taxonomy.
 
-    Each round is checkpointed, so spark.checkpoint.dir must be set. Each round doubles the paths' length; `rounds` doublings reach any path of a table with fewer than 2^rounds nodes.
+    Each round is checkpointed. Each round doubles the paths' length; `rounds` doublings reach any path of a table with fewer than 2^rounds nodes.
     """
     pairs = edges.select(F.col(source).alias("source"), F.col(target).alias("target")).where("source <> target").distinct()
     size = pairs.count()
     for _ in range(rounds):
         step = pairs.select(F.col("source").alias("target"), F.col("target").alias("_next"))
         longer = pairs.join(step, "target").select("source", F.col("_next").alias("target")).where("source <> target")
-        pairs = pairs.unionByName(longer).distinct().checkpoint()
+        pairs = checkpointed(pairs.unionByName(longer).distinct())
         grown = pairs.count()
         if grown == size:
             break

@@ -44,17 +44,24 @@ def test_union_length(spark):
 
 
 def test_closure(spark):
-    if not spark.sparkContext.getCheckpointDir():
-        from fathomline.operators.ranked import closure  # noqa: F401
-
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
     edges = spark.createDataFrame([(i, i + 1) for i in range(12)] + [(12, 0), (20, 21)], "a int, b int")
     out = {(r.source, r.target) for r in ranked.closure(edges, "a", "b").collect()}
     assert out == {(i, j) for i in range(13) for j in range(13) if i != j} | {(20, 21)}
 
 
+def test_components(spark):
+    rnd = random.Random(5)
+    edges = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(35)] + [(i, i + 1) for i in range(100, 125)] + [(7, 7), (None, 3)]
+    label = {n: n for e in edges if None not in e for n in e}
+    for _ in label:
+        for a, b in edges:
+            if a is not None:
+                label[a] = label[b] = min(label[a], label[b])
+    out = ranked.components(spark.createDataFrame(edges, "a long, b long"), "a", "b")
+    assert sorted((r.node, r.component) for r in out.collect()) == sorted(label.items())
+    assert ranked.components(spark.createDataFrame([], "a long, b long"), "a", "b").isEmpty()
+
+
 def test_runs_and_headings(spark):
     rows = [("u", i, k) for i, k in enumerate("eeoeoeee")]
     df = spark.createDataFrame(rows, "u string, t int, k string")
@@ -128,6 +135,19 @@ def test_ingest_is_idempotent_and_resolves_duplicates(spark):
     assert like.where("external_id = '7'").first().matched_by == "likeness"
 
 
+def test_alike_rows_of_one_batch_are_one_job(spark):
+    """Rows 1 to 6 are joined by likeness, by a URL, and by a chain of both; a row that is skipped joins nothing."""
+    none, other = spark.createDataFrame([], STATE), "Something else entirely about a data lake. " * 9
+    rows = [{"id": 1}, {"id": 2, "text": BODY + "Join us."}, {"id": 3, "text": BODY}, {"id": 4, "url": "u3", "text": other}, {"id": 5, "text": other + "Now."}, {"id": 6, "place": "Oslo", "url": "u5"}]
+    apart = [{"id": 7, "place": "Bergen"}, {"id": 8, "place": None}, {"id": 9, "place": None}, {"id": 0, "title": "Chef", "url": "u7"}]
+    out = postings.ingest(batch(spark, *rows, *apart), none, NOW)
+    assert outcomes(out) == dict.fromkeys("1789", "created") | dict.fromkeys("23456", "deduplicated") | {"0": "irrelevant_skipped"}
+    job = {r.external_id: r.job_id for r in out.collect()}
+    assert len({job[i] for i in "123456"}) == 1 and len({job[i] for i in "1789"}) == 4 and job["0"] is None
+    state = postings.apply_ingest(none, out)
+    assert state.count() == 9 and set(outcomes(postings.ingest(batch(spark, *rows), state, NOW)).values()) == {"unchanged"}
+
+
 def test_only_complete_scans_close(spark):
     none = spark.createDataFrame([], STATE)
     state = postings.apply_ingest(none, postings.ingest(batch(spark, {"id": 1}, {"id": 2, "title": "Platform Engineer"}), none, NOW))
