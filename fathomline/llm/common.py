@@ -75,6 +75,14 @@ class Shelf:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
+    def empty(self, name: str, schema: str) -> DataFrame:
+        return self.put(name, self.spark.createDataFrame([], schema))
+
+    def add(self, name: str, df: DataFrame) -> DataFrame:
+        """Rows that are added to those of earlier calls; a job that fails adds none."""
+        df.write.mode("append").parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
         for name in names:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, media, mixing, neardup, packing, passages, private, quality, secret_scan, urls
+from . import alignment, fingerprints, media, mixing, neardup, negatives, packing, passages, private, quality, secret_scan, topk, urls
 from .common import read
 
 
@@ -49,9 +49,14 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_repeats": passages.query,
     "op10_secrets": op10_secrets,
+    "op11_alignment": alignment.query,
+    "op12_hard_negatives": negatives.query,
+    "op13_exact_topk": topk.query,
 }
 
 ORACLES = {
     "op1_mixing": mixing.ORACLE,
     "op4_url_filter": urls.ORACLE,
+    "op12_hard_negatives": negatives.ORACLE,
+    "op13_exact_topk": topk.ORACLE,
 }
