@@ -73,14 +73,16 @@ def location_needs(t: Tables) -> DataFrame:
 
 _WORDS = {"Email": ["e-?mail", "mail"], "License": ["license", "licence"], "Token": ["token", "secret", "password"], "Web": ["http", "https", "www"], "SQL": ["sql", "mysql"], "The": ["the", "la", "die"]}
 _FIND = " UNION ALL ".join(f"SELECT doc_id, '{n}' AS name, length(regexp_extract(' ' || text || ' ', '(?is)^(.*?)[^A-Za-z0-9_](?:{'|'.join(w)})[^A-Za-z0-9_]', 1)) + 1 AS start, regexp_matches(' ' || text || ' ', '(?is)[^A-Za-z0-9_](?:{'|'.join(w)})[^A-Za-z0-9_]') AS found FROM documents" for n, w in _WORDS.items() if n != "SQL")
+# SQL by its guard: no letter or slash before it, and what "server" follows is made another word of the same length.
+_FIND += " UNION ALL SELECT doc_id, 'SQL', length(regexp_extract(t, '(?is)^(.*?)[^A-Za-z0-9_/]sql[^A-Za-z0-9_]', 1)) + 1, regexp_matches(t, '(?is)[^A-Za-z0-9_/]sql[^A-Za-z0-9_]') FROM (SELECT doc_id, regexp_replace(' ' || text || ' ', '(?i)sql( server)', 'sq_\\1', 'g') AS t FROM documents)"
 
 
 @query(f"""
 WITH h AS ({_FIND}) SELECT d.doc_id, coalesce(string_agg(name, ';' ORDER BY start, name) FILTER (found), '') AS terms FROM documents d LEFT JOIN h ON h.doc_id = d.doc_id GROUP BY d.doc_id
 """)
 def found_terms(t: Tables) -> DataFrame:
-    """Terms of all documents in the order of their first appearance; SQL counts only where its guard holds."""
-    found = terms.find_terms(F.col("text"), terms.term_patterns({n: w for n, w in _WORDS.items() if n != "SQL"}))
+    """Terms of all documents in the order of their first appearance; SQL counts where its guard holds."""
+    found = terms.find_terms(F.col("text"), terms.term_patterns(_WORDS))
     return t.documents.select("doc_id", F.array_join(terms.term_names(found), ";").alias("terms"))
 
 
