@@ -280,10 +280,16 @@ def level_of(years: Column, title: Column) -> Column:
     return F.when(by_title.isNull(), by_years).when(by_years.isNull(), by_title).otherwise(F.least(by_title, by_years + 1))
 
 
+#: Role titles by which a text names an opening.
+ROLE_PHRASE = (
+    r"(?i)((?:(?:senior|sr\.?|lead|staff|principal|junior|jr\.?|associate)\s+)?(?:big\s+data\s+engineer|data\s+(?:platform|infrastructure|systems)\s+engineer|data\s+engineer|distributed\s+systems\s+engineer|platform\s+engineer|"
+    r"infrastructure\s+engineer|software\s+engineer[\s,-]+(?:data|infrastructure)|etl\s+(?:engineer|developer)))"
+)
+
+
 def role_phrase(text: Column) -> Column:
     """The first role that a text names, such as senior data engineer; null without one."""
-    pattern = r"(?i)\b((?:(?:senior|sr\.?|staff|lead|principal|junior) )?(?:data|analytics|platform|software|machine learning|big data) (?:engineer|developer|architect)s?)\b"
-    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+    return F.nullif(F.regexp_extract(text, ROLE_PHRASE, 1), F.lit(""))
 
 
 def title_parts(title: Column) -> Column:
