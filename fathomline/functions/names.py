@@ -69,7 +69,7 @@ def stripped(value: Column, patterns: list[str], most: int = 2) -> Column:
 def is_location(value: Column) -> Column:
     """Whether a text is nothing but places: as a whole, or each of its parts."""
     plain = lambda v: F.trim(F.regexp_replace(F.lower(v), "[^a-z ]+", " "))
-    parts = F.filter(F.transform(F.split(F.lower(value), "[,/]| or | and "), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.lower(value), "[,/]| or | and "), lambda x: F.trim(x)), lambda p: p != "")
     each = F.forall(parts, lambda p: plain(p).isin(*LOCATION_WORDS) | p.rlike(INDIA))
     return F.coalesce((plain(value) != "") & (plain(value).isin(*LOCATION_WORDS) | ((F.size(parts) > 0) & each)), F.lit(False))
 

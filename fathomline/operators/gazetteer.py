@@ -81,7 +81,7 @@ def as_names(aliases: DataFrame) -> DataFrame:
     """A table of names with all its columns: term, alias, exact (false), not_after, not_before (none). Null or empty names go, as do null terms."""
     columns = {
         "exact": F.coalesce(F.col("exact"), F.lit(False)) if "exact" in aliases.columns else F.lit(False),
-        **{c: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), F.lower) if c in aliases.columns else F.array().cast("array<string>") for c in ("not_after", "not_before")},
+        **{c: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.lower(x)) if c in aliases.columns else F.array().cast("array<string>") for c in ("not_after", "not_before")},
     }
     return aliases.where("term is not null and alias <> ''").select("term", "alias", *(v.alias(k) for k, v in columns.items())).distinct()
 

@@ -111,7 +111,7 @@ def _pieces(title: Column, snippet: Column, platform: Column, domain: Column) ->
     rest = F.regexp_extract(title, LISTING, 1)
     found = jobs.role_phrase(rest)
     listing = F.when(title.rlike(LISTING) & found.isNotNull(), _piece("listing", 0, _before(rest, found), found, F.regexp_extract(title, LISTING, 2)))
-    split = lambda pattern: F.filter(F.transform(F.split(title, pattern), F.trim), lambda s: s != "")
+    split = lambda pattern: F.filter(F.transform(F.split(title, pattern), lambda x: F.trim(x)), lambda s: s != "")
     parts = split(PARTS)
     listed = (F.size(parts) == 1) & title.contains(",")  # a title without other marks is parted at its commas
 

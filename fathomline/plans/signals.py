@@ -47,7 +47,7 @@ def page_signals(t: Tables) -> DataFrame:
 def similar_companies(t: Tables) -> DataFrame:
     """Names that the pages' texts list beside a company, built of their own words."""
     rows = page_results(t)
-    some = F.array_join(F.transform(F.slice(F.col("words"), 2, 9), F.initcap), ", ")
+    some = F.array_join(F.transform(F.slice(F.col("words"), 2, 9), lambda x: F.initcap(x)), ", ")
     lead = _of(["Top competitors of Acme include ", "Rivals include ", "It competes with ", "Companies like Acme include ", "We know of "], F.col("page_id"))
     listed = F.concat(lead, some, F.lit(" and "), "name", F.lit(", etc. More text."))
     return signals.similar_companies(rows.withColumn("listed", listed), "page_id", "name", "title", "listed")
