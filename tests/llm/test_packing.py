@@ -71,9 +71,43 @@ def test_odd_rows(docs, nothing, own):
     assert packing.pack_documents(nothing, PATH, PATTERN).count() == 0
 
 
+def test_copies_of_a_document_come_apart(spark, own, monkeypatch):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(20 + i * 7))) for i in range(40)] * 3
+    for per_worker in (20_000, 40):
+        monkeypatch.setattr(packing, "PER_WORKER", per_worker)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        found = packing.pack_documents(docs, PATH, PATTERN, with_ids=False).collect()
+        assert sum(r.length for r in found) == 3 * sum({r.doc_id: r.doc_tokens for r in found}.values())
+        held = {}
+        for r in found:
+            held.setdefault(r.sequence_id, []).append(r)
+        for parts in held.values():
+            at = 0
+            for r in sorted(parts, key=lambda r: r.offset):
+                assert r.offset == at
+                at += r.length
+            assert at <= 2048 and len({r.doc_id for r in parts}) == len(parts)
+        assert len(held) <= 1.35 * sum(r.length for r in found) / 2048 + 2
+
+
+def test_a_document_that_is_most_rows(spark, own, monkeypatch):
+    monkeypatch.setattr(packing, "PER_WORKER", 300)
+    docs = spark.createDataFrame([(7, "the same")] * 2000 + [(None, "none")] * 500 + [(i, "others " * (i % 300)) for i in range(500)], "doc_id long, text string")
+    found = packing.pack_documents(docs, PATH, PATTERN, with_ids=False).collect()
+    assert len([r for r in found if r.doc_id == 7 and r.length == r.doc_tokens]) == 2000 + 1
+    sizes = {}
+    for r in found:
+        sizes[r.sequence_id] = sizes.get(r.sequence_id, 0) + r.length
+    assert max(sizes.values()) <= 2048 and len(sizes) <= 1.1 * sum(sizes.values()) / 2048 + 10
+
+
 def test_first_fit():
-    placed = packing._first_fit([5, 4, 3, 2, 2], 8)
-    ends = {}
-    for (k, at), n in zip(placed, [5, 4, 3, 2, 2]):
-        ends.setdefault(k, []).append((at, at + n))
-    assert all(sorted(v)[-1][1] <= 8 for v in ends.values()) and len(ends) == 2
+    lengths = [5, 4, 3, 2, 2]
+    for owners in (list("abcde"), list("aabbc"), [None] * 5):
+        placed = packing._first_fit(lengths, 8, owners)
+        ends, held = {}, {}
+        for (k, at), n, own in zip(placed, lengths, owners):
+            ends.setdefault(k, []).append((at, at + n))
+            held.setdefault(k, []).append(own)
+        assert all(sorted(v)[-1][1] <= 8 for v in ends.values()) and len(ends) <= 3
+        assert owners[0] is None or all(len(set(v)) == len(v) for v in held.values())
