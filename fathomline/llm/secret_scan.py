@@ -50,7 +50,7 @@ PATTERNS = {
     "assign": re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I),
     "access": re.compile(r"AKIA[A-Z0-9]+"),
     "github": re.compile(r"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])"),
-    "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"),
     "key": re.compile(
         r"-----BEGIN ((?:[A-Z]+ )*PRIVATE KEY)-----(?:"
         r"(?:[^-]++|-(?!----))*+-----END \1-----"  # up to the next row of dashes, if that is the END line
@@ -58,6 +58,8 @@ PATTERNS = {
         r"(?:(?:(?:\s|\\[rn])*+[A-Za-z0-9+/]{16,}+={0,2}+)++(?:(?:\r?\n|\\n)[ \t]*+[A-Za-z0-9+/]{1,15}+={0,2}+(?![^\s\\\"'`,]))?)?)"
     ),
 }
+#: Where a web token fails, so does one that starts later in the same run of its letters.
+_RUN = re.compile("[A-Za-z0-9_-]*+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -105,10 +107,14 @@ def _spans(text: str) -> Iterator[tuple[str, int, int]]:
     for kind, starts in hits.items():
         taken = 0
         for start in sorted(starts):
-            if start >= taken and (m := PATTERNS[kind].match(text, start)):
+            if start < taken:
+                continue
+            if m := PATTERNS[kind].match(text, start):
                 taken = m.end()  # a match that fails its check still takes its place
                 if _holds(kind, m):
                     yield kind, *m.span()
+            elif kind == "jwt":
+                taken = _RUN.match(text, start).end()
     for m in _HEX.finditer(text):
         yield "hex", *m.span()
 

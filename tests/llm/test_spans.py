@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import base64
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -122,3 +124,14 @@ def test_queries_count_and_join(spark, tmp_path, docs):
     assert row.spans.startswith("email:37:50,phone:51:")
     row = queries.op10_secrets(spark, str(tmp_path)).where("doc_id = 13").first()
     assert (row.n_assign, row.spans) == (1, "assign:0:25")
+
+
+def test_failed_web_tokens_take_linear_time():
+    began = time.process_time()
+    for text in ("eyJ" * 340_000, "eyJ" * 340_000 + ".", ("eyJ" + "a" * 9 + ".") * 80_000, "eyJ.eyJ" * 140_000, ("eyJ" * 9 + "." + "eyJ" * 9 + ".x ") * 18_000):
+        secret_scan.find(text)
+    assert time.process_time() - began < 20
+    head = base64.urlsafe_b64encode(b'{"alg":"none"}').decode().rstrip("=")
+    good = f"{head}.{'b' * 9}.{'c' * 9}"
+    for before in ("eyJ" * 5 + " ", "eyJeyJ.", "eyJ" * 4 + ".short.", "eyJabcdefgh.abcdefgh "):
+        assert ("jwt", len(before), len(before) + len(good)) in secret_scan.find(before + good + " end")
