@@ -5,7 +5,8 @@ a 64-bit hash. The cover sample holds, of every window of the unit's length, the
 place whose gram has the smallest hash. Like the places of a difference cover, it
 gives two equal windows a common offset at which both are sampled; as it follows
 the content, it takes one place in about 170 bytes and keeps equal windows
-together. A block is what shares a sampled gram, and one block after another is
+together. Where a text repeats itself at short distances, as padding does, equal
+windows of it are written once. A block is what shares a sampled gram, and one block after another is
 sorted: suffixes that start before the sampled place are ordered by the items up
 to it, and ties among them by the precomputed rank of what follows it. Only
 blocks whose members differ need their items. Blocks too large for one task are
@@ -114,14 +115,38 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(data).alias("key"), data.alias("data"))
 
 
-_PLACES = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("place", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("gram", pa.int64()), ("member", pa.int64())])
+_RANGE = pa.struct([("a", pa.int32()), ("b", pa.int32())])
+_PLACES = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("place", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("gram", pa.int64()), ("member", pa.int64()), ("more", pa.list_(_RANGE))])
+
+
+def once_each(piece: np.ndarray, members: np.ndarray, low: np.ndarray, high: np.ndarray, unit: int) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Which places to keep, and for some of them the ranges of the equal ones that they stand for.
+
+    In padding and other text of short period every window has a place of its
+    own, but few differ. Two equal members in a text prove that bytes are
+    repeated, so two are kept; of equal members of one window of words, whose
+    verdict is one for all, the first is.
+    """
+    order = np.lexsort((np.arange(len(members)), members, piece))
+    first = np.flatnonzero(np.r_[True, (members[order][1:] != members[order][:-1]) | (piece[order][1:] != piece[order][:-1])]) if len(order) else order
+    keep, ranges, held = np.ones(len(members), bool), {}, 1 if unit else 2
+    for at, n in zip(first.tolist(), np.diff(np.r_[first, len(order)]).tolist()):
+        if n <= held or (unit and low[order[at]] < high[order[at]]):
+            continue
+        others = order[at + held : at + n]
+        keep[others] = False
+        a, b = low[others], high[others] + UNITS[unit].length
+        new = np.r_[True, a[1:] > b[:-1]]
+        ranges[int(order[at])] = a[new], b[np.r_[np.flatnonzero(new)[1:] - 1, len(b) - 1]]
+    return keep, ranges
 
 
 def cover_sample(keyed: DataFrame) -> DataFrame:
-    """(doc, key, place, low, high, gram, member): the sampled places of all texts in both units.
+    """(doc, key, place, low, high, gram, member, more): the sampled places of all texts in both units.
 
     low and high are the first and last start of the windows that the place
-    stands for, member is a hash of all items of these windows.
+    stands for, member is a hash of all items of these windows. more are ranges
+    of items that are covered by equal members of the text which have no row.
     """
 
     def places(held: list[tuple[int, int, int, bytes]], unit: int) -> pa.RecordBatch:
@@ -131,8 +156,11 @@ def cover_sample(keyed: DataFrame) -> DataFrame:
         piece, place, low, high, gram = sample(parts, unit)
         ends = zip(piece.tolist(), place.tolist(), low.tolist(), high.tolist())
         members = np.fromiter((xxhash.xxh64_intdigest(parts[i][a * item : (b + length) * item], p - a) for i, p, a, b in ends), np.uint64, len(piece))
-        longs = [docs[piece], keys[piece], *((x + bases[piece]).astype(np.int32) for x in (place, low, high)), gram.view(np.int64), members.view(np.int64)]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in longs], schema=_PLACES)
+        place, low, high = (x + bases[piece] for x in (place, low, high))
+        keep, ranges = once_each(piece, members, low, high, unit)
+        longs = [docs[piece], keys[piece], *(x.astype(np.int32) for x in (place, low, high)), gram.view(np.int64), members.view(np.int64)]
+        more = [[{"a": a, "b": b} for a, b in zip(*(x.tolist() for x in ranges[i]))] if i in ranges else None for i in np.flatnonzero(keep).tolist()]
+        return pa.RecordBatch.from_arrays([*(pa.array(x[keep]) for x in longs), pa.array(more, pa.list_(_RANGE))], schema=_PLACES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,7 +178,7 @@ def cover_sample(keyed: DataFrame) -> DataFrame:
                 if held:
                     yield places(held, unit)
 
-    return keyed.select("doc", "key", "data").mapInArrow(run, "doc long, key long, place int, low int, high int, gram long, member long")
+    return keyed.select("doc", "key", "data").mapInArrow(run, "doc long, key long, place int, low int, high int, gram long, member long, more array<struct<a:int,b:int>>")
 
 
 _HEAD = ["gram", "member", "many", "settled", "least", "most"]
@@ -319,8 +347,9 @@ def repeated_spans(keyed: DataFrame, shelf: Shelf) -> DataFrame:
     verdicts = heads.where("settled").select("gram", "member", "many", F.lit(None).cast("array<struct<a:long,b:long>>").alias("offsets")).unionByName(found)
     judged = join_by_share(mixed, verdicts, ["gram", "member"], "many", shared.count())
     some = F.transform("offsets", lambda o: span(F.col("place") - o["b"], F.col("place") - o["a"]))
-    spans = shared.where("not mixed").select("doc", "key", of_words.alias("words"), all_of.alias("s"))
-    spans = spans.unionByName(judged.select("doc", "key", of_words.alias("words"), F.coalesce(some, all_of).alias("s")))
+    with_more = lambda s: F.when((F.size(s) > 0) & F.col("more").isNotNull(), F.concat(s, "more")).otherwise(s).alias("s")
+    spans = shared.where("not mixed").select("doc", "key", of_words.alias("words"), with_more(all_of))
+    spans = spans.unionByName(judged.select("doc", "key", of_words.alias("words"), with_more(F.coalesce(some, all_of))))
     one = lambda words: F.flatten(F.collect_set(F.when(F.col("words") == words, F.col("s"))))
     return spans.groupBy("doc", "key").agg(one(False).alias("spans"), one(True).alias("passages"))
 

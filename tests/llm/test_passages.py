@@ -104,3 +104,20 @@ def test_rows_repeated_with_their_id_are_solved_once(spark):
     out = passages.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(out) == len(rows) and all(len(r.removed) == 1 and len(r.passages) == 1 for r in out)
     assert {len(r.kept) for r in out if r.doc_id == 7} == {0}
+
+
+def test_padding_takes_few_places(spark):
+    """A run of one byte, of spaces or of a short period: places are few, and all results as before."""
+    long = {1: "a" * 1_000_000, 2: " " * 1_000_000, 3: "abcd " * 200_000}
+    keyed = passages._keyed(spark.createDataFrame(list(long.items()), "doc_id long, text string"), "doc_id", "text")
+    n = {r.doc: r.n for r in passages.cover_sample(keyed).groupBy("doc").count().withColumnRenamed("count", "n").collect()}
+    assert all(50 * n[k] < len(t) for k, t in long.items()) and n[1] < 20
+    rnd = random.Random(3)
+    noise = lambda k: "".join(rnd.choice("bcdefg ") for _ in range(k))
+    texts = [noise(300) + "a" * 950 + noise(500), noise(100) + "a" * 400 + noise(40), "a" * 399 + noise(900), noise(30) + "xy " * 170 + noise(300) + "xy " * 300, "xy " * 134, "q " * 60 + noise(50), noise(20) + " q" * 51, "r " * 70, " ".join(["s"] * 49), " ".join(["s"] * 50) + noise(10)]
+    data = [t.encode() for t in texts]
+    want = [(*w, n) for w, n in zip(brute(data), brute_words(data))]
+    got = result(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    assert [got[i] for i in range(len(texts))] == want
+    whole = result(spark.createDataFrame(list(long.items()), "doc_id long, text string"))
+    assert all(whole[k][:3] == (len(t), len(t), 1) for k, t in long.items())
