@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import postings
-from ..sources import boards
+from ..sources import markup
 from .registry import Tables, query
 
 _HOST = "regexp_replace(regexp_replace(lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', '')), ':[0-9]*$', ''), '[.]+$', '')"
@@ -34,20 +34,79 @@ def registrable_domains(t: Tables) -> DataFrame:
     return t.pages.select("page_id", host.alias("host"), text.registrable_domain(host).alias("domain"))
 
 
-@query()
+def _decoded(value: str) -> str:
+    """SQL for the entities that the given pages hold."""
+    return f"regexp_replace(replace(replace(replace({value}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g')"
+
+
+def _shown(value: str) -> str:
+    """SQL for what shows of HTML, a line for each block."""
+    for tag in ("script", "style"):
+        value = f"regexp_replace({value}, '(?is)<{tag}[^>]*>.*?</{tag}>', ' ', 'g')"
+    value = f"regexp_replace(regexp_replace({value}, '(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|section|article)[^>]*>', chr(10), 'g'), '<[^>]+>', ' ', 'g')"
+    return f"trim(regexp_replace(regexp_replace({_decoded(value)}, '[ \\t\\r]+', ' ', 'g'), ' ?\\n\\s*', chr(10), 'g'), ' ' || chr(10))"
+
+
+@query(f"""
+WITH p AS (SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS t, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS h FROM pages)
+SELECT page_id, nullif(trim(regexp_replace({_decoded("t")}, '[ \t\r\n]+', ' ', 'g')), '') AS title, nullif(substr({_shown("h")}, 1, 300), '') AS heading FROM p
+""")
 def page_titles(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", text.page_title(F.col("html")).alias("title"), text.first_heading(F.col("html")).alias("heading"))
+    return markup.titles(markup.elements(t.pages, "page_id", "html")).withColumnRenamed("id", "page_id")
 
 
-@query()
+@query(f"""
+WITH v AS (SELECT page_id, html, {_shown(_decoded("html"))} AS v FROM pages)
+SELECT page_id, length(v)::BIGINT AS n_chars, sha256(v) AS sha256, length(v) < 1500 AND (len(regexp_extract_all(lower(html), '<script')) >= 5 OR contains(html, 'id="root"') OR contains(html, 'id="app"') OR contains(html, '__NEXT_DATA__')) AS scripted FROM v
+""")
 def html_text(t: Tables) -> DataFrame:
     visible = text.html_to_text(F.col("html"), None)
-    return t.pages.select("page_id", F.char_length(visible).alias("n_chars"), F.sha2(visible, 256).alias("sha256"), text.looks_script_rendered(F.col("html")).alias("scripted"))
+    return t.pages.select("page_id", F.char_length(visible).cast("long").alias("n_chars"), F.sha2(visible, 256).alias("sha256"), text.looks_script_rendered(F.col("html")).alias("scripted"))
 
 
-@query()
+@query(f"""
+WITH a AS (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\\b[^>]*?href=["'']([^"''#][^"'']*)["''][^>]*>(.*?)</a>', 1) AS h, regexp_extract_all(html, '(?is)<a\\b[^>]*?href=["'']([^"''#][^"'']*)["''][^>]*>(.*?)</a>', 2) AS l FROM pages),
+r AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z]+://[^/?#]*')) || {_decoded("unnest(h)")} AS link, substr({_shown("unnest(l)")}, 1, 300) AS label, unnest(range(len(h)))::INT AS place FROM a)
+SELECT page_id, link, arg_min(label, place) AS label, min(place) AS place FROM r GROUP BY 1, 2
+""")
 def page_links(t: Tables) -> DataFrame:
-    return boards.links(t.pages, "page_id", "url", "html")
+    """Links of all pages, of which the given ones start with a slash."""
+    return markup.links(markup.elements(t.pages, "page_id", "html"), _urls(t)).withColumnRenamed("id", "page_id")
+
+
+def _urls(t: Tables) -> DataFrame:
+    return t.pages.select(F.col("page_id").alias("id"), "url")
+
+
+def listing_pages(t: Tables) -> DataFrame:
+    """page_id, url, html: every page, with links, a heading and structured data of a careers page made of its own words."""
+    i, html = F.col("page_id"), F.coalesce("html", F.lit(""))
+    words = F.filter(F.split(F.regexp_replace(F.regexp_replace(html, "(?is)<(script|style)[^>]*>.*?</\\1>|<[^>]*>|&\\w+;?", " "), r"[^\p{L}]+", " "), " "), lambda w: F.char_length(w) > 3)
+    roles = F.array(*map(F.lit, ["Data Engineer", "Sales Manager", "Platform Engineer", "Data Analyst"]))
+    paths = F.array(*map(F.lit, ["/jobs/", "/careers/data-engineer/", "/blog/", "/positions/", "/about/", "/x/etl/", "https://boards.greenhouse.io/acme/jobs/", "https://elsewhere.test/jobs/"]))
+    pick = lambda values, k: F.get(values, F.pmod(k, F.size(values)).cast("int"))
+    link = lambda w, k: F.concat(F.lit('<li><a class="x" href="'), pick(paths, k + i), w, F.lit('"> <b>'), pick(roles, F.floor(k / 3) + i), F.lit("</b> &amp; "), w, F.lit("</a>"))
+    nav = F.concat(F.lit("<ul>"), F.array_join(F.transform(words, link), ""), F.lit('</ul><a href="?page=2">Next</a>'))
+    title = F.concat(pick(roles, i), F.lit(" "), F.coalesce(F.get(words, F.lit(0)), F.lit("one")))
+    posting = F.concat(F.lit('{"@type": "JobPosting", "title": "'), title, F.lit('", "datePosted": "2024-01-0'), (i % 9 + 1).cast("string"), F.lit('", "jobLocation": {"address": {"addressLocality": "Remote"}}, "description": "&lt;p&gt;Spark&lt;/p&gt;",}'))
+    data = F.when(i % 5 == 0, posting).when(i % 5 == 1, F.concat(F.lit('{"@graph": ['), posting, F.lit(', {"@type": "Thing"}]}'))).when(i % 5 == 2, F.concat(F.lit("["), posting, F.lit("]")))
+    block = F.coalesce(F.concat(F.lit('<script type="application/ld+json">'), data, F.lit("</script>")), F.lit(""))
+    heading = F.when(i % 5 == 3, F.concat(F.lit("<h1>"), title, F.lit("</h1>"))).otherwise("")
+    return t.pages.select("page_id", "url", F.concat(heading, html, nav, block).alias("html"))
+
+
+@query()
+def page_link_scores(t: Tables) -> DataFrame:
+    """How likely each link leads to a posting, over all pages as careers pages."""
+    pages = listing_pages(t)
+    return markup.link_scores(markup.elements(pages, "page_id", "html"), pages.select(F.col("page_id").alias("id"), "url")).withColumnRenamed("id", "page_id")
+
+
+@query()
+def page_postings(t: Tables) -> DataFrame:
+    """Postings of all pages as careers pages, by structured data or by heading."""
+    pages = listing_pages(t)
+    return markup.page_postings(markup.elements(pages, "page_id", "html"), pages.select(F.col("page_id").alias("id"), "url")).withColumnRenamed("id", "page_id")
 
 
 @query("""

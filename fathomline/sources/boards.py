@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, jobs, text
+from . import markup
 
 POSTING = ["company", "title", "location", "remote_status", "salary", "employment_type", "application_url", "source_url", "source", "ats", "external_id", "posted_at", "posted_at_precision", "source_updated_at", "description"]
 
@@ -120,28 +121,11 @@ def scan_status(scans: DataFrame) -> DataFrame:
 
 def links(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
     """Absolute links of pages, each once per page, with their label and place."""
-    pattern = r"""(?is)<a\b[^>]*?href=["']([^"'#][^"']*)["'][^>]*>(.*?)</a>"""
-    both = F.arrays_zip(F.regexp_extract_all(html_col, F.lit(pattern), F.lit(1)).alias("href"), F.regexp_extract_all(html_col, F.lit(pattern), F.lit(2)).alias("label"))
-    rows = pages.select(F.col(id_col), F.col(url_col).alias("_base"), F.posexplode(both).alias("place", "l"))
-    href = F.trim(text.unescape(F.col("l.href")))
-    root = F.regexp_extract("_base", r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    folder = F.regexp_extract("_base", r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(?:/[^?#]*/|/)?)", 1)
-    scheme = F.regexp_extract("_base", r"^([A-Za-z][A-Za-z0-9+.-]*:)//", 1)
-    absolute = F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(scheme, href)).when(href.startswith("/"), F.concat(root, href)).otherwise(F.concat(F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/"))), href))
-    rows = rows.select(id_col, "place", text.canonical_url(absolute).alias("link"), text.html_to_text(F.col("l.label"), 300).alias("label")).where(F.col("link").rlike("^https?://"))
-    return rows.groupBy(id_col, "link").agg(F.min(F.struct("place", "label")).alias("f")).select(id_col, "link", "f.label", "f.place")
+    urls = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
+    return markup.links(markup.elements(pages, id_col, html_col), urls).withColumnRenamed("id", id_col)
 
 
 def json_ld_postings(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     """JobPosting objects of pages' JSON-LD blocks, at the top, in lists and in @graph."""
-    block = r"""(?is)<script[^>]+type=["']application/ld\+json["'][^>]*>(.*?)</script>"""
-    rows = pages.select(F.col(id_col), F.explode(F.regexp_extract_all(html_col, F.lit(block), F.lit(1))).alias("json"))
-    rows = rows.withColumn("json", F.trim(F.regexp_replace("json", r",\s*([}\]])", "$1")))
-    as_list = F.when(F.col("json").startswith("["), F.from_json("json", "array<string>")).otherwise(F.array("json"))
-    rows = rows.select(id_col, F.explode(as_list).alias("o"))
-    graph = F.from_json(F.get_json_object("o", "$['@graph']"), "array<string>")
-    rows = rows.select(id_col, F.explode(F.concat(F.array("o"), F.coalesce(graph, F.array().cast("array<string>")))).alias("o"))
-    get = lambda path: F.get_json_object("o", path)
-    posted = dates.parse_posted(get("$.datePosted"))
-    rows = rows.where(get("$['@type']").contains("JobPosting"))
-    return rows.select(id_col, get("$.title").alias("title"), get("$.hiringOrganization.name").alias("company"), F.coalesce(get("$.jobLocation.address.addressLocality"), get("$.jobLocation[0].address.addressLocality")).alias("location"), posted["value"].alias("posted_at"), posted["precision"].alias("posted_at_precision"), text.html_to_text(get("$.description")).alias("description"))
+    found = markup.structured_postings(markup.elements(pages, id_col, html_col))
+    return found.drop("identifier", "employment_type").withColumnRenamed("id", id_col)
