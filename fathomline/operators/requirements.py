@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import jobs
+from ..functions.names import INDIA
 from .ranked import carried, numbered, top
 from .terms import find_terms, term_names
 
@@ -13,21 +14,40 @@ from .terms import find_terms, term_names
 PREFERRED = r"(?i)\b(?:preferred|nice[- ]to[- ]have|bonus|a plus|is a plus|are a plus|plus|good[- ]to[- ]have|desirable|ideally|advantageous|beneficial|would be great)\b"
 REQUIRED = r"(?i)\b(?:required|must|minimum|at least|essential|mandatory|proven|strong (?:experience|knowledge|proficiency)|\d+\+?\s*(?:years?|yrs))\b"
 ASKS = r"(?i)\b(?:experience|knowledge|proficien|skills?|familiar)"
-REQUIREMENT_START = r"(?i)^(?:have|has|possess(?:es)?|bring|experience (?:with|in|of|building|developing|designing)|\d+\+?\s*(?:years?|yrs)|strong|solid|deep|proven|hands[- ]on|proficien\w*|knowledge of|familiarity with|understanding of|expertise (?:in|with)|working knowledge|demonstrated|excellent|bachelor\w*|master\w*|degree)\b"
-DUTY_START = r"(?i)^(?:design|develop|build|create|implement|maintain|own|lead|drive|partner|collaborate|work|monitor|optimi[sz]e|improve|support|contribute|deliver|manage|architect|write|automate|deploy|operate|mentor|define|ensure|analy[sz]e|evaluate|integrate|migrate|scale|help|document)(?:s|es|d|ed|ing)?\b"
+REQUIREMENT_START = r"(?i)^(?:have|has|possess(?:es)?|bring|be (?:familiar|proficient|skilled|comfortable|experienced|able|an? (?:strong|excellent|proven))|experience (?:with|in|of|building|developing|designing)|\d+\+?\s*(?:years?|yrs)|strong|solid|deep|proven|hands[- ]on|proficien\w*|knowledge of|familiarity with|understanding of|expertise (?:in|with)|working knowledge|demonstrated|excellent|bachelor\w*|master\w*|degree)\b"
+DUTY_START = (
+    r"(?i)^(?:design|develop|build|create|implement|maintain|own|lead|drive|partner|collaborate|work|monitor|troubleshoot|optimi[sz]e|improve|support|contribute|participate|deliver|manage|architect|write|automate|deploy|operate|mentor|define|ensure|identify|analy[sz]e|"
+    r"evaluate|integrate|migrate|scale|model|help|establish|enable|translate|review|document|champion|continuously)(?:s|es|d|ed|ing)?\b"
+)
 ANY = r"(?i)\b(?:such as|e\.g\.?|eg\.|like|including|or|any of|one or more|at least one|similar|equivalent|and/or|for example)\b"
 #: Prefix of a requirement's number and its importance, by kind.
 KINDS = {"required": ("R", 1.0), "responsibility": ("D", 0.7), "preferred": ("P", 0.5), "context": ("C", 0.3)}
 WEAK = ["Data ingestion", "API development", "Stakeholder collaboration"]
 #: Headings of sections, in the order in which they are tried.
 HEADINGS = [
-    ("preferred", r"(?:preferred|desired|bonus|additional|nice[- ]to[- ]have|good[- ]to[- ]have)(?: qualifications| skills| experience| points)?"),
-    ("required", r"(?:basic|minimum|required|key|essential|mandatory)(?: qualifications| skills| requirements| experience)?|requirements|qualifications|what you need|what we are looking for|who you are|skills"),
-    ("responsibility", r"(?:key )?(?:job )?responsibilities|what you will do|(?:the |your |about the )?role|duties|you will"),
-    ("context", r"about (?:us|the team|the company)|who we are|our team|our mission|company overview"),
-    ("ignore", r"benefits|perks|what we offer|equal (?:employment )?opportunity|compensation(?: and benefits)?|salary(?: range)?"),
-    ("intro", r"overview|summary|description|details"),
+    (
+        "preferred",
+        r"(?:preferred|desired|bonus|additional|nice[- ]to[- ]have|good[- ]to[- ]have)(?: qualifications| skills| experience| points)?(?: \(?optional\)?)?|nice to haves?|pluses|bonus points|extra credit|it would be (?:great|nice) if(?: you)?(?: have)?|what would make you stand out|ways? to stand out",
+    ),
+    (
+        "required",
+        r"(?:basic|minimum|required|key|essential|mandatory)(?: qualifications| skills| requirements| experience)?|requirements|qualifications|what you(?:'|’)?ll need|what you need|what we(?:'|’)?re looking for|what we are looking for|you (?:have|bring|might be a fit if you|will need|should have)|must[- ]haves?|who you are|(?:all )?about you"
+        r"|your (?:profile|background|skills|experience)|skills (?:and|&) (?:experience|qualifications)|professional (?:&|and) technical skills|what you(?:'|’)?ll bring|what you bring|technical skills|skills|experience(?: required)?|skills required|what (?:we|you) need(?: from you)?|you are"
+        r"|(?:the )?ideal candidate(?: for this (?:position|role))?(?: (?:should|will|would|must))?(?: (?:have|be))?",
+    ),
+    (
+        "responsibility",
+        r"(?:key )?(?:job )?responsibilities|what you(?:'|’)?ll do|what you will do|(?:the |your |about the )?role|the position|in this (?:role|position)(?:,? you will)?|day[- ]to[- ]day|your impact|what you will be doing|roles? (?:&|and) responsibilities|job description|duties|the opportunity|what you(?:'|’)?ll be doing|the job|you will|your responsibilities|your mission",
+    ),
+    ("context", r"about (?:us|the team|the company|the business|[a-z0-9&.' -]{2,40})|who we are|our team|the team|our mission|why join(?: us)?|company overview|team overview|about this team"),
+    (
+        "ignore",
+        r"benefits|perks|what we offer|equal (?:employment )?opportunity|eeo|compensation(?: and benefits)?|salary(?: range)?|pay (?:range|transparency)|accommodations?|privacy notice|disclaimer|additional information|our commitment|diversity(?:,? equity)?(?:,? (?:and|&) inclusion)?|life at [a-z0-9 ]+|(?:corporate )?security responsibility",
+    ),
+    ("intro", r"overview|summary|title and summary|our purpose|purpose|description|details|(?:job|position|role) (?:summary|overview|details)"),
 ]
+#: Letters that a heading may have; in texts, how far talk of hybrid work is looked for; and places of a posting.
+HEADING_LETTERS, HYBRID_LETTERS, PLACES = 70, 4000, 12
 #: Terms that tell a role's focus.
 DATA_FOCUS = ["Apache Spark", "Apache Kafka", "Airflow", "Azure Data Factory", "Azure Data Lake Storage", "Databricks"]
 PLATFORM_FOCUS = ["Kubernetes", "Terraform", "Infrastructure as code", "CI/CD & DevOps", "Containers & orchestration", "Observability & monitoring"]
@@ -49,11 +69,12 @@ COUNTRIES = {
 
 
 def heading_kind(line: Column) -> Column:
-    """The kind of section that a line opens; null for a line that is no heading."""
+    """The kind of section that a line opens; null for a line that is no heading: a long one, a bullet or a sentence."""
+    bare = F.trim(line)
     out = F.lit(None).cast("string")
     for kind, pattern in reversed(HEADINGS):
-        out = F.when(line.rlike(rf"(?i)^\W*(?:{pattern})\W*$"), kind).otherwise(out)
-    return out
+        out = F.when(F.regexp_replace(bare, ":+$", "").rlike(rf"(?i)^\W*(?:{pattern})\W*$"), kind).otherwise(out)
+    return F.when((bare != "") & (F.char_length(bare) <= HEADING_LETTERS) & ~bare.rlike(r"^[-•*●◦]|[.!?]$"), out)
 
 
 def item_kind(section: Column, item: Column) -> Column:
@@ -75,16 +96,27 @@ def requirement_mode(item: Column, terms: Column) -> Column:
     return F.when(F.size(terms) <= 1, "all").when(item.rlike(ANY) | slash, "any").otherwise("all")
 
 
-def location_requirements(location: Column, status: Column, text: Column) -> Column:
-    """struct(mode, places, countries, relocation_offered, visa_sponsorship_mentioned) of a posting."""
+def location_requirements(location: Column, status: Column, text: Column, hybrid_letters: int = HYBRID_LETTERS, most: int = PLACES) -> Column:
+    """struct(mode, places, countries, india, remote_regions, relocation_offered, visa_sponsorship_mentioned) of a posting.
+
+    Talk of hybrid work counts in the first `hybrid_letters` letters of the text
+    alone, as further on it mostly isn't about the posting, and `most` places are
+    listed; countries and remote regions are those of all places. A place in India
+    counts for no other country. A remote place without a region is "unspecified".
+    """
     places = F.filter(F.transform(F.split(F.coalesce(location, F.lit("")), r";|\|| / "), lambda p: F.trim(p)), lambda p: p != "")
-    joined = F.array_join(places, " ; ")
-    countries = F.array_compact(F.array(*(F.when(joined.rlike(rf"(?i)\b(?:{p})\b"), F.lit(c)) for c, p in COUNTRIES.items())))
+    in_india = lambda p: p.rlike(INDIA)
+    found = F.transform(places, lambda p: F.when(in_india(p), F.array(F.lit("India"))).otherwise(F.array_compact(F.array(*(F.when(p.rlike(rf"(?i)\b(?:{w})\b"), F.lit(c)) for c, w in COUNTRIES.items())))))
     body = F.coalesce(text, F.lit(""))
-    remote = (status == "remote") | joined.rlike(r"(?i)\bremote\b")
-    mode = F.when(remote, "remote").when((status == "hybrid") | F.substring(body, 1, 4000).rlike(HYBRID), "hybrid").when((status == "onsite") | body.rlike(ONSITE), "onsite").otherwise("unknown")
+    region = lambda p: F.trim(F.regexp_replace(F.regexp_replace(p, r"(?i)\bremote\b|[-,()]", " "), r"\s+", " "))
+    regions = F.transform(F.filter(places, lambda p: p.rlike(r"(?i)\bremote\b")), lambda p: F.coalesce(F.nullif(region(p), F.lit("")), F.lit("unspecified")))
+    remote = (status == "remote") | (F.size(regions) > 0)
+    mode = F.when(remote, "remote").when((status == "hybrid") | F.substring(body, 1, hybrid_letters).rlike(HYBRID), "hybrid").when((status == "onsite") | body.rlike(ONSITE), "onsite").otherwise("unknown")
     first = F.get(F.filter(F.split(body, r"(?<=[.!?])\s+"), lambda s: s.rlike(RELOCATION)), F.lit(0))
-    return F.struct(mode.alias("mode"), F.slice(places, 1, 12).alias("places"), countries.alias("countries"), (~first.rlike(r"(?i)\b(?:no|not)\b")).alias("relocation_offered"), body.rlike(SPONSOR).alias("visa_sponsorship_mentioned"))
+    return F.struct(
+        mode.alias("mode"), F.slice(places, 1, most).alias("places"), F.array_distinct(F.flatten(found)).alias("countries"), F.exists(places, in_india).alias("india"), regions.alias("remote_regions"),
+        (~first.rlike(r"(?i)\b(?:no|not)\b")).alias("relocation_offered"), body.rlike(SPONSOR).alias("visa_sponsorship_mentioned"),
+    )
 
 
 def role_focus(names: Column, text: Column) -> Column:
@@ -101,8 +133,7 @@ def section_items(postings: DataFrame, key: str, text: str) -> DataFrame:
     Lines before any heading belong to the intro, and ignored sections are left out.
     """
     lines = postings.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("pos", "line"))
-    lines = lines.withColumn("line", F.trim(F.regexp_replace("line", r"^[\s•·*\-–]+", ""))).where("line <> ''")
-    lines = lines.withColumn("_heading", heading_kind(F.col("line")))
+    lines = lines.withColumn("_heading", heading_kind(F.col("line"))).withColumn("line", F.trim(F.regexp_replace("line", r"^[\s•·*\-–]+", ""))).where("line <> ''")
     rows = carried(lines, [key], ["pos"], F.col("_heading"), "section").where("_heading is null")
     rows = rows.select(key, "pos", F.coalesce("section", F.lit("intro")).alias("section"), F.col("line").alias("item")).where("section <> 'ignore'")
     return top(rows.withColumn("_low", F.lower("item")), [key, "_low"], [F.asc("pos")]).drop("_low")
