@@ -112,8 +112,8 @@ def harmonic_pack(pieces: DataFrame, workers: int, capacity: int = CAPACITY, row
     them in one class, or in its rest, two may share one. Ties, repeated rows and null ids are
     packed like any other row; null ids are no document. Other columns stay; those
     named sequence_id, offset or __pack_* are replaced. `row` names a written
-    column of distinct numbers, which deals repeated rows over all workers;
-    without it those with equal doc_id, start and length share one.
+    column of distinct numbers, which deals repeated rows over all workers and
+    stays; without it those with equal doc_id, start and length share one.
     """
     pieces = pieces.drop("sequence_id", "offset", *(c for c in pieces.columns if c.startswith("__pack_") and c != row))
     more = [row] if row else []
@@ -146,7 +146,7 @@ def harmonic_pack(pieces: DataFrame, workers: int, capacity: int = CAPACITY, row
     rest = numbered.where(~whole)
     rest = rest.groupBy("__pack_worker").applyInPandas(fit, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rest.schema.fields)}, __pack_bin long, offset long")
     rest = rest.withColumn("sequence_id", number(F.lit(0).cast("long"), F.col("__pack_bin")))
-    columns = [*(c for c in pieces.columns if c != row), "sequence_id", "offset"]
+    columns = [*pieces.columns, "sequence_id", "offset"]
     return full.select(columns).unionByName(rest.select(columns))
 
 
@@ -155,7 +155,11 @@ def pack_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool = Tr
     shelf = Shelf(docs.sparkSession, "packing")
     pieces = shelf.put("pieces", token_pieces(docs, path, pattern, with_ids=with_ids, **more).withColumn("__pack_row", F.monotonically_increasing_id()))
     workers = max(1, round(pieces.count() / PER_WORKER))
-    return harmonic_pack(pieces, workers, more.get("capacity", CAPACITY), "__pack_row")
+    # Ids are not needed to place their pieces, so they are shuffled once, to meet their places.
+    placed = harmonic_pack(pieces.drop("ids"), workers, more.get("capacity", CAPACITY), "__pack_row")
+    if with_ids:
+        placed = pieces.join(placed.select("__pack_row", "sequence_id", "offset"), "__pack_row")
+    return placed.drop("__pack_row")
 
 
 def production(docs: DataFrame, with_ids: bool) -> DataFrame:
