@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from fathomline.operators import evidence, funnel, listing, postings, ranked
@@ -173,3 +175,77 @@ def test_gram_overlap(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "short"), (3, None)], "doc_id int, text string")
     other = spark.createDataFrame([(9, "x b c d e f g h i y")], "item_id int, text string")
     assert [tuple(r) for r in postings.gram_overlap(docs, "doc_id", "text", other, "item_id", "text").collect()] == [(1, 9, 1)]
+
+
+def plain_ingest(rows):
+    """One row after another against all others, with the sequence matcher itself; chains are followed."""
+    from difflib import SequenceMatcher
+
+
+    norm = lambda s: re.sub("[^a-z0-9]+", " ", (s or "").lower()).strip()[:5000]
+    open_ = sorted(((r["source"], r["external_id"]), r) for r in rows if r["title"] != "Chef")
+    lead = {k: k for k, _ in open_}
+
+    def find(k):
+        while lead[k] != k:
+            k = lead[k]
+        return k
+
+    def join(a, b):
+        a, b = sorted((find(a), find(b)))
+        lead[b] = a
+
+    by_url: dict = {}
+    for k, r in open_:
+        join(by_url.setdefault(r["application_url"], k), k)
+    firsts: dict = {}
+    for k, r in open_:
+        first = next(x for x, y in open_ if y["application_url"] == r["application_url"])
+        firsts.setdefault((r["company"], r["title"], r["location"]), {}).setdefault(norm(r["description"]), []).append(first)
+    for texts in firsts.values():
+        for ks in texts.values():
+            for k in ks:
+                join(ks[0], k)
+        low = sorted((min(ks), t) for t, ks in texts.items())
+        for i, (a, x) in enumerate(low):
+            for b, y in low[i + 1 :]:
+                if a != b and 2 * min(len(x), len(y)) >= postings.LIKENESS * (len(x) + len(y)) and SequenceMatcher(None, x, y).ratio() >= postings.LIKENESS:
+                    join(a, b)
+    out = {(r["source"], r["external_id"]): "irrelevant_skipped" for r in rows if r["title"] == "Chef"}
+    return out | {k: "created" if find(k) == k else "deduplicated" for k, _ in open_}
+
+
+@pytest.mark.parametrize("slice_", [1024, 3])
+def test_ingest_of_real_texts_equals_comparing_all(spark, monkeypatch, slice_):
+    from fathomline.plans import scoring
+    from fathomline.plans.registry import Tables
+
+    monkeypatch.setattr(postings, "SLICE", slice_)
+    batch = scoring.document_postings(Tables(spark, "/root/testdata/sf0.001")).where("length(description) < 4000")
+    batch = batch.withColumn("title", F.when(F.col("title") == "Chef", "Chef").otherwise(F.concat(F.lit("Data Engineer "), (F.col("external_id").cast("long") % 3).cast("string"))))
+    near = batch.where("cast(external_id as long) % 4 = 1").withColumns({"external_id": F.concat("external_id", F.lit("n")), "application_url": F.concat("application_url", F.lit("n"), F.col("external_id")), "description": F.concat("description", F.lit(" and some more words"))})
+    rows = batch.unionByName(near)
+    state = spark.createDataFrame([], scoring.STATE)
+    got = {(r.source, r.external_id): r.outcome for r in postings.ingest(rows, state, scoring.EVENTS_NOW).collect()}
+    want = plain_ingest([r.asDict() for r in rows.collect()])
+    assert got == want and sum(v == "deduplicated" for v in want.values()) > 30
+
+
+def test_bound_of_likeness_is_the_longest_common_subsequence():
+    import random
+
+
+    rnd = random.Random(4)
+    for _ in range(60):
+        new = "".join(rnd.choice("abc ") for _ in range(rnd.randrange(40)))
+        known = ["".join(rnd.choice("abc d") for _ in range(rnd.randrange(40))) for _ in range(rnd.randrange(5))]
+        want = []
+        for k in known:
+            row = [0] * (len(new) + 1)
+            for x in k:
+                now = [0]
+                for j, y in enumerate(new):
+                    now.append(row[j] + 1 if x == y else max(now[j], row[j + 1]))
+                row = now
+            want.append(row[-1])
+        assert postings.common_lengths(known, [postings._letters(k) for k in known], new) == want
