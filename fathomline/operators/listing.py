@@ -8,6 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows of a side that are broadcast at most; larger ones are joined by a shuffle.
+SMALL = 100_000
+
+
+def small(side: DataFrame, most: int = SMALL) -> DataFrame:
+    """`side` marked for broadcast, if it has `most` rows at most."""
+    return F.broadcast(side) if side.limit(most + 1).count() <= most else side
+
+
 def matching(df: DataFrame, *conditions: Column | None) -> DataFrame:
     """The rows for which all given conditions hold; None stands for a filter that was not asked for."""
     asked = [c for c in conditions if c is not None]
@@ -84,14 +93,15 @@ def board_matches(boards: DataFrame, companies: DataFrame) -> DataFrame:
 
     `boards` has board_id, key, title; `companies` company_id, name_key, name, both
     normalised. A key meets the board's substrings of its own length, and a name
-    the title's runs of words, so no pair is formed that isn't a match.
+    the title's runs of words, as long as the longest name, so no pair is formed that isn't a match.
     """
-    keys = companies.where(F.char_length("name_key") > 0).select("company_id", "name_key", F.trim("name").alias("name"))
+    keys = companies.where(F.char_length("name_key") > 0).select("company_id", "name_key", F.regexp_replace(F.trim("name"), " +", " ").alias("name"))
+    longest = keys.agg(F.max(F.size(F.split("name", " ")))).first()[0] or 1
     n = F.char_length("key")
     parts = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, n), lambda j: F.substr("key", i, j - i + 1))))
     whole = boards.where("key <> ''").select("board_id", F.explode(F.array_distinct(F.filter(parts, lambda p: (F.char_length(p) >= 4) | (p == F.col("key"))))).alias("name_key"))
     words = F.split(F.trim("title"), " +")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(6), F.size(words) - i + 1)), lambda k: F.array_join(F.slice(words, i, k), " "))))
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size(words) - i + 1)), lambda k: F.array_join(F.slice(words, i, k), " "))))
     named = boards.where("title <> ''").select("board_id", F.explode(F.array_distinct(runs)).alias("name"))
     by_key = whole.join(keys, "name_key").select("board_id", "company_id")
     by_name = named.join(keys.where("name <> ''"), "name").select("board_id", "company_id")
@@ -106,15 +116,24 @@ def overlapping(left: DataFrame, left_id: str, right: DataFrame, right_id: str,
 
 
 def word_prefixes(left: DataFrame, left_id: str, left_name: str, right: DataFrame, right_id: str, right_name: str, least: int = 3) -> DataFrame:
-    """Pairs of names of which one's words begin the other's; names with fewer than `least` letters match nothing."""
+    """Pairs of names of which one's words begin the other's; names with fewer than `least` letters match nothing.
 
-    def heads(df: DataFrame, key: str, name: str, whole: str) -> DataFrame:
+    The heads of one side meet the whole names of the other, once each way, so
+    names that merely start alike form no pair.
+    """
+
+    def whole(df: DataFrame, key: str, name: str) -> DataFrame:
         words = F.split(F.trim(name), " +")
-        every = F.transform(F.sequence(F.lit(1), F.size(words)), lambda k: F.array_join(F.slice(words, 1, k), " "))
-        return df.where(F.char_length(F.regexp_replace(name, " ", "")) >= least).select(key, F.array_join(words, " ").alias(whole), F.explode(every).alias("_head"))
+        return df.where(F.char_length(F.regexp_replace(name, " ", "")) >= least).select(key, words.alias("_words"), F.array_join(words, " ").alias("_name"))
+
+    def heads(df: DataFrame, key: str) -> DataFrame:
+        every = F.transform(F.sequence(F.lit(1), F.size("_words")), lambda k: F.array_join(F.slice("_words", 1, k), " "))
+        return df.select(key, F.explode(every).alias("_name"))
 
-    a, b = heads(left, left_id, left_name, "_a"), heads(right, right_id, right_name, "_b")
-    return a.join(b, "_head").where((F.col("_head") == F.col("_a")) | (F.col("_head") == F.col("_b"))).select(left_id, right_id).distinct()
+    a, b = whole(left, left_id, left_name), whole(right, right_id, right_name)
+    one = heads(a, left_id).join(b.drop("_words"), "_name").select(left_id, right_id)
+    other = a.drop("_words").join(heads(b, right_id), "_name").select(left_id, right_id)
+    return one.unionByName(other).distinct()
 
 
 def by_level(column: Column, order: list[str]) -> Column:

@@ -34,7 +34,7 @@ def board(df: DataFrame, status: str, stages: dict[str, list[str]], order: list[
     stage = F.coalesce(*(F.when(F.col(status).isin(names), F.lit(s)) for s, names in stages.items()))
     rows = df.withColumn("stage", stage).where(F.col("stage").isNotNull())
     sizes = rows.groupBy("stage").agg(F.count("*").alias("stage_size"))
-    return top(rows, ["stage"], order, preview, "rank").join(F.broadcast(sizes), "stage")  # one row for each stage
+    return top(rows, ["stage"], order, preview, "rank").join(F.broadcast(sizes), "stage")  # a row for each of `stages`, which are given as a dict
 
 
 def merged_counts(parts: dict[str, DataFrame], key: str) -> DataFrame:

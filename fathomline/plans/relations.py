@@ -96,11 +96,12 @@ def board_companies(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT s_suppkey, unnest([s_suppkey % 40, 1000 + s_suppkey % 13]) AS x FROM supplier), b AS (SELECT p_partkey, unnest([p_size, 1000 + p_partkey % 400]) AS x FROM part) SELECT DISTINCT s_suppkey, p_partkey FROM a JOIN b USING (x)
+WITH a AS (SELECT s_suppkey, unnest([s_suppkey, 1000000 + s_suppkey * 7]) AS x FROM supplier), b AS (SELECT p_partkey, unnest([p_partkey // 20, 1000000 + p_partkey]) AS x FROM part) SELECT DISTINCT s_suppkey, p_partkey FROM a JOIN b USING (x)
 """)
 def alias_overlaps(t: Tables) -> DataFrame:
-    a = t.supplier.select("s_suppkey", F.array(F.col("s_suppkey") % 40, 1000 + F.col("s_suppkey") % 13).alias("aliases"))
-    b = t.part.select("p_partkey", F.array(F.col("p_size").cast("long"), 1000 + F.col("p_partkey") % 400).alias("aliases"))
+    """Suppliers and parts by aliases of which there are as many as rows, so pairs grow with the tables and not with their product."""
+    a = t.supplier.select("s_suppkey", F.array(F.col("s_suppkey"), 1_000_000 + F.col("s_suppkey") * 7).alias("aliases"))
+    b = t.part.select("p_partkey", F.array(F.floor(F.col("p_partkey") / 20), 1_000_000 + F.col("p_partkey")).alias("aliases"))
     return listing.overlapping(a, "s_suppkey", b, "p_partkey")
 
 

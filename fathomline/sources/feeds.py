@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, jobs, text
 from ..operators.companies import name_key
+from ..operators.listing import small
 from ..operators.ranked import top
 
 #: Labels of a dataset of startups that speak for data work.
@@ -27,7 +28,7 @@ def hiring_posts(comments: DataFrame, thread: DataFrame) -> DataFrame:
     `comments` has object_id, parent_id, created_at, html. Posts without a target
     role are left out, repeated ones count once.
     """
-    rows = comments.join(F.broadcast(thread.select(F.col("id").alias("parent_id"))), "parent_id").dropDuplicates(["object_id"])
+    rows = comments.join(small(thread.select(F.col("id").alias("parent_id"))), "parent_id").dropDuplicates(["object_id"])
     line = F.split_part(text.html_to_text(F.col("html"), 4000), F.lit("\n"), F.lit(1))
     parts = F.transform(F.split(line, r"\s*\|\s*"), lambda p: F.trim(p))
     rows = rows.select("object_id", "created_at", line.alias("line"), F.get(parts, F.lit(0)).alias("company"), F.posexplode(F.slice(parts, 2, 20)).alias("place", "segment"))

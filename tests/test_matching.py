@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fathomline.operators import claims, matching
+from fathomline.operators import listing, tailoring, claims, matching
 
 
 def test_skill_levels(spark):
@@ -60,3 +60,26 @@ def test_coverage_and_stuffing(spark):
     assert {r.variant: r.coverage for r in claims.coverage(made, need, "variant").collect()} == {"v": 50.0, "w": 70.0}
     df = spark.createDataFrame([("spark " * 8, ""), ("spark " * 8, "spark " * 7), ("spark", "")], "t string, b string")
     assert [r.x for r in df.select(claims.stuffed(F.col("t"), F.lit("Spark"), F.col("b")).alias("x")).collect()] == [True, False, False]
+
+
+def test_names_of_many_words_match_boards(spark):
+    words = "one two three four five six seven eight nine"
+    boards = spark.createDataFrame([(1, "", f"jobs at {words} inc"), (2, "acmelabs", ""), (3, "", "one two"), (4, None, None)], "board_id long, key string, title string")
+    companies = spark.createDataFrame([("a", "x", words), ("b", "acme", "acme"), ("c", "ac", "zz"), ("d", "", "one two"), ("e", "y", "two  three")], "company_id string, name_key string, name string")
+    assert {tuple(r) for r in listing.board_matches(boards, companies).collect()} == {(1, "a"), (2, "b"), (1, "e")}
+    assert listing.board_matches(boards, companies.limit(0)).collect() == []
+
+
+def test_prefixes_form_no_other_pairs(spark):
+    names = ["data", "data group", "data group labs", "the bank", "the", "ab", "ab c", "", None]
+    df = spark.createDataFrame(list(enumerate(names)), "i int, n string")
+    got = {tuple(r) for r in listing.word_prefixes(df, "i", "n", df.withColumnsRenamed({"i": "j", "n": "m"}), "j", "m").collect()}
+    long = lambda s: s and len(s.replace(" ", "")) >= 3
+    begins = lambda a, b: b.split()[: len(a.split())] == a.split()
+    assert got == {(i, j) for i, a in enumerate(names) for j, b in enumerate(names) if long(a) and long(b) and (begins(a, b) or begins(b, a))}
+
+
+def test_policies_of_a_tier_hold_as_one(spark):
+    rows = spark.createDataFrame([(1, "S", 60.0, 3), (2, "X", 60.0, 1)], "k int, tier string, fit double, ordinal int")
+    policies = spark.createDataFrame([("S", "off", 10.0, 1), ("S", "auto", 50.0, 4), ("S", "auto", 90.0, 9)], "tier string, mode string, least_fit double, worst_class int")
+    assert {r.k: r.decision for r in tailoring.apply_policy(rows, policies, "ordinal").collect()} == {1: "auto", 2: "manual"}
