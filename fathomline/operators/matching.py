@@ -122,24 +122,56 @@ def composed_fit(parts: dict[str, Column], weights: dict[str, float]) -> Column:
     return one_decimal(weighted_mean(parts, weights))
 
 
-def explanation(skills: Column, seniority: Column, location: Column, fit: Column, most: int = 12) -> Column:
-    """Lines that say why a fit is as it is: what matches, what is missing, and where seniority or place stand against it.
+#: What an item weighs in the fit of skills by kind, and its share if it names no technology.
+ITEM_WEIGHTS, NO_TECHNOLOGY = {"required": 1.0, "responsibility": 0.6, "preferred": 0.35}, 0.6
+OTHER_ITEM = 0.2
 
-    `skills` is array<struct(name, status, importance)>; alternatives are no gaps.
+
+def items_fit(items: DataFrame, keys: list[str]) -> DataFrame:
+    """Per match its fit of skills in percent, to one decimal, from its scored items (kind, score, n_terms, technical); 50 without any.
+
+    Items without a score or without terms don't count. Sums are of decimals, so they don't depend on the order of rows.
     """
-    names = lambda keep: F.array_join(F.transform(F.slice(F.filter(skills, keep), 1, most), lambda s: s["name"]), ", ")
-    strong, gaps = names(lambda s: s["status"].isin("STRONG", "MODERATE")), names(lambda s: (s["status"] == "GAP") & (s["importance"] != "alternative"))
-    return F.array_compact(F.array(
-        F.concat(F.lit("Fit "), F.format_number(fit, 1)),
-        F.when(strong != "", F.concat(F.lit("Matches: "), strong)),
-        F.when(gaps != "", F.concat(F.lit("Missing: "), gaps)),
-        F.when(seniority.isin("UNDERQUALIFIED", "STRETCH", "OVERQUALIFIED"), F.concat(F.lit("Seniority: "), F.lower(seniority))),
-        F.when(location.isin("MISMATCH", "RELOCATION"), F.concat(F.lit("Location: "), F.lower(location))),
-    ))
-
-
-def strategy(skills: Column, most: int = 8) -> Column:
-    """struct(emphasise, concerns): the strongest skills that are asked for, and the required ones that are missing, by weight."""
-    ordered = F.array_sort(F.transform(skills, lambda s: F.struct((-s["weight"]).alias("w"), s["name"].alias("name"), s["status"].alias("status"), s["importance"].alias("importance"))))
-    pick = lambda keep: F.slice(F.transform(F.filter(ordered, keep), lambda s: s["name"]), 1, most)
-    return F.struct(pick(lambda s: s["status"].isin("STRONG", "MODERATE")).alias("emphasise"), pick(lambda s: (s["status"] == "GAP") & (s["importance"] == "required")).alias("concerns"))
+    weight = F.coalesce(*(F.when(F.col("kind") == k, F.lit(w)) for k, w in ITEM_WEIGHTS.items()), F.lit(OTHER_ITEM)) * F.when(F.coalesce("technical", F.lit(False)), 1.0).otherwise(NO_TECHNOLOGY)
+    counts = F.col("score").isNotNull() & (F.coalesce("n_terms", F.lit(0)) > 0)
+    exact = lambda c: F.sum(F.when(counts, c.cast("decimal(18,9)")))
+    total, mass = exact(F.col("score") * weight), exact(weight)
+    return items.groupBy(*keys).agg(F.coalesce(one_decimal(100.0 * total.cast("double") / mass.cast("double")), F.lit(50.0)).alias("skills"))
+
+
+def experience_fit(years: Column, needed: Column) -> Column:
+    """By years against those asked for: 100 enough, 75 a year short or nothing asked, 60 unknown, 50 two years short, else 25."""
+    return F.when(needed.isNull(), 75.0).when(years.isNull(), 60.0).when(years >= needed, 100.0).when(years >= needed - 1, 75.0).when(years >= needed - 2, 50.0).otherwise(25.0)
+
+
+def role_fit(category: Column, relevance: Column, focus: Column, wanted: list[str], targets: list[str]) -> Column:
+    """By the kind of role, capped where the work is of another kind than the title says."""
+    base = F.when(category.isin(*wanted), 100.0 * F.least(F.lit(1.0), F.greatest(F.coalesce(relevance, F.lit(0.0)), F.lit(0.5)))).when(category.isin(*targets), 75.0).when(category == "adjacent_data", 45.0).otherwise(25.0)
+    focus = F.coalesce(focus, F.lit(""))
+    capped = (
+        F.when((focus == "analytics") & (base > 55), 55.0)
+        .when((focus != "analytics") & (category == "platform_infrastructure") & (focus != "data_engineering") & (base > 60), F.when(focus == "platform", 70.0).otherwise(50.0))
+        .when((category == "data_engineering") & (focus == "software") & (base > 70), 70.0)
+    )
+    return one_decimal(F.coalesce(capped, base))
+
+
+def domain_fit(named: Column, own: Column) -> Column:
+    """100 for a shared subject, 55 for subjects that aren't shared, 70 where a posting names none."""
+    named, own = F.coalesce(named, F.array().cast("array<string>")), F.coalesce(own, F.array().cast("array<string>"))
+    return F.when(F.arrays_overlap(named, own), 100.0).when(F.size(named) > 0, 55.0).otherwise(70.0)
+
+
+def split_gaps(skills: Column, requirements: Column) -> Column:
+    """Skills (name, status, importance, requirement_ids), of which gaps become "alternative" where all their linked requirements take any of several and are met.
+
+    `requirements` is array<struct(id, mode, status)>.
+    """
+    requirements = F.coalesce(requirements, F.array())
+
+    def one(s: Column) -> Column:
+        linked = F.filter(requirements, lambda r: F.coalesce(F.array_contains(s["requirement_ids"], r["id"]), F.lit(False)))
+        free = (s["status"] == "GAP") & (F.size(linked) > 0) & F.forall(linked, lambda r: F.coalesce((r["mode"] == "any") & (r["status"] == "MET"), F.lit(False)))
+        return s.withField("importance", F.when(free, "alternative").otherwise(s["importance"]))
+
+    return F.transform(F.coalesce(skills, F.array()), one)
