@@ -92,3 +92,38 @@ def target_score(df: DataFrame, own_employer: Column) -> DataFrame:
     value = scores.weighted_mean(parts, scores.TARGET)
     capped = F.when(own_employer, F.least(value, F.lit(scores.EMPLOYER_CAP))).otherwise(value)
     return df.withColumn("target_score", scores.one_decimal(capped))
+
+
+#: Hours within which hiring counts as of the last days.
+LAST_DAYS = 168
+
+
+def summaries(companies: DataFrame, events: DataFrame, fresh_hours: float, most_events: int = 2, most_similar: int = 3) -> DataFrame:
+    """company_id, summary: what speaks for a company, a line for each, or a line that nothing is known yet.
+
+    `companies` has company_id, is_seed, data_roles, platform_roles,
+    fresh_roles, recent_roles, signal_age_hours, india_presence, remote_presence,
+    product_company, similar_to (array); nulls count as nothing. `events` has company_id, event_id,
+    reason, status, confidence, source, role (may be null); seeds, career pages and ignored
+    ones aren't told, and of the others the most confident are, ties by id.
+    """
+    told = events.where(~F.coalesce(F.col("reason").isin("MANUAL_SEED", "CAREER_PAGE"), F.lit(False)) & ~F.coalesce(F.col("status") == "IGNORED", F.lit(False)))
+    line = F.concat(F.coalesce("reason", F.lit("event")), F.lit(" by "), F.coalesce("source", F.lit("unknown")), F.coalesce(F.concat(F.lit(" for "), F.col("role")), F.lit("")))
+    best = told.select("company_id", F.struct((-F.coalesce("confidence", F.lit(0.0))).alias("c"), F.col("event_id"), line.alias("line")).alias("e")).groupBy("company_id").agg(F.transform(F.slice(F.array_sort(F.collect_list("e")), 1, most_events), lambda e: e["line"]).alias("_events"))
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    similar = F.slice(F.array_sort(F.array_distinct(F.coalesce("similar_to", F.array().cast("array<string>")))), 1, most_similar)
+    recent = (n("recent_roles") > 0) | F.coalesce(F.col("signal_age_hours") <= LAST_DAYS, F.lit(False))
+    lines = F.array_compact(F.array(
+        F.when(yes("is_seed"), "added by hand"),
+        F.when(n("data_roles") > 0, F.concat(F.col("data_roles").cast("string"), F.lit(" openings for data engineers"))),
+        F.when(n("platform_roles") > 0, F.concat(F.col("platform_roles").cast("string"), F.lit(" openings for platforms"))),
+        F.when(n("fresh_roles") > 0, F.lit(f"hiring within {fresh_hours:g} hours")).when(recent, F.lit("hiring within 7 days")),
+        F.when(yes("india_presence"), "present in India"),
+        F.when(yes("remote_presence"), "remote roles"),
+        F.when(yes("product_company"), "makes products"),
+        F.when(F.size(similar) > 0, F.concat(F.lit("named beside "), F.array_join(similar, ", "))),
+    ))
+    rows = companies.join(best, "company_id", "left")
+    whole = F.concat(lines, F.coalesce("_events", F.array().cast("array<string>")))
+    return rows.select("company_id", F.when(F.size(whole) > 0, F.array_join(whole, "\n")).otherwise("nothing is known yet").alias("summary"))

@@ -149,3 +149,12 @@ def closure(edges: DataFrame, source: str, target: str, rounds: int = 16) -> Dat
             break
         size = grown
     return pairs
+
+
+def ordered_distinct(df: DataFrame, keys: list[str], value: str, order: list[str], name: str = "values") -> DataFrame:
+    """Per key the distinct values as an array, each at the place where it comes first; nulls are left out.
+
+    Values are made distinct before they are gathered, so an array is as long as a key has values.
+    """
+    first = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.min(F.struct(*order)).alias("_at"))
+    return first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", value))), lambda x: x[value]).alias(name))
