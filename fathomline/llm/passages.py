@@ -48,7 +48,7 @@ class Unit(NamedTuple):
 #: The lowest bit of a gram's hash tells its unit.
 UNITS = (Unit(1, LENGTH, 64), Unit(8, PASSAGE_WORDS, 8))
 #: Items of a text that are hashed at a time; longer texts go in overlapping pieces.
-PIECE = 1 << 20
+PIECE = 1 << 19
 #: Different members of a block that one task sorts at most.
 BLOCK = 4096
 
