@@ -85,10 +85,12 @@ class Shelf:
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:
-        """Delete tables. The driver then collects its garbage, without which Spark keeps the shuffles and broadcasts of jobs that are over."""
         jvm = self.spark.sparkContext._jvm
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+    def tidy(self) -> None:
+        """Let the driver collect its garbage, without which Spark keeps the broadcasts and shuffles of jobs that are over. For operators of very many jobs."""
         gc.collect()
-        jvm.System.gc()
+        self.spark.sparkContext._jvm.System.gc()

@@ -36,6 +36,7 @@ def components(links: DataFrame, shelf: Shelf, name: str) -> DataFrame:
         state, step = now, step + 1
         edges = shelf.put(f"{name}-{step}", _stars(edges, now[0]))
         shelf.drop(f"{name}-{step - 1}")
+        shelf.tidy()
         now = look(edges)
     members = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return members.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -184,6 +184,7 @@ def small_nodes(sets: DataFrame, shelf: Shelf, small: int = SMALL, first: int =
 
 def _drop_levels(shelf: Shelf, first: int) -> None:
     shelf.drop(*(f"level-{first}-{depth}" for depth in DEPTHS))
+    shelf.tidy()
 
 
 def _first_nodes(classes: DataFrame, shelf: Shelf, percent: int, small: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -211,6 +212,7 @@ def _more_nodes(docs: DataFrame, crowded: DataFrame, component: DataFrame, shelf
     nodes, _, crowds = small_nodes(tokens, shelf, small, TREES, trees, MORE_DEPTHS)
     out = shelf.put("more-nodes", nodes), shelf.put("more-crowds", crowds)
     shelf.drop("more-tokens")
+    shelf.tidy()
     _drop_levels(shelf, TREES)
     return out
 
@@ -454,6 +456,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     component = F.coalesce("_component", "doc_id")
     out = shelf.put("out", out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")))
     shelf.drop("prints", "classes", "nodes", "more-nodes", "crowds", "crowded", "more-crowds", "crowd-nodes", "sets", "tried", "links", "first", "open", "fine", "close", "more", "final")
+    shelf.tidy()
     return out
 
 
