@@ -173,6 +173,7 @@ def small_nodes(sets: DataFrame, shelf: Shelf, small: int = SMALL, first: int =
         if not (total := large.count()):
             break
         rows = large.select("tree", "rep", "component", "tokens")
+        shelf.tidy()
     else:
         block = _block("path", F.ceil(F.col("size") / (small // 2)).cast("int"))
         done.append(large.select(F.xxhash64(F.lit(-1), "path", block).alias("node"), "rep"))
@@ -431,6 +432,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     pairs = _leader_pairs(lone, cut)
     tried = shelf.put("tried", pairs.unionByName(_crowd_leaders(crowds, sketches, cut)).distinct() if crowd else pairs)
     links = shelf.put("links", _confirmed(tried, sets, percent))
+    shelf.tidy()
     first = shelf.put("first", components(links, shelf, "first-round"))
 
     of = first.withColumnRenamed("node", "rep")
