@@ -249,3 +249,29 @@ def test_bound_of_likeness_is_the_longest_common_subsequence():
                 row = now
             want.append(row[-1])
         assert postings.common_lengths(known, [postings._letters(k) for k in known], new) == want
+
+
+def test_likeness_of_long_texts_by_common_grams_equals_comparing_all():
+    """Filters may not lose a pair: long texts, copies with changed letters, with moved and doubled parts, and texts without rare letters."""
+    import random
+    from difflib import SequenceMatcher
+
+    rnd = random.Random(8)
+    vowels, others = "aeiou", "bcdfghjklmnpqrstvwxyz"
+    word = lambda: "".join(rnd.choice(others[: rnd.choice([4, 9, 21])]) + rnd.choice(vowels) for _ in range(rnd.randrange(1, 5)))
+    texts = [" ".join(word() for _ in range(rnd.choice([10, 40, 60, 90]))) for _ in range(14)] + ["ab" * 150, "ab" * 140 + "c", "a" * 250, ""]
+    for x in texts[:14]:
+        letters = list(x)
+        for _ in range(int(len(x) * rnd.choice([0.01, 0.04, 0.08, 0.13]))):
+            letters[rnd.randrange(len(x))] = rnd.choice("etaoinshr ")
+        cut = rnd.randrange(len(x))
+        texts += ["".join(letters), x[:cut] + x[cut : cut + len(x) // 9] + x[cut:], x[cut:] + x[:cut]]
+    texts = sorted(set(texts))
+    like = lambda a, b: 2 * min(len(a), len(b)) >= postings.LIKENESS * (len(a) + len(b)) and SequenceMatcher(None, a, b).ratio() >= postings.LIKENESS
+    table = postings.Known(texts)
+    spared = 0
+    for j, b in enumerate(texts):
+        possible = table.possible(b, len(texts)).tolist()
+        assert list(table.alike(b, possible)) == [i for i, a in enumerate(texts) if like(a, b)]
+        spared += len(texts) - len(possible)
+    assert spared > len(texts) ** 2 / 2
