@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import explaining
+from ..operators.ranked import spread
 from .registry import Tables, query
 
 _STATUSES = ["STRONG", "GAP", "MODERATE", "TRANSFERABLE", "PROJECT", "HISTORICAL", "LISTED"]
@@ -16,7 +17,7 @@ def matches(t: Tables) -> DataFrame:
     """One row for each order: its skills in the order of parts, and what else a match has."""
     of = lambda values, k: F.get(F.array(*map(F.lit, values)), F.pmod(k, F.lit(len(values))).cast("int"))
     part = F.col("l_partkey")
-    lines = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", F.max("l_quantity").over(_by_part()).alias("q")).distinct().dropDuplicates(["l_orderkey", "l_partkey"])
+    lines = spread(t.lineitem.select("l_orderkey", "l_partkey", "l_quantity"), t.lineitem.count(), "l_orderkey").groupBy("l_orderkey", "l_partkey").agg(F.max("l_quantity").alias("q"))
     skill = F.struct(
         part.alias("part"), F.concat(F.lit("T"), part.cast("string")).alias("name"), of(_STATUSES, part).alias("status"), of(_IMPORTANCE, F.floor(part / 7)).alias("importance"), F.lit("near").alias("note"),
         F.array(F.when(F.floor(part / 21) % 2 == 0, "R1").otherwise("D1")).alias("requirement_ids"), F.col("q").alias("weight"),
@@ -28,12 +29,6 @@ def matches(t: Tables) -> DataFrame:
     )
 
 
-def _by_part():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("l_orderkey", "l_partkey")
-
-
 _SKILLS = """
 WITH s AS (SELECT l_orderkey AS k, l_partkey AS part, 'T' || l_partkey AS name, ['STRONG', 'GAP', 'MODERATE', 'TRANSFERABLE', 'PROJECT', 'HISTORICAL', 'LISTED'][l_partkey % 7 + 1] AS status, ['required', 'preferred', 'alternative'][l_partkey // 7 % 3 + 1] AS importance, l_partkey // 21 % 2 = 0 AS r, max(l_quantity) AS q FROM lineitem GROUP BY l_orderkey, l_partkey),
 o AS (SELECT o_orderkey AS k, o_orderkey % 100 AS fit, ['STRETCH', 'MATCH', 'OVERQUALIFIED', 'UNKNOWN'][o_orderkey % 4 + 1] AS seniority, ['MATCH', 'RELOCATION', 'UNKNOWN'][o_orderkey % 3 + 1] AS location, o_orderstatus = 'F' AS on_target FROM orders)"""
