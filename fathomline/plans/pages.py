@@ -99,14 +99,14 @@ def listing_pages(t: Tables) -> DataFrame:
 def page_link_scores(t: Tables) -> DataFrame:
     """How likely each link leads to a posting, over all pages as careers pages."""
     pages = listing_pages(t)
-    return markup.link_scores(markup.elements(pages, "page_id", "html"), pages.select(F.col("page_id").alias("id"), "url")).withColumnRenamed("id", "page_id")
+    return markup.link_scores(markup.elements(pages, "page_id", "html", {"a"}), pages.select(F.col("page_id").alias("id"), "url")).withColumnRenamed("id", "page_id")
 
 
 @query()
 def page_postings(t: Tables) -> DataFrame:
     """Postings of all pages as careers pages, by structured data or by heading."""
     pages = listing_pages(t)
-    return markup.page_postings(markup.elements(pages, "page_id", "html"), pages.select(F.col("page_id").alias("id"), "url")).withColumnRenamed("id", "page_id")
+    return markup.page_postings(markup.elements(pages, "page_id", "html", markup.POSTING_TAGS), pages.select(F.col("page_id").alias("id"), "url")).withColumnRenamed("id", "page_id")
 
 
 @query("""

@@ -7,7 +7,7 @@ join over its rows.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, jobs, text
+from ..operators.ranked import checkpointed
 
 #: Elements whose text is kept with their row.
 TEXTS = ("title", "h1", "a", "script")
@@ -29,6 +30,9 @@ PATH = 12
 DOCUMENT = "#document"
 SLICE = 32
 
+#: Elements that postings are read from.
+POSTING_TAGS = ("script", "meta", "title", "h1", DOCUMENT)
+
 #: Paths of postings, of roles, and of other pages; labels that lead to the next page.
 JOB_PATH = r"(?i)/(?:jobs?|careers?|positions?|openings?|vacanc(?:y|ies)|requisitions?|opportunit(?:y|ies)|o|roles?|postings?|job-details|jobdetails)(?:/|$|\?)"
 ROLE_SLUG = r"(?i)data[-_ ]?(?:engineer|platform|infra)|big[-_ ]?data|distributed[-_ ]?systems|platform[-_ ]?engineer|infrastructure[-_ ]?engineer|\betl\b"
@@ -105,14 +109,14 @@ class Reader(HTMLParser):
 _ROWS = pa.schema([("n", pa.int32()), ("tag", pa.string()), ("path", pa.string()), ("attributes", pa.map_(pa.string(), pa.string())), ("text", pa.string())])
 
 
-def elements(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
+def elements(pages: DataFrame, id_col: str, html_col: str, tags: Collection[str] | None = None) -> DataFrame:
     """id, n, tag, path, attributes, text: a row for each element that starts, and one "#document" for each page.
 
     path names the open elements, at most `PATH`. text is what shows of titles,
     first headings and links, the code of scripts, and of "#document" what shows
     of the whole page; null for other elements. Entities are decoded, of
     attributes given twice the first counts, ends that nothing opened are passed over, and what is
-    left open ends with the page. Null pages have "#document" alone.
+    left open ends with the page. Null pages have "#document" alone. With `tags` only elements of these become rows.
     """
     kind = dict(pages.dtypes)[id_col]
 
@@ -120,9 +124,9 @@ def elements(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                found = [Reader().read(h) for h in part.column("html").to_pylist()]
+                found = [[r for r in Reader().read(h) if tags is None or r[1] in tags] for h in part.column("html").to_pylist()]
                 where = pa.array([i for i, rows in enumerate(found) for _ in rows], pa.int32())
-                flat = list(zip(*(row for rows in found for row in rows), strict=True))
+                flat = list(zip(*(row for rows in found for row in rows), strict=True)) or [()] * len(_ROWS)
                 yield pa.RecordBatch.from_arrays([part.column("id").take(where), *(pa.array(c, t) for c, t in zip(flat, _ROWS.types, strict=True))], names=["id", *_ROWS.names])
 
     rows = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))
@@ -158,7 +162,8 @@ def links(found: DataFrame, urls: DataFrame, label_letters: int = 300) -> DataFr
     folder = F.regexp_extract("_base", r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(?:/[^?#]*/|/)?)", 1)
     scheme = F.regexp_extract("_base", r"^([A-Za-z][A-Za-z0-9+.-]*:)//", 1)
     absolute = F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(scheme, href)).when(href.startswith("/"), F.concat(root, href)).otherwise(F.concat(F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/"))), href))
-    rows = rows.select("id", "place", text.canonical_url(absolute).alias("link"), F.substring("text", 1, label_letters).alias("label")).where(F.col("link").rlike("^https?://"))
+    rows = rows.select("id", "place", absolute.alias("_absolute"), F.substring("text", 1, label_letters).alias("label")).where(F.col("_absolute").rlike("(?i)^https?://[^/?#]"))
+    rows = rows.select("id", "place", text.canonical_url(F.col("_absolute")).alias("link"), "label")
     return rows.groupBy("id", "link").agg(F.min(F.struct("place", "label")).alias("f")).select("id", "link", "f.label", "f.place")
 
 
@@ -181,9 +186,9 @@ def link_scores(found: DataFrame, urls: DataFrame) -> DataFrame:
     near = F.coalesce(text.registrable_domain(text.host_name(link)) == F.col("_domain"), F.lit(False)) | jobs.platform_of(link)["platform"].isNotNull()
     slug = whole.rlike(ROLE_SLUG)
     posting = (link != F.col("_own")) & near & ~whole.rlike(NOT_JOB) & (whole.rlike(JOB_PATH) | slug)
-    role = jobs.classify_role(F.col("label"), null, null)
-    rows = rows.withColumns({"next": F.coalesce(F.col("label").rlike(NEXT_LABEL), F.lit(False)), "_target": jobs.is_target(role["category"], role["relevance"]) & (F.col("label") != "")})
-    return rows.select("id", "link", "label", "place", "next", F.when(posting & ~F.col("next"), F.when(F.col("_target"), 2).when(slug, 1).otherwise(0)).alias("priority"))
+    target = (F.col("label") != "") & jobs.names_target(F.col("label"), null, null)
+    rows = rows.withColumn("next", F.coalesce(F.col("label").rlike(NEXT_LABEL), F.lit(False)))
+    return rows.select("id", "link", "label", "place", "next", F.when(posting & ~F.col("next"), F.when(target, 2).when(slug, 1).otherwise(0)).alias("priority"))
 
 
 def structured(found: DataFrame) -> DataFrame:
@@ -216,7 +221,8 @@ def page_postings(found: DataFrame, urls: DataFrame, company: Column | None = No
     are left out; a page that has only such gives nothing.
     """
     null = F.lit(None).cast("string")
-    target = lambda title, body: jobs.is_target(*(jobs.classify_role(title, body, null if company is None else company)[k] for k in ("category", "relevance")))
+    target = lambda title, body: jobs.names_target(title, body, null if company is None else company)
+    found = checkpointed(found.where(F.col("tag").isin(*POSTING_TAGS)))  # each page is read once
     given = structured_postings(found)
     whole = found.where(F.col("tag") == DOCUMENT).select("id", F.substring("text", 1, letters).alias("description"))
     own = titles(found).join(whole, "id").join(given.select("id").distinct(), "id", "left_anti").select("id", F.substring(F.coalesce("heading", "title"), 1, 300).alias("title"), null.alias("location"), "description", F.lit(False).alias("structured"))
