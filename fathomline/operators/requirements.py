@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jobs
 from ..functions.names import INDIA
-from .ranked import carried, numbered, top
+from .ranked import carried, numbered, once, spread, top
 from .terms import find_terms, term_names
 
 #: What makes an item preferred or required, and how requirements and duties begin.
@@ -132,8 +132,10 @@ def section_items(postings: DataFrame, key: str, text: str) -> DataFrame:
 
     Lines before any heading belong to the intro, and ignored sections are left out.
     """
-    lines = postings.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("pos", "line"))
-    lines = lines.withColumn("_heading", heading_kind(F.col("line"))).withColumn("line", F.trim(F.regexp_replace("line", r"^[\s•·*\-–]+", ""))).where("line <> ''")
+    parts = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
+    lines = postings.select(key, F.posexplode(parts).alias("pos", "line"))
+    lines = once(lines, [key, "pos"], _heading=heading_kind(F.col("line")), line=F.trim(F.regexp_replace("line", r"^[\s•·*\-–]+", ""))).where("line <> ''")
+    lines = spread(lines, postings.agg(F.sum(F.size(parts))).first()[0] or 0, key)
     rows = carried(lines, [key], ["pos"], F.col("_heading"), "section").where("_heading is null")
     rows = rows.select(key, "pos", F.coalesce("section", F.lit("intro")).alias("section"), F.col("line").alias("item")).where("section <> 'ignore'")
     return top(rows.withColumn("_low", F.lower("item")), [key, "_low"], [F.asc("pos")]).drop("_low")
@@ -144,7 +146,7 @@ def requirements(items: DataFrame, key: str, patterns: dict[str, str]) -> DataFr
 
     Items without a term and without years are dropped, and so is mere context without a term.
     """
-    rows = items.withColumns({"kind": item_kind(F.col("section"), F.col("item")), "terms": term_names(find_terms(F.col("item"), patterns)), "years": jobs.years_required(F.col("item"))["low"]})
+    rows = once(items, items.columns, kind=item_kind(F.col("section"), F.col("item")), terms=term_names(find_terms(F.col("item"), patterns)), years=jobs.years_required(F.col("item"))["low"])
     rows = rows.where((F.size("terms") > 0) | (F.col("years").isNotNull() & (F.col("kind") != "context")))
     prefix, importance = (F.coalesce(*(F.when(F.col("kind") == k, F.lit(v[i])) for k, v in KINDS.items())) for i in (0, 1))
     strong = F.filter("terms", lambda t: ~t.isin(*WEAK))

@@ -275,3 +275,13 @@ def test_likeness_of_long_texts_by_common_grams_equals_comparing_all():
         assert list(table.alike(b, possible)) == [i for i, a in enumerate(texts) if like(a, b)]
         spared += len(texts) - len(possible)
     assert spared > len(texts) ** 2 / 2
+
+
+def test_tasks_and_computed_columns_do_not_grow_with_the_table(spark, monkeypatch):
+    from fathomline.operators import ranked
+
+    monkeypatch.setattr(ranked, "TASK_ROWS", 10)
+    rows = spark.range(500).withColumn("k", F.col("id") % 100)
+    assert ranked.spread(rows, 500, "k").rdd.getNumPartitions() == 50
+    got = ranked.once(rows, ["id"], twice=F.col("id") * 2, half=F.col("id") / 2).where("twice > 994 and half > 0")
+    assert sorted(map(tuple, got.collect())) == [(498, 996, 249.0), (499, 998, 249.5)]
