@@ -18,10 +18,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, read, text_bytes
+from .common import Shelf, map_rows, read, text_bytes
 
-#: Bound on the labelled documents that the fit reads, whatever the table's size.
-SAMPLE = 8_000
 #: Preferred documents are paired with so many others each.
 PAIRS = 4
 PENALTY = 1e-4
@@ -81,27 +79,29 @@ class Ranking:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Ranking:
-    """Learn from at most about `sample` labelled rows that are not held out, chosen by a hash of their ids.
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Ranking:
+    """Learn from all labelled rows that are not held out.
 
     Labels that are null are left out; of an id's several labels the largest
-    counts. With only one label present, every document scores 0.5.
+    counts. With only one label present, every document scores 0.5. Features go
+    to the labels, so no text is shuffled.
     """
-    usable = labels.where(F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).cast("long").alias("_id")).agg((F.max(label_col) > 0).cast("int").alias("_label"))
-    n = usable.count()
-    usable = usable.where(F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(1 << 20)) < min(1.0, sample / max(1, n)) * (1 << 20))
-    chosen = docs.select(id_col, text_col).join(F.broadcast(usable), F.col(id_col) == F.col("_id"))  # at most about `sample` rows
-    table = with_features(chosen, id_col, text_col).join(usable.withColumnRenamed("_id", "doc_id"), "doc_id").select("doc_id", "_label", "x").cache()
+    return fit_features(with_features(docs.where(~held_out(id_col)), id_col, text_col), labels, label_col, id_col)
+
+
+def fit_features(table: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id") -> Ranking:
+    """The same from the features of documents, as with_features gives them."""
+    usable = labels.where(F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg((F.max(label_col) > 0).cast("int").alias("_label"))
+    table = table.join(usable, "doc_id").select("doc_id", "_label", "x").cache()
     try:
-        known = table.toPandas().sort_values("doc_id")
-        if known["_label"].nunique() < 2:
+        n, better, *moments = table.agg(F.count("*"), F.sum("_label"), *(f(F.get("x", F.lit(i))) for i in range(len(FEATURES)) for f in (F.avg, F.stddev_pop))).first()
+        if not n or better in (0, n):
             return Ranking((0.0,) * len(FEATURES), (0.0,) * len(FEATURES), 0.0, 1.0)
-        x, y = np.array(known["x"].tolist()), known["_label"].to_numpy()
-        centre, scale = x.mean(axis=0), x.std(axis=0)
+        centre, scale = np.array(moments[::2]), np.array(moments[1::2])
         scale = np.where(scale > 1e-12, scale, 1.0)
-        better, worse = int(y.sum()), int(len(y) - y.sum())
+        worse = n - better
         # The i-th preferred document meets the others numbered i * PAIRS + 0, 1, ...: an equi-join on that number.
-        ranked = table.withColumn("_i", F.row_number().over(Window.partitionBy("_label").orderBy(F.xxhash64("doc_id"), "doc_id")) - 1)
+        ranked = _numbered(table)
         many = max(1, math.ceil(PAIRS * max(1.0, worse / better)))
         left = ranked.where("_label = 1").select(F.col("x").alias("_a"), "_i", F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("_k"))
         left = left.select("_a", F.pmod(F.col("_i") * many + F.col("_k"), F.lit(worse)).alias("_j"))
@@ -112,27 +112,71 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample:
         # Half of the pairs are turned round, for the fit needs both outcomes.
         pairs = pairs.withColumn("_d", F.when(F.col("label") == 1, F.col("_d")).otherwise(F.transform("_d", lambda d: -d)))
         model = LogisticRegression(fitIntercept=False, regParam=PENALTY, maxIter=60, standardization=False).fit(pairs.select(array_to_vector("_d").alias("features"), "label"))
+        weights = model.coefficients.toArray() / scale
+        terms = [(F.get("x", F.lit(i)) - float(c)) * float(w) for i, (c, w) in enumerate(zip(centre, weights))]
+        strength = table.select(sum(terms[1:], terms[0]).alias("s"))
+        spread = strength.agg(F.stddev_pop("s")).first()[0]
+        threshold = exact_quantile(strength, "s", worse / n)
     finally:
         table.unpersist()
-    weights = model.coefficients.toArray() / scale
-    strength = (x - centre) @ weights
-    share = worse / (better + worse)
-    threshold = float(np.quantile(strength, share))
-    return Ranking(tuple(centre), tuple(weights), threshold, float(max(strength.std() / 4, 1e-9)))
+    return Ranking(tuple(map(float, centre)), tuple(map(float, weights)), threshold, float(max(spread / 4, 1e-9)))
+
+
+def _numbered(table: DataFrame) -> DataFrame:
+    """Adds _i, a row's number from 0 among those of its label in the order of hashes; counted in ranges of hashes, so no task gets all rows of a label."""
+    key = F.xxhash64("doc_id")
+    rows = table.withColumn("_range", F.shiftright(key, 52))
+    ends = Window.partitionBy("_label").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("_label", "_range").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(ends), F.lit(0)))  # 4,096 ranges a label
+    place = F.row_number().over(Window.partitionBy("_label", "_range").orderBy(key, "doc_id")) - 1
+    return rows.withColumn("_place", place).join(F.broadcast(before.drop("_n")), ["_label", "_range"]).select("doc_id", "_label", "x", (F.col("_place") + F.col("_before")).alias("_i"))
+
+
+def exact_quantile(rows: DataFrame, column: str, share: float, bins: int = 4096) -> float:
+    """The quantile of all finite values, interpolated between neighbours. Bins around it are narrowed until they hold few values, so at most about `bins` numbers come to the driver at once."""
+    n, low, high = rows.agg(F.count(column), F.min(column), F.max(column)).first()
+    at = share * (n - 1)
+
+    def nth(k: int) -> float:
+        a, b, below = low, high, 0
+        while a < b:
+            part = rows.where(F.col(column).between(a, b))
+            step = (b - a) / bins
+            if not step:
+                break
+            counts = part.groupBy(F.least(F.floor((F.col(column) - a) / step), F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("n"), F.min(column).alias("a"), F.max(column).alias("b")).orderBy("bin").collect()
+            for r in counts:
+                if below + r["n"] > k:
+                    a, b = r["a"], r["b"]
+                    break
+                below += r["n"]
+            if len(counts) == 1:
+                break
+        if a == b:
+            return a
+        # Neighbouring numbers that no bins tell apart.
+        for r in rows.where(F.col(column).between(a, b)).groupBy(column).count().orderBy(column).collect():
+            if below + r["count"] > k:
+                return r[column]
+            below += r["count"]
+
+    first, part = nth(math.floor(at)), at - math.floor(at)
+    return first if not part else first + part * (nth(math.floor(at) + 1) - first)
 
 
 def quality_scores(docs: DataFrame, ranking: Ranking, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of `docs`: doc_id, score in 0 to 1, predicted (1 from 0.5 on). Null texts score as empty ones."""
+    return feature_scores(with_features(docs, id_col, text_col), ranking)
 
-    def rows(batch: list[dict]) -> list[dict]:
-        out = []
-        for r in batch:
-            s = ranking.score(features(r["data"]))
-            out.append({"doc_id": r["doc_id"], "score": s, "predicted": int(s >= 0.5)})
-        return out
 
-    arrow = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32())])
-    return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("data")), rows, "doc_id long, score double, predicted int", arrow)
+def feature_scores(table: DataFrame, ranking: Ranking) -> DataFrame:
+    """quality_scores from the features of documents, as with_features gives them."""
+
+    @F.pandas_udf("double")
+    def score(xs):
+        return xs.map(ranking.score)
+
+    return table.select("doc_id", score("x").alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_good(docs: DataFrame, ranking: Ranking, text_col: str = "text") -> DataFrame:
@@ -147,6 +191,6 @@ def keep_good(docs: DataFrame, ranking: Ranking, text_col: str = "text") -> Data
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by a ranking learnt from labels that aren't held out; quality_scores says what holds for odd rows."""
-    docs = read(spark, sf_dir, "documents")
-    scores = quality_scores(docs, fit(docs, read(spark, sf_dir, "labels")))
-    return scores.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    # Features serve the fit and the scores, and are computed once.
+    table = Shelf(spark, "quality").put("features", with_features(read(spark, sf_dir, "documents"), "doc_id", "text"))
+    return feature_scores(table, fit_features(table, read(spark, sf_dir, "labels"))).select("doc_id", held_out().alias("held_out"), "score", "predicted")

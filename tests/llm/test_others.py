@@ -128,6 +128,29 @@ def test_quality_odd_rows(docs, nothing, spark):
     assert {r.score for r in quality.quality_scores(docs, blank).collect()} == {0.5}
 
 
+def test_the_fit_reads_every_label(spark):
+    n = 30_000  # more than the 8,000 that an earlier fit was bounded to
+    base = [1.0] * (len(quality.FEATURES) - 1)
+    rows = spark.range(n).select(F.col("id").alias("doc_id"), F.array(*map(F.lit, base), (F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000).alias("v")).alias("x"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), (F.pmod(F.xxhash64("id"), F.lit(1000)) > 300).cast("int").alias("quality"))
+    known = [r.x[-1] for r in rows.where(~quality.held_out()).collect()]
+    ranking = quality.fit_features(rows, labels)
+    assert np.isclose(ranking.centre[-1], np.mean(known), rtol=1e-9)
+    strength = (np.array(known) - ranking.centre[-1]) * ranking.weights[-1]
+    share = np.mean([v * 1000 < 300.5 for v in known])
+    assert np.isclose(ranking.threshold, np.quantile(strength, share), rtol=1e-6, atol=1e-9) and np.isclose(ranking.spread, strength.std() / 4, rtol=1e-6)
+    table = rows.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("_label"), "x")
+    numbers = quality._numbered(table).groupBy("_label").agg(F.sort_array(F.collect_list("_i")).alias("i")).collect()
+    assert all(r.i == list(range(n // 2)) for r in numbers)
+
+
+def test_exact_quantile(spark):
+    for values in ([3.0], [1.0, 1.0, 1.0], [0.0, 1e-300, 5.0, 5.0, 5.0, 1e9], [float(i * i % 1009) for i in range(500)], [1.0, 1.0 + 2**-52, 1.0 + 2**-51]):
+        df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+        for share in (0.0, 0.3, 0.5, 1.0):
+            assert np.isclose(quality.exact_quantile(df, "v", share, bins=4), np.quantile(values, share), rtol=1e-15, atol=0)
+
+
 # Fingerprints
 
 
