@@ -98,3 +98,10 @@ def test_profiles_and_documents_meet(spark):
     assert blocks(assembly.base_blocks(facts, "k"))[1] == [
         ("section", "Summary"), ("text", "Builds."), ("text", "Ships."), ("section", "Experience"), ("entry", "Lead Engineer at Acme Labs (2019 - Present)"), ("bullet", "did one"), ("bullet", "Stack: Spark"), ("section", "Skills"), ("text", "Tools: a, b"), ("section", "Education"), ("text", "University of X"),
     ]
+
+
+def test_columns_that_no_document_shows_are_not_computed(spark):
+    rows = [(1, "summary", "S.", None, None, None, None, 0)]
+    facts = spark.createDataFrame(rows, "k long, category string, statement string, entry int, item int, label string, employer string, position int")
+    facts = facts.withColumn("technologies", F.raise_error(F.concat(F.lit("not needed: "), "statement")).cast("array<string>"))
+    assert [r.text for r in assembly.base_blocks(facts, "k").orderBy("place").collect()] == ["Summary", "S."]
