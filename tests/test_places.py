@@ -107,3 +107,10 @@ def test_nearest_label_ties(spark):
     vectors = spark.createDataFrame([(1, "a", 1.0), (1, "b", 1.0), (2, "z", 1.0), (3, "a", None), (4, None, 1.0)], "k long, term string, weight double")
     labels = spark.createDataFrame([("y", "a", 1.0), ("x", "b", 1.0), ("w", "a", 0.5)], "label string, term string, weight double")
     assert [(r.k, r.label, r.score) for r in positioning.nearest_label(vectors, "k", labels).where("score is not null").collect()] == [(1, "x", 1.0)]
+
+
+def test_texts_stay_where_they_are(spark):
+    rows = spark.createDataFrame([(1, "new york")], "k long, text string")
+    found = places.find_places(rows, "k", "text", spark.createDataFrame(GAZETTEER, "name string, place int"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "hashpartitioning(id" not in plan
