@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jobs, names, text
 from .companies import domain_evidence, normal_name
+from .ranked import checkpointed, once
 
 #: Titles that say who hires for what, in the order in which they are tried; groups by `GROUPS`.
 EXPLICIT = [
@@ -116,8 +117,8 @@ def _pieces(title: Column, snippet: Column, platform: Column, domain: Column) ->
     listed = (F.size(parts) == 1) & title.contains(",")  # a title without other marks is parted at its commas
 
     def segment(s: Column, i: Column) -> Column:
-        phrase = jobs.role_phrase(s)
-        return _piece("segment", i, F.when(phrase.isNotNull(), _before(s, phrase)).otherwise(s), F.coalesce(phrase, s))
+        of = lambda phrase: _piece("segment", i, F.when(phrase.isNotNull(), _before(s, phrase)).otherwise(s), F.coalesce(phrase, s))
+        return F.get(F.transform(F.array(jobs.role_phrase(s)), of), F.lit(0))
 
     def part(s: Column, i: Column) -> Column:
         return _piece("part", i, None, s)
@@ -146,13 +147,14 @@ def signals(results: DataFrame, id_col: str, title: str, url: str, snippet: str,
     location, domain, career_url and job_url; all but id and rule are null
     without a signal. `id_col` names a row. Null titles and snippets count as
     empty; a URL without a host gives the rule "no host". HTML entities of
-    titles are decoded. Candidates are regrouped by id, so their rows are
+    titles are decoded. Results are read once and kept, as they are parted into candidates and joined to them. Candidates are regrouped by id, so their rows are
     shuffled, and the texts of a result are not.
     """
     plain = lambda c: F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\s+", " "))
-    rows = results.select(F.col(id_col).alias("id"), text.unescape(plain(title)).alias("title"), plain(snippet).alias("snippet"), F.col(url).alias("url"))
+    rows = results.select(F.col(id_col).alias("id"), F.col(title).alias("title"), F.col(snippet).alias("snippet"), F.col(url).alias("url"))
+    rows = once(rows, ["id", "url"], title=text.unescape(plain("title")), snippet=plain("snippet"))
     rows = rows.withColumn("host", text.host_name(F.col("url")))
-    rows = rows.withColumns({"domain": text.registrable_domain(F.col("host")), "platform": jobs.platform_of(F.col("url"))})
+    rows = checkpointed(rows.withColumns({"domain": text.registrable_domain(F.col("host")), "platform": jobs.platform_of(F.col("url"))}))
     pieces = rows.select("id", F.inline(_pieces(F.col("title"), F.col("snippet"), F.col("platform"), F.col("domain"))))
     null = F.lit(None).cast("string")
     pieces = pieces.withColumns({"found": jobs.role_phrase(F.col("role")).isNotNull(), "class": jobs.classify_role(F.col("role"), null, null), "name": names.candidate(F.col("company"), normal_name)})

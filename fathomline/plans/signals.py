@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import signals
+from ..operators.ranked import once
 from .registry import Tables, query
 
 _ROLES = ["Senior Data Engineer", "Data Analyst", "Platform Engineer", "ETL Developer", "Nurse", "Software Engineer, Data"]
@@ -20,10 +21,13 @@ def page_results(t: Tables) -> DataFrame:
     """Every page as a search result: its own title, words, host and text, in the forms that result titles have."""
     i = F.col("page_id")
     title, body = F.coalesce(text.page_title(F.col("html")), F.lit("")), text.html_to_text(F.col("html"), 400)
-    rows = t.pages.select("page_id", "url", title.alias("own"), body.alias("body"), text.host_name(F.col("url")).alias("host"))
+    # What the forms are made of is found once a page.
+    rows = once(t.pages, ["page_id", "url"], own=title, body=body)
     words = F.filter(F.split(F.regexp_replace("own", r"[^\p{L}]+", " "), " "), lambda w: F.char_length(w) > 1)
-    name = F.initcap(F.array_join(F.slice(words, 1, 2), " "))
-    role, label = _of(_ROLES, F.floor(i / 12)), F.lower(F.regexp_replace(F.concat_ws("-", F.get(words, F.lit(0)), F.get(words, F.lit(1))), "[^A-Za-z0-9-]", ""))
+    rows = once(rows, ["page_id", "url", "own", "body"], words=words)
+    label = F.lower(F.regexp_replace(F.concat_ws("-", F.get("words", F.lit(0)), F.get("words", F.lit(1))), "[^A-Za-z0-9-]", ""))
+    rows = once(rows, ["page_id", "url", "own", "body", "words"], name=F.initcap(F.array_join(F.slice("words", 1, 2), " ")), label=label)
+    words, name, role, label = F.col("words"), F.col("name"), _of(_ROLES, F.floor(i / 12)), F.col("label")
     forms = [
         F.concat_ws(" | ", role, name, F.lit("Careers")), F.concat(name, F.lit(" hiring "), role, F.lit(" in Pune, India | LinkedIn")), F.concat(F.lit("Job Application for "), role, F.lit(" at "), name), F.concat(role, F.lit(" - "), name, F.lit(" Jobs - Berlin")),
         F.col("own"), F.concat(name, F.lit(" is hiring a "), role), F.concat(F.lit("1,200+ "), name, F.lit(" "), role, F.lit(" jobs in India")), F.concat(role, F.lit(" at "), name, F.lit(", in Pune")),
