@@ -9,12 +9,11 @@ the training documents becomes the threshold, at which the score is 0.5.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -108,11 +107,7 @@ def fit_features(table: DataFrame, labels: DataFrame, label_col: str = "quality"
         right = ranked.where("_label = 0").select(F.col("x").alias("_b"), F.col("_i").alias("_j"))
         size = F.array(*(F.lit(float(s)) for s in scale))
         gap = F.zip_with(F.zip_with("_a", "_b", lambda a, b: a - b), size, lambda d, s: d / s)
-        pairs = left.join(right, "_j").select(gap.alias("_d"), F.pmod(F.xxhash64("_a", "_b"), F.lit(2)).cast("double").alias("label"))
-        # Half of the pairs are turned round, for the fit needs both outcomes.
-        pairs = pairs.withColumn("_d", F.when(F.col("label") == 1, F.col("_d")).otherwise(F.transform("_d", lambda d: -d)))
-        model = LogisticRegression(fitIntercept=False, regParam=PENALTY, maxIter=60, standardization=False).fit(pairs.select(array_to_vector("_d").alias("features"), "label"))
-        weights = model.coefficients.toArray() / scale
+        weights = least_loss(left.join(right, "_j").select(gap.alias("_d")), len(FEATURES)) / scale
         terms = [(F.get("x", F.lit(i)) - float(c)) * float(w) for i, (c, w) in enumerate(zip(centre, weights))]
         strength = table.select(sum(terms[1:], terms[0]).alias("s"))
         spread = strength.agg(F.stddev_pop("s")).first()[0]
@@ -122,6 +117,55 @@ def fit_features(table: DataFrame, labels: DataFrame, label_col: str = "quality"
     return Ranking(tuple(map(float, centre)), tuple(map(float, weights)), threshold, float(max(spread / 4, 1e-9)))
 
 
+def least_loss(pairs: DataFrame, size: int, penalty: float = PENALTY, steps: int = 60) -> np.ndarray:
+    """The weights w of least mean log(1 + exp(-w * d)) over all pairs (_d: array of `size` finite numbers), plus half the penalty times w * w.
+
+    Newton's method with halved steps. Each step is one job of one stage over the
+    cached pairs, of which a task returns only its sums; a first-order method
+    takes several times as many jobs, of which the driver keeps a record each.
+    """
+    upper = np.triu_indices(size)
+    pairs = pairs.cache()
+
+    def look(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Loss, gradient and curvature at w."""
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n, loss, slope, bend = 0, 0.0, np.zeros(size), np.zeros((size, size))
+            for batch in batches:
+                d = batch["_d"].flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+                z = d @ w
+                wrong = np.exp(-np.logaddexp(0, z))
+                n, loss = n + len(d), loss + float(np.logaddexp(0, -z).sum())
+                slope -= wrong @ d
+                bend += (d * (wrong * (1 - wrong))[:, None]).T @ d
+            if n:
+                yield pa.RecordBatch.from_pylist([{"s": [float(n), loss, *slope.tolist(), *bend[upper].tolist()]}], schema=pa.schema([("s", pa.list_(pa.float64()))]))
+
+        n, loss, *rest = np.sum([r["s"] for r in pairs.mapInArrow(sums, "s array<double>").collect()], axis=0)
+        bend = np.zeros((size, size))
+        bend[upper] = bend.T[upper] = np.array(rest[size:]) / n
+        return loss / n + penalty / 2 * float(w @ w), np.array(rest[:size]) / n + penalty * w, bend + penalty * np.eye(size)
+
+    try:
+        w, share = np.zeros(size), 1.0
+        loss, slope, bend = look(w)
+        step = np.linalg.solve(bend, -slope)
+        for _ in range(steps):
+            gain = float(-slope @ step)  # about twice what the loss is above the least
+            if gain <= 1e-14 * (1 + loss) or share < 1e-6:
+                break
+            new = look(w + share * step)
+            if new[0] > loss - 1e-4 * share * gain:
+                share /= 2
+                continue
+            w, share, (loss, slope, bend) = w + share * step, 1.0, new
+            step = np.linalg.solve(bend, -slope)
+    finally:
+        pairs.unpersist()
+    return w
+
+
 def _numbered(table: DataFrame) -> DataFrame:
     """Adds _i, a row's number from 0 among those of its label in the order of hashes; counted in ranges of hashes, so no task gets all rows of a label."""
     key = F.xxhash64("doc_id")
@@ -144,8 +188,8 @@ def exact_quantile(rows: DataFrame, column: str, share: float, bins: int = 4096)
             step = (b - a) / bins
             if not step:
                 break
-            counts = part.groupBy(F.least(F.floor((F.col(column) - a) / step), F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("n"), F.min(column).alias("a"), F.max(column).alias("b")).orderBy("bin").collect()
-            for r in counts:
+            counts = part.groupBy(F.least(F.floor((F.col(column) - a) / step), F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("n"), F.min(column).alias("a"), F.max(column).alias("b")).collect()
+            for r in sorted(counts, key=lambda r: r["bin"]):
                 if below + r["n"] > k:
                     a, b = r["a"], r["b"]
                     break
@@ -161,7 +205,11 @@ def exact_quantile(rows: DataFrame, column: str, share: float, bins: int = 4096)
             below += r["count"]
 
     first, part = nth(math.floor(at)), at - math.floor(at)
-    return first if not part else first + part * (nth(math.floor(at) + 1) - first)
+    if not part:
+        return first
+    # The value after it is the same one or the least above it.
+    upto, above = rows.agg(F.count_if(F.col(column) <= first), F.min(F.when(F.col(column) > first, F.col(column)))).first()
+    return first if upto > math.floor(at) + 1 else first + part * (above - first)
 
 
 def quality_scores(docs: DataFrame, ranking: Ranking, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

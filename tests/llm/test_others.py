@@ -117,6 +117,27 @@ def test_ranking_learns_and_holds_out(spark):
     assert np.allclose(a.weights, b.weights, rtol=1e-3) and np.isclose(a.threshold, b.threshold, rtol=1e-3)
 
 
+def test_quality_fit_takes_few_jobs(spark):
+    # The driver keeps a record of each job and stage, and makes code for each kind of them.
+    docs, labels = labelled(spark)
+    spark.sparkContext.setJobGroup("quality-fit", "")
+    try:
+        quality.fit(docs, labels)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("quality-fit")
+    assert 0 < len(jobs) <= 45
+
+
+def test_least_loss_is_the_least(spark):
+    rng = np.random.default_rng(5)
+    for far in (0.2, 3.0, 500.0):  # the last one: all pairs can be told apart, and full steps overshoot
+        d = rng.normal(far * np.array([0.1, 1, 0.5, 0]), [1, 1, 30, 0], (500, 4))
+        w = quality.least_loss(spark.createDataFrame([(x.tolist(),) for x in d], "_d array<double>").repartition(3), 4)
+        slope = -(d / (1 + np.exp(np.clip(d @ w, -700, 700)))[:, None]).mean(axis=0) + quality.PENALTY * w
+        assert np.abs(slope).max() < 1e-6 and w[3] == 0 and np.abs(w[:3]).min() > 0
+
+
 def test_quality_odd_rows(docs, nothing, spark):
     train, labels = labelled(spark, 300)
     ranking = quality.fit(train, labels)
