@@ -60,8 +60,8 @@ WITH v AS (SELECT page_id, html, {_shown(_decoded("html"))} AS v FROM pages)
 SELECT page_id, length(v)::BIGINT AS n_chars, sha256(v) AS sha256, length(v) < 1500 AND (len(regexp_extract_all(lower(html), '<script')) >= 5 OR contains(html, 'id="root"') OR contains(html, 'id="app"') OR contains(html, '__NEXT_DATA__')) AS scripted FROM v
 """)
 def html_text(t: Tables) -> DataFrame:
-    visible = text.html_to_text(F.col("html"), None)
-    return t.pages.select("page_id", F.char_length(visible).cast("long").alias("n_chars"), F.sha2(visible, 256).alias("sha256"), text.looks_script_rendered(F.col("html")).alias("scripted"))
+    visible = text.html_to_text(F.col("html"), None, whole=True)
+    return t.pages.select("page_id", F.char_length(visible).cast("long").alias("n_chars"), F.sha2(visible, 256).alias("sha256"), text.looks_script_rendered(F.col("html"), whole=True).alias("scripted"))
 
 
 @query(f"""
