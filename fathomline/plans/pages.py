@@ -52,7 +52,7 @@ WITH p AS (SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>'
 SELECT page_id, nullif(trim(regexp_replace({_decoded("t")}, '[ \t\r\n]+', ' ', 'g')), '') AS title, nullif(substr({_shown("h")}, 1, 300), '') AS heading FROM p
 """)
 def page_titles(t: Tables) -> DataFrame:
-    return markup.titles(markup.elements(t.pages, "page_id", "html")).withColumnRenamed("id", "page_id")
+    return markup.titles(markup.elements(t.pages, "page_id", "html", ("title", "meta", "h1", markup.DOCUMENT), whole=True)).withColumnRenamed("id", "page_id")
 
 
 @query(f"""
@@ -71,7 +71,7 @@ SELECT page_id, link, arg_min(label, place) AS label, min(place) AS place FROM r
 """)
 def page_links(t: Tables) -> DataFrame:
     """Links of all pages, of which the given ones start with a slash."""
-    return markup.links(markup.elements(t.pages, "page_id", "html"), _urls(t)).withColumnRenamed("id", "page_id")
+    return markup.links(markup.elements(t.pages, "page_id", "html", {"a"}, whole=True), _urls(t)).withColumnRenamed("id", "page_id")
 
 
 def _urls(t: Tables) -> DataFrame:

@@ -98,18 +98,27 @@ class Reader(HTMLParser):
         elif self.open[-1][1] in self.kept:
             self.kept[self.open[-1][1]].append(data)
 
-    def read(self, html: str | None) -> list[list]:
-        self.feed(html or "")
+    def read(self, html: str | None, whole: bool = False) -> list[list]:
+        html, mark = html or "", None
+        if whole and any(not text.is_whole(name) for name in text.ENTITY.findall(html)):
+            # The parser would decode these, so another character stands for their ampersands meanwhile: one that no text is meant to hold, nor this one does.
+            mark = next(c for c in map(chr, (*range(0xFDD0, 0xFDF0), *range(0xF0000, 0x10FFFF))) if c not in html)
+            html = text.ENTITY.sub(lambda m: m[0] if text.is_whole(m[1]) else mark + m[1], html)
+        self.feed(html)
         self.close()
         while self.open:
             self._pop()
-        return [*self.rows, [len(self.rows), DOCUMENT, "", [], "".join(self.seen)]]
+        rows = [*self.rows, [len(self.rows), DOCUMENT, "", [], "".join(self.seen)]]
+        if mark:
+            plain = lambda value: value and value.replace(mark, "&")
+            rows = [[n, plain(tag), plain(path), [(plain(k), plain(v)) for k, v in given], plain(shown)] for n, tag, path, given, shown in rows]
+        return rows
 
 
 _ROWS = pa.schema([("n", pa.int32()), ("tag", pa.string()), ("path", pa.string()), ("attributes", pa.map_(pa.string(), pa.string())), ("text", pa.string())])
 
 
-def elements(pages: DataFrame, id_col: str, html_col: str, tags: Collection[str] | None = None) -> DataFrame:
+def elements(pages: DataFrame, id_col: str, html_col: str, tags: Collection[str] | None = None, whole: bool = False) -> DataFrame:
     """id, n, tag, path, attributes, text: a row for each element that starts, and one "#document" for each page.
 
     path names the open elements, at most `PATH`. text is what shows of titles,
@@ -117,6 +126,7 @@ def elements(pages: DataFrame, id_col: str, html_col: str, tags: Collection[str]
     of the whole page; null for other elements. Entities are decoded, of
     attributes given twice the first counts, ends that nothing opened are passed over, and what is
     left open ends with the page. Null pages have "#document" alone. With `tags` only elements of these become rows.
+    With `whole` entities that were cut short of their semicolon stay as they are, but for amp.
     """
     kind = dict(pages.dtypes)[id_col]
 
@@ -124,7 +134,7 @@ def elements(pages: DataFrame, id_col: str, html_col: str, tags: Collection[str]
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                found = [[r for r in Reader().read(h) if tags is None or r[1] in tags] for h in part.column("html").to_pylist()]
+                found = [[r for r in Reader().read(h, whole) if tags is None or r[1] in tags] for h in part.column("html").to_pylist()]
                 where = pa.array([i for i, rows in enumerate(found) for _ in rows], pa.int32())
                 flat = list(zip(*(row for rows in found for row in rows), strict=True)) or [()] * len(_ROWS)
                 yield pa.RecordBatch.from_arrays([part.column("id").take(where), *(pa.array(c, t) for c, t in zip(flat, _ROWS.types, strict=True))], names=["id", *_ROWS.names])

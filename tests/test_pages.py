@@ -24,6 +24,11 @@ def test_cut_entities_in_texts_stay_as_in_the_sql(spark, folder):
     assert_equal(spark, folder, "html_text")
 
 
+@pytest.mark.parametrize("name", ["page_titles", "page_links"])
+def test_cut_entities_in_elements_stay_as_in_the_sql(spark, folder, name):
+    assert_equal(spark, folder, name)
+
+
 def assert_equal(spark, folder, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet/*.parquet'")
