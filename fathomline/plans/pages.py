@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import postings
+from ..operators.ranked import spread
 from ..sources import markup
 from .registry import Tables, query
 
@@ -78,6 +79,10 @@ def _urls(t: Tables) -> DataFrame:
     return t.pages.select(F.col("page_id").alias("id"), "url")
 
 
+#: Pages that one task reads at most on average.
+PAGES = 500
+
+
 def listing_pages(t: Tables) -> DataFrame:
     """page_id, url, html: every page, with links, a heading and structured data of a careers page made of its own words."""
     i, html = F.col("page_id"), F.coalesce("html", F.lit(""))
@@ -92,21 +97,23 @@ def listing_pages(t: Tables) -> DataFrame:
     data = F.when(i % 5 == 0, posting).when(i % 5 == 1, F.concat(F.lit('{"@graph": ['), posting, F.lit(', {"@type": "Thing"}]}'))).when(i % 5 == 2, F.concat(F.lit("["), posting, F.lit("]")))
     block = F.coalesce(F.concat(F.lit('<script type="application/ld+json">'), data, F.lit("</script>")), F.lit(""))
     heading = F.when(i % 5 == 3, F.concat(F.lit("<h1>"), title, F.lit("</h1>"))).otherwise("")
-    return t.pages.select("page_id", "url", F.concat(heading, html, nav, block).alias("html"))
+    # Reading HTML costs far more than its bytes tell, and a file may be one task.
+    pages = spread(t.pages.select("page_id", "url", "html"), t.pages.count(), "page_id", most=PAGES)
+    return pages.select("page_id", "url", F.concat(heading, html, nav, block).alias("html"))
 
 
 @query()
 def page_link_scores(t: Tables) -> DataFrame:
     """How likely each link leads to a posting, over all pages as careers pages."""
     pages = listing_pages(t)
-    return markup.link_scores(markup.elements(pages, "page_id", "html", {"a"}), pages.select(F.col("page_id").alias("id"), "url")).withColumnRenamed("id", "page_id")
+    return markup.link_scores(markup.elements(pages, "page_id", "html", {"a"}), _urls(t)).withColumnRenamed("id", "page_id")
 
 
 @query()
 def page_postings(t: Tables) -> DataFrame:
     """Postings of all pages as careers pages, by structured data or by heading."""
     pages = listing_pages(t)
-    return markup.page_postings(markup.elements(pages, "page_id", "html", markup.POSTING_TAGS), pages.select(F.col("page_id").alias("id"), "url")).withColumnRenamed("id", "page_id")
+    return markup.page_postings(markup.elements(pages, "page_id", "html", markup.POSTING_TAGS), _urls(t)).withColumnRenamed("id", "page_id")
 
 
 @query("""

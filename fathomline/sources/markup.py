@@ -6,8 +6,10 @@ join over its rows.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Collection, Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -15,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, jobs, text
-from ..operators.ranked import checkpointed
+from ..operators.ranked import checkpointed, once
 
 #: Elements whose text is kept with their row.
 TEXTS = ("title", "h1", "a", "script")
@@ -40,44 +42,78 @@ NOT_JOB = r"(?i)/(?:login|signin|sign-in|privacy|terms|cookie|blog|news|press|ab
 NEXT_LABEL = r"(?i)^\s*(?:next|next page|more jobs|load more|›|»)\s*$"
 
 
+#: Plain tags, as nearly all are; others are left to the parser.
+START = re.compile(r"""<([a-zA-Z][a-zA-Z0-9]*+)((?:[ \t\n\r\f]++[a-zA-Z][a-zA-Z0-9_:.-]*+(?:="[^"]*+"|='[^']*+')?+)*+)[ \t\n\r\f]*+(/?)>""")
+GIVEN = re.compile(r"""([a-zA-Z][a-zA-Z0-9_:.-]*+)(?:="([^"]*+)"|='([^']*+)')?+""")
+END = re.compile(r"</([a-zA-Z][a-zA-Z0-9]*+)[ \t\n\r\f]*+>")
+
+
 class Reader(HTMLParser):
-    """Rows (n, tag, path, attributes, text) of a page, in the order in which elements start; the last is the whole page."""
+    """Rows (n, tag, path, attributes, text) of a page, in the order in which elements start; the last is the whole page. With `tags` only theirs."""
 
-    def __init__(self) -> None:
+    def __init__(self, tags: Collection[str] | None = None) -> None:
         super().__init__(convert_charrefs=True)
+        self.wanted = tags
+        self.whole_page = tags is None or DOCUMENT in tags
         self.rows: list[list] = []
+        self.n = 0
         self.open: list[tuple[str, int]] = []
         self.tags: Counter = Counter()
+        self.hidden = 0  # open elements that don't show
         self.seen: list[str] = []  # what shows of the page
-        self.kept: dict[int, list[str]] = {}  # texts of open elements that keep theirs
+        self.kept: dict[int, tuple[list, list[str]]] = {}  # rows of open elements that keep their texts, and the texts
+
+    def updatepos(self, i: int, j: int) -> int:
+        return j  # lines aren't counted
+
+    def parse_starttag(self, i: int) -> int:
+        plain = START.match(self.rawdata, i)
+        tag = plain and plain[1].lower()
+        if not plain or tag in self.CDATA_CONTENT_ELEMENTS:
+            return super().parse_starttag(i)
+        attrs = [(k.lower(), unescape(v or w)) for k, v, w in GIVEN.findall(plain[2])] if plain[2] else []
+        (self.handle_startendtag if plain[3] else self.handle_starttag)(tag, attrs)
+        return plain.end()
+
+    def parse_endtag(self, i: int) -> int:
+        plain = None if self.cdata_elem else END.match(self.rawdata, i)
+        if not plain:
+            return super().parse_endtag(i)
+        self.handle_endtag(plain[1].lower())
+        return plain.end()
 
     def _pop(self) -> None:
         tag, n = self.open.pop()
         self.tags[tag] -= 1
+        self.hidden -= tag in HIDDEN
         if n in self.kept:
-            self.rows[n][4] = "".join(self.kept.pop(n))
-
-    def _line(self, tag: str) -> None:
-        if not any(self.tags[t] for t in HIDDEN):
-            self._say("\n" if tag in BLOCKS else " ")
+            row, parts = self.kept.pop(n)
+            row[4] = "".join(parts)
 
     def _say(self, what: str) -> None:
-        self.seen.append(what)
-        for parts in self.kept.values():
+        if self.whole_page:
+            self.seen.append(what)
+        for _, parts in self.kept.values():
             parts.append(what)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        while self.open and self.open[-1][0] in CLOSED_BY.get(tag, ()):
-            self._pop()
-        self._line(tag)
-        n = len(self.rows)
-        path = "/".join([*(t for t, _ in self.open[-PATH + 1 :]), tag])
-        self.rows.append([n, tag, path, [(k, v or "") for k, v in dict(reversed(attrs)).items()], None])
+        if tag in CLOSED_BY:
+            while self.open and self.open[-1][0] in CLOSED_BY[tag]:
+                self._pop()
+        if not self.hidden:
+            self._say("\n" if tag in BLOCKS else " ")
+        row = None
+        if self.wanted is None or tag in self.wanted:
+            path = "/".join([*(t for t, _ in self.open[-PATH + 1 :]), tag])
+            row = [self.n, tag, path, [(k, v or "") for k, v in dict(reversed(attrs)).items()], None]
+            self.rows.append(row)
         if tag not in VOID:
-            self.open.append((tag, n))
+            self.open.append((tag, self.n))
             self.tags[tag] += 1
-            if tag in TEXTS:
-                self.kept[n] = []
+            self.hidden += tag in HIDDEN
+            if row and tag in TEXTS:
+                self.kept[self.n] = (row, [])
+        self.n += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -89,26 +125,26 @@ class Reader(HTMLParser):
             while self.open[-1][0] != tag:
                 self._pop()
             self._pop()
-        self._line(tag)
+        if not self.hidden:
+            self._say("\n" if tag in BLOCKS else " ")
 
     def handle_data(self, data: str) -> None:
-        hidden = any(self.tags[t] for t in HIDDEN)
-        if not hidden:
+        if not self.hidden:
             self._say(data)
         elif self.open[-1][1] in self.kept:
-            self.kept[self.open[-1][1]].append(data)
+            self.kept[self.open[-1][1]][1].append(data)
 
     def read(self, html: str | None, whole: bool = False) -> list[list]:
         html, mark = html or "", None
         if whole and any(not text.is_whole(name) for name in text.ENTITY.findall(html)):
-            # The parser would decode these, so another character stands for their ampersands meanwhile: one that no text is meant to hold, nor this one does.
-            mark = next(c for c in map(chr, (*range(0xFDD0, 0xFDF0), *range(0xF0000, 0x10FFFF))) if c not in html)
+            # The parser would decode these, so a character of private use that the page doesn't hold stands for their ampersands meanwhile.
+            mark = next(c for c in map(chr, range(0xF0000, 0x10FFFF)) if c not in html)
             html = text.ENTITY.sub(lambda m: m[0] if text.is_whole(m[1]) else mark + m[1], html)
         self.feed(html)
         self.close()
         while self.open:
             self._pop()
-        rows = [*self.rows, [len(self.rows), DOCUMENT, "", [], "".join(self.seen)]]
+        rows = [*self.rows, *([[self.n, DOCUMENT, "", [], "".join(self.seen)]] if self.whole_page else [])]
         if mark:
             plain = lambda value: value and value.replace(mark, "&")
             rows = [[n, plain(tag), plain(path), [(plain(k), plain(v)) for k, v in given], plain(shown)] for n, tag, path, given, shown in rows]
@@ -134,7 +170,7 @@ def elements(pages: DataFrame, id_col: str, html_col: str, tags: Collection[str]
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                found = [[r for r in Reader().read(h, whole) if tags is None or r[1] in tags] for h in part.column("html").to_pylist()]
+                found = [Reader(tags).read(h, whole) for h in part.column("html").to_pylist()]
                 where = pa.array([i for i, rows in enumerate(found) for _ in rows], pa.int32())
                 flat = list(zip(*(row for rows in found for row in rows), strict=True)) or [()] * len(_ROWS)
                 yield pa.RecordBatch.from_arrays([part.column("id").take(where), *(pa.array(c, t) for c, t in zip(flat, _ROWS.types, strict=True))], names=["id", *_ROWS.names])
@@ -166,13 +202,14 @@ def links(found: DataFrame, urls: DataFrame, label_letters: int = 300) -> DataFr
     place on the page, or to what isn't the web are left out.
     """
     rows = found.where((F.col("tag") == "a") & F.element_at("attributes", "href").rlike("^[^#]"))
+    rows = rows.select("id", "n", F.trim(F.element_at("attributes", "href")).alias("_href"), F.substring("text", 1, label_letters).alias("label"))
     rows = rows.withColumn("place", F.row_number().over(_by_place()) - 1).join(urls.select("id", F.col("url").alias("_base")), "id")
-    href = F.trim(F.element_at("attributes", "href"))
+    href = F.col("_href")
     root = F.regexp_extract("_base", r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     folder = F.regexp_extract("_base", r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(?:/[^?#]*/|/)?)", 1)
     scheme = F.regexp_extract("_base", r"^([A-Za-z][A-Za-z0-9+.-]*:)//", 1)
     absolute = F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(scheme, href)).when(href.startswith("/"), F.concat(root, href)).otherwise(F.concat(F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/"))), href))
-    rows = rows.select("id", "place", absolute.alias("_absolute"), F.substring("text", 1, label_letters).alias("label")).where(F.col("_absolute").rlike("(?i)^https?://[^/?#]"))
+    rows = once(rows, ["id", "place", "label"], _absolute=absolute).where(F.col("_absolute").rlike("(?i)^https?://[^/?#]"))
     rows = rows.select("id", "place", text.canonical_url(F.col("_absolute")).alias("link"), "label")
     return rows.groupBy("id", "link").agg(F.min(F.struct("place", "label")).alias("f")).select("id", "link", "f.label", "f.place")
 
@@ -189,11 +226,14 @@ def link_scores(found: DataFrame, urls: DataFrame) -> DataFrame:
     A posting is on the page's own registrable domain or on an applicant system,
     and its address speaks of jobs or a role and of nothing else.
     """
-    rows = links(found, urls).join(urls.select("id", text.canonical_url(F.col("url")).alias("_own"), text.registrable_domain(text.host_name(F.col("url"))).alias("_domain")), "id")
+    own = once(urls, ["id", "url"], _own=text.canonical_url(F.col("url")), _host=text.host_name(F.col("url")))
+    rows = links(found, urls).join(own.select("id", "_own", text.registrable_domain(F.col("_host")).alias("_domain")), "id")
+    rows = once(rows, rows.columns, _link_host=text.host_name(F.col("link")))
+    rows = once(rows, rows.columns, _link_domain=text.registrable_domain(F.col("_link_host")))
     link, null = F.col("link"), F.lit(None).cast("string")
     path = F.regexp_extract(link, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     whole = F.concat(path, F.lit("?"), F.regexp_extract(link, r"\?([^#]*)", 1))
-    near = F.coalesce(text.registrable_domain(text.host_name(link)) == F.col("_domain"), F.lit(False)) | jobs.platform_of(link)["platform"].isNotNull()
+    near = F.coalesce(F.col("_link_domain") == F.col("_domain"), F.lit(False)) | jobs.platform_of(link)["platform"].isNotNull()
     slug = whole.rlike(ROLE_SLUG)
     posting = (link != F.col("_own")) & near & ~whole.rlike(NOT_JOB) & (whole.rlike(JOB_PATH) | slug)
     target = (F.col("label") != "") & jobs.names_target(F.col("label"), null, null)

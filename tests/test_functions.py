@@ -187,3 +187,18 @@ def test_breakdown_counts_all_words(spark, tmp_path):
     spark.createDataFrame([(1, "a b c d e f g", 2), (2, "g a", 3)], "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     got = {r.word: (r.parts, r.sizes) for r in catalog.QUERIES["multi_value_breakdown"](spark, str(tmp_path)).collect()}
     assert got == {**{w: (1, 2) for w in "bcdef"}, "a": (2, 5), "g": (2, 5)}
+
+
+def test_target_titles_are_those_of_the_whole_classification(spark):
+    titles = [
+        "Data Engineer", "Senior Data Engineer, Data Analyst", "Data Analyst, Data Engineer", "Data Analyst | data pipelines", "Master Data Engineer", "SAP Data Platform", "Data Center Data Engineer", "Sales Data Engineer", "Platform Engineer", "Platform Engineer - Firmware",
+        "Salesforce Platform Engineer", "DevOps", "Cloud Engineer", "Site Reliability", "Database Engineer (ML Engineer)", "Electrical Platform Engineer", "Software Engineer", "Java Developer", "SWE kafka spark airflow dbt", "Data Engineer kafka", "Analytics Engineer", "Nurse", "  ", "", None,
+        "Kernel data pipeline", "Backend Engineer on data", "Software Engineer, Platform", "Distributed Systems \u2013 Data Scientist", "Data Engineer (Product Analyst)",
+    ]
+    far = "word " * 4000
+    bodies = [None, "", "Spark", "kafka spark airflow", far + "kafka spark airflow dbt", far + "kubernetes terraform microservices", far + "tableau looker excel", far + "pcb asic", "tableau looker excel", far + "acme pcb asic Spark"]
+    rows = spark.createDataFrame([(t, b, c) for t in titles for b in bodies for c in (None, "Spark")], "t string, b string, c string")
+    role = jobs.classify_role(F.col("t"), F.col("b"), F.col("c"))
+    got = rows.select("t", "b", "c", jobs.names_target(F.col("t"), F.col("b"), F.col("c")).alias("got"), jobs.is_target(role["category"], role["relevance"]).alias("want"), (F.char_length("b") > 8000).alias("far")).collect()
+    assert [r for r in got if r.got is not r.want] == []
+    assert {(r.far, r.got) for r in got if r.t in ("Software Engineer", "Cloud Engineer")} >= {(True, True), (True, False), (False, False)}
