@@ -185,12 +185,12 @@ def tidy(value: Column) -> Column:
     return F.regexp_replace(value, r"^\s+|\s+$", "")
 
 
-def titles(found: DataFrame, heading_letters: int = 300) -> DataFrame:
-    """id, title, heading of each page: og:title before the title, and the first main heading; null where there is none."""
+def titles(found: DataFrame, heading_letters: int | None = 300) -> DataFrame:
+    """id, title, heading of each page: og:title before the title, and the first main heading, its first letters or all of it; null where there is none."""
     tag, given = F.col("tag"), F.lower(F.coalesce(F.element_at("attributes", "property"), F.lit("")))
     line = lambda c: F.nullif(F.trim(F.regexp_replace(c, r"\s+", " ")), F.lit(""))
     og = F.when((tag == "meta") & (given == "og:title"), line(F.element_at("attributes", "content")))
-    own, head = F.when((tag == "title") & ~F.col("path").contains("svg"), line(F.col("text"))), F.when(tag == "h1", F.nullif(F.substring("text", 1, heading_letters), F.lit("")))
+    own, head = F.when((tag == "title") & ~F.col("path").contains("svg"), line(F.col("text"))), F.when(tag == "h1", F.nullif(F.substring("text", 1, heading_letters) if heading_letters else F.col("text"), F.lit("")))
     first = lambda c: F.min(F.when(c.isNotNull(), F.struct(F.col("n"), c.alias("v"))))["v"]
     return found.groupBy("id").agg(F.coalesce(first(og), first(own)).alias("title"), first(head).alias("heading"))
 
@@ -262,19 +262,18 @@ def structured_postings(found: DataFrame) -> DataFrame:
     )
 
 
-def page_postings(found: DataFrame, urls: DataFrame, company: Column | None = None, letters: int = 8000) -> DataFrame:
+def page_postings(found: DataFrame, urls: DataFrame, company: Column | None = None) -> DataFrame:
     """Postings of pages: id, title, location, description, structured, from structured data where a page has any, else from its heading.
 
     A page without structured postings is one itself if its first heading, or
-    else its title, names a target role, judged with the first `letters` letters
-    of its text. Structured postings without a title, and those of other roles,
+    else its title, names a target role, judged with its whole text. Titles and texts are given as a whole. Structured postings without a title, and those of other roles,
     are left out; a page that has only such gives nothing.
     """
     null = F.lit(None).cast("string")
     target = lambda title, body: jobs.names_target(title, body, null if company is None else company)
     found = checkpointed(found.where(F.col("tag").isin(*POSTING_TAGS)))  # each page is read once
     given = structured_postings(found)
-    whole = found.where(F.col("tag") == DOCUMENT).select("id", F.substring("text", 1, letters).alias("description"))
-    own = titles(found).join(whole, "id").join(given.select("id").distinct(), "id", "left_anti").select("id", F.substring(F.coalesce("heading", "title"), 1, 300).alias("title"), null.alias("location"), "description", F.lit(False).alias("structured"))
-    both = given.select("id", F.substring("title", 1, 300).alias("title"), "location", "description", F.lit(True).alias("structured")).unionByName(own)
+    whole = found.where(F.col("tag") == DOCUMENT).select("id", F.col("text").alias("description"))
+    own = titles(found, None).join(whole, "id").join(given.select("id").distinct(), "id", "left_anti").select("id", F.coalesce("heading", "title").alias("title"), null.alias("location"), "description", F.lit(False).alias("structured"))
+    both = given.select("id", "title", "location", "description", F.lit(True).alias("structured")).unionByName(own)
     return both.where(F.col("title").isNotNull() & target(F.col("title"), F.col("description"))).join(urls.select("id", "url"), "id", "left").withColumn("remote_status", jobs.remote_status(F.coalesce("location", F.when(~F.col("structured"), F.col("title")))))

@@ -106,3 +106,13 @@ def test_structured_data_that_cannot_be_read(spark):
     pages = [script % "{broken", script % "", script % "[1, 2]", script % '{"@type": "JobPosting"}', script % '{"@type": ["JobPosting"], "title": "Data Engineer", "jobLocation": [{"address": {"addressLocality": "Pune"}}]}', "<script>x</script>"]
     got = markup.structured_postings(found(spark, *pages)).collect()
     assert sorted((r.id, r.title, r.location) for r in got if r.title) == [(4, "Data Engineer", "Pune")]
+
+
+def test_postings_are_judged_by_whole_texts(spark):
+    far = "word " * 4000
+    pages = [f"<h1>{'Software Engineer ' * 20}</h1><p>{far}</p>kafka airflow dbt flink", f"<h1>Software Engineer</h1><p>{far}", f"<h1>{'x ' * 200}Data Engineer</h1>"]
+    df = spark.createDataFrame(list(enumerate(pages)), "id long, html string")
+    rows = markup.page_postings(markup.elements(df, "id", "html"), df.select("id", F.lit("http://a.test/").alias("url"))).collect()
+    got = {r.id: r for r in rows}
+    assert sorted(got) == [0, 2]
+    assert got[0].description.endswith("kafka airflow dbt flink") and got[0].title == ("Software Engineer " * 20).strip() and got[2].title.endswith("Data Engineer")
