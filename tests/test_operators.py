@@ -285,3 +285,21 @@ def test_tasks_and_computed_columns_do_not_grow_with_the_table(spark, monkeypatc
     assert ranked.spread(rows, 500, "k").rdd.getNumPartitions() == 50
     got = ranked.once(rows, ["id"], twice=F.col("id") * 2, half=F.col("id") / 2).where("twice > 994 and half > 0")
     assert sorted(map(tuple, got.collect())) == [(498, 996, 249.0), (499, 998, 249.5)]
+
+
+def test_ingest_compares_whole_texts(spark, monkeypatch):
+    """Texts that are alike up to their first 5,000 letters alone, or beyond them alone, over parts of a block."""
+    import random
+
+    from fathomline.plans import scoring
+
+    rnd = random.Random(2)
+    prose = lambda n: " ".join("".join(rnd.choice("etaoinsh" * 25 + "zqxj") for _ in range(rnd.randrange(2, 9))) for _ in range(n))
+    head, tail = prose(1000), prose(9000)
+    texts = [f"{head} {prose(900)}", f"{head} {prose(900)}", f"{prose(1000)} {tail}", f"{prose(1000)} {tail}", prose(1000), "short", "short one", None]
+    rows = [("Acme", "Data Engineer", "P", f"u{i}", "s", str(i), None, None, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "company string, title string, location string, application_url string, source string, external_id string, posted_at timestamp, posted_at_precision string, description string")
+    for letters in (10_000_000, 30_000):
+        monkeypatch.setattr(postings, "SLICE_LETTERS", letters, raising=False)
+        got = {r.external_id: r.outcome for r in postings.ingest(df, spark.createDataFrame([], scoring.STATE), NOW).collect()}
+        assert [k for k, v in sorted(got.items()) if v == "deduplicated"] == ["3"]
