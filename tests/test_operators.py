@@ -303,3 +303,24 @@ def test_ingest_compares_whole_texts(spark, monkeypatch):
         monkeypatch.setattr(postings, "SLICE_LETTERS", letters, raising=False)
         got = {r.external_id: r.outcome for r in postings.ingest(df, spark.createDataFrame([], scoring.STATE), NOW).collect()}
         assert [k for k, v in sorted(got.items()) if v == "deduplicated"] == ["3"]
+
+
+def test_ingest_keeps_each_description_once(spark):
+    """What is kept on the way through an ingest holds the texts of the batch once."""
+    import os
+    import random
+
+    from fathomline.operators.ranked import checkpointed
+    from fathomline.plans import scoring
+
+    checkpointed(spark.range(1))  # the folder exists
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    size = lambda: sum(os.path.getsize(os.path.join(at, f)) for at, _, names in os.walk(folder) for f in names)
+    rnd = random.Random(6)
+    texts = ["".join(rnd.choice("etaoinshrdlu zqxj0123456789") for _ in range(200_000)) for _ in range(6)]
+    rows = [("Acme", f"Data Engineer {i % 2}", "P", f"u{i}", "s", str(i), None, None, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "company string, title string, location string, application_url string, source string, external_id string, posted_at timestamp, posted_at_precision string, description string")
+    before = size()
+    out = postings.ingest(df, spark.createDataFrame([], scoring.STATE), NOW)
+    assert sorted((r.external_id, r.outcome, r.description == texts[int(r.external_id)]) for r in out.collect()) == [(str(i), "created", True) for i in range(6)]
+    assert size() - before < 1.5 * sum(map(len, texts))
